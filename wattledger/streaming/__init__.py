@@ -1,0 +1 @@
+"""Intentionally empty: every input is a finite table, so all jobs are batch jobs."""
