@@ -102,7 +102,7 @@ def positive(c: Column) -> Column:
 
 def exact_sum(c: Column) -> Column:
     """A sum that does not depend on the order of rows, partitions or retries."""
-    return F.sum(c.cast("decimal(18,6)")).cast("double")
+    return F.sum(c.cast("decimal(28,6)")).cast("double")
 
 
 def sum_or_zero(c: Column) -> Column:
