@@ -100,9 +100,21 @@ def positive(c: Column) -> Column:
     return F.when(c > 0, c)
 
 
+_MICRO = 1_000_000
+
+
 def exact_sum(c: Column) -> Column:
-    """A sum that does not depend on the order of rows, partitions or retries."""
-    return F.sum(c.cast("decimal(28,6)")).cast("double")
+    """A sum to six decimals that does not depend on the order of rows, partitions or retries.
+
+    Whole units and millionths are added as two integers: as exact as a decimal
+    sum for such amounts, and several times cheaper in wide aggregates.
+    """
+    unit = F.floor(c)
+    whole = F.sum(unit)
+    millionths = F.sum(F.rint((c - unit) * float(_MICRO)).cast("bigint"))
+    small = F.abs(whole) < 9_000_000_000  # the scaled total still fits a double exactly
+    return F.when(small, (whole * _MICRO + millionths).cast("double") / float(_MICRO)).otherwise(
+        whole.cast("double") + millionths.cast("double") / float(_MICRO))
 
 
 def sum_or_zero(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,13 +170,18 @@ def run_history(runs: DataFrame, metadata: DataFrame, limit: int = 300) -> DataF
 
 
 def run_folders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, metadata) of an output root, ready for `run_history`."""
-    files = list_files(spark, root).withColumn("run_id", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1))
+    """(runs, metadata) of an output root with one folder per run, ready for `run_history`."""
+    inside = r"/([^/]+)/contract_master[^/]*(?:/[^/]+)?$"
+
+    def run_of(path) -> Column:
+        return F.regexp_extract(path, inside, 1)
+
+    files = list_files(spark, root).withColumn("run_id", run_of(F.col("path"))).filter("run_id <> ''")
     files = files.filter(~F.col("run_id").isin("contract", "logs"))
     runs = files.groupBy("run_id").agg(
-        F.max("modified").alias("modified"), F.bool_or(F.col("name") == "contract_master.csv").alias("has_contract"))
+        F.max("modified").alias("modified"),
+        F.bool_or(F.col("path").rlike(r"/contract_master(\.csv$|/)")).alias("has_contract"))
     schema = "generated_at string, adapter string, row_count bigint, missing_columns array<string>"
     meta = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.meta.json").json(root)
-    meta = meta.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
-    return runs, meta
+        "pathGlobFilter", "*.json").json(root)
+    return runs, meta.withColumn("run_id", run_of(F.col("_metadata.file_path"))).filter("run_id <> ''")
