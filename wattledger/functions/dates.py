@@ -115,33 +115,44 @@ def reference_date(c: Column, dtype: T.DataType | None = None) -> Column:
     return F.coalesce(month_start(text), _named_month_start(text))
 
 
-def _formats(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)).cast("date") for p in patterns])
+_YEAR_FIRST = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T].*)?$"
+_YEAR_MONTH = r"^(\d{4})-(\d{1,2})$"
+_MONTH_YEAR = r"^(\d{1,2})-(\d{4})$"
+_THREE_PARTS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?: .*)?$"
 
 
-_ISO = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM", "M-yyyy"]
-_DAY_FIRST = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy HH:mm:ss"]
-_MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy"]
+def _general_date(text: Column, month_first: bool = False) -> Column:
+    """Year-first dates and, in one order or the other, dates that end with the year; else null."""
+    def read(order: str) -> Column:
+        iso = F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3")
+        iso = F.regexp_replace(F.regexp_replace(iso, _YEAR_MONTH, "$1-$2-1"), _MONTH_YEAR, "$2-$1-1")
+        return F.try_to_date(F.regexp_replace(iso, _THREE_PARTS, order), "yyyy-M-d")
+
+    day_first = read("$3-$2-$1")
+    return F.coalesce(read("$3-$1-$2"), day_first) if month_first else day_first
 
 
 def contract_date(c: Column, dtype: T.DataType | None = None) -> Column:
     """Contract dates: `MM/YYYY`, named month, then day-first dates."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    text = strip(c.cast("string"))
-    upper = F.upper(text)
-    head = pick_ascii(upper, rf"^({V.MON3})[/-]", 1)
-    tail = F.regexp_extract(upper, r"([^/-]*)$", 1)
-    year = F.when(F.length(tail) >= 4, F.substring(tail, -4, 4)).when(
-        F.length(tail) <= 2, F.concat(F.lit("20"), F.lpad(tail, 2, "0")))
-    valid_year = F.when(year.rlike(r"^(1[7-9]|2[01])\d{2}$"), year).cast("int")
-    named = F.when(F.length(upper) >= 7, F.make_date(valid_year, month_digits(head).cast("int"), F.lit(1)))
-    return F.coalesce(month_start(text), named, _formats(text, _ISO + _DAY_FIRST))
+
+    def read(text: Column) -> Column:
+        upper = F.upper(text)
+        month = month_digits(pick_ascii(upper, rf"^({V.MON3})[/-]", 1)).cast("int")
+        year = bind(F.regexp_extract(upper, r"([^/-]*)$", 1), lambda tail: F.when(
+            F.length(tail) >= 4, F.substring(tail, -4, 4)).when(
+            F.length(tail) <= 2, F.concat(F.lit("20"), F.lpad(tail, 2, "0"))))
+        valid = F.regexp_extract(year, r"^(?:1[7-9]|2[01])\d{2}$", 0).try_cast("int")
+        named = F.when(F.length(upper) >= 7, F.make_date(valid, month, F.lit(1)))
+        return F.coalesce(month_start(text), named, _general_date(text))
+
+    return bind(strip(c.cast("string")), read)
 
 
 def bridge_date(c: Column, dtype: T.DataType | None = None) -> Column:
     """Sizing dates: reference forms, then general dates with the month first where both read."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    text = strip(c.cast("string"))
-    return F.coalesce(reference_date(text), _formats(text, _ISO + _MONTH_FIRST + _DAY_FIRST))
+    return bind(strip(c.cast("string")), lambda text: F.coalesce(
+        reference_date(text), _general_date(text, month_first=True)))

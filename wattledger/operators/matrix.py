@@ -273,15 +273,36 @@ def mean_series_total(table: DataFrame, series: str, months: int = V.MONTHS_IN_W
 
 
 def sizing_inputs(master: DataFrame, fill_zeros: bool = True, months: int = V.MONTHS_IN_WINDOW) -> DataFrame:
-    """One row: mean monthly kWh of B3, IP, A4 peak and A4 off-peak."""
-    b3 = mean_month_total(category_table(master, ["B3"], "B3", fill_zeros, months), months, "b3_media")
-    ip = mean_month_total(category_table(master, ["IP"], "B4 A Ilum, Pública", fill_zeros, months), months, "ip_media")
-    a4 = a4_table(master, fill_zeros, months)
-    hp, fhp = [
-        F.aggregate(F.array(*[sum_or_zero(F.get(F.col(s), F.lit(i))) for i in range(months)]),
-                    F.lit(0.0), lambda x, y: x + y) / F.lit(float(months)) for s in ("consumo_hp", "consumo_fhp")]
-    both = a4.agg(hp.alias("a4_hp_media"), fhp.alias("a4_fhp_media"))
-    return one_row(one_row(b3, ip), both)
+    """One row: mean monthly kWh of B3, IP, A4 peak and A4 off-peak.
+
+    The category tables this summarizes are not built: one aggregate per (category,
+    UC) has all their month slots.
+    """
+    cat = F.when(F.upper("categoria") == "A4", "A4").when(F.col("categoria").isin("B3", "IP"), F.col("categoria"))
+    rows = with_slot(master).withColumn("__cat", cat).filter("__cat is not null")
+    measures = {"kwh": "kwh_total_te", "hp": "consumo_hp_kwh", "fhp": "consumo_fhp_kwh"}
+    sums = {f"{tag}_{n}": total for tag, column in measures.items()
+            for n, total in zip(slot_names(months), _slot_sums(column, months))}
+    per_uc = rows.groupBy("__cat", "uc").agg(
+        first_text("tipo_fornecimento", row_order(master)).alias("supply"), *[s.alias(n) for n, s in sums.items()])
+    per_uc = per_uc.withColumn("__min", availability_kwh(F.col("supply")) if fill_zeros else F.lit(0.0))
+
+    def total_of(tag: str) -> Column:
+        filled = [F.when((F.abs(F.col(n)) <= V.ZERO_KWH) & (F.col("__min") > 0), F.col("__min")).otherwise(F.col(n))
+                  for n in sums if n.startswith(f"{tag}_")]
+        out = filled[0]
+        for f in filled[1:]:
+            out = out + f
+        return out
+
+    totals = per_uc.select("__cat", *[total_of(t).alias(t) for t in measures])
+
+    def mean_of(category: str, tag: str) -> Column:
+        return sum_or_zero(F.when(F.col("__cat") == category, F.col(tag))) / F.lit(float(months))
+
+    return totals.agg(
+        mean_of("B3", "kwh").alias("b3_media"), mean_of("IP", "kwh").alias("ip_media"),
+        mean_of("A4", "hp").alias("a4_hp_media"), mean_of("A4", "fhp").alias("a4_fhp_media"))
 
 
 def reconciliation(master: DataFrame, months: int = V.MONTHS_IN_WINDOW) -> DataFrame:
