@@ -16,3 +16,13 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     one-element array, so the lambda variable stands for it.
     """
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def bind_sql(value: Column, body: str) -> Column:
+    """The same with the use written in SQL over `x`; suits long fixed expressions, which one call then builds."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
+
+
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattledger.functions import fixed_values as V
-from wattledger.functions.binding import bind
+from wattledger.functions.binding import bind, bind_sql, sql_text
 from wattledger.functions.text import ascii_upper, found, pick_ascii, strip
 
 _MONTH_TABLE = {name: f"{number:02d}" for name, number in V.MONTH_NUMBER.items()}
@@ -49,19 +51,30 @@ def named_month_reference(name: Column, year: Column) -> Column:
 
 def month_reference(c: Column) -> Column:
     """Any spelling of a month (`1/25`, `01-2025`, `JAN25`, `Fev-2024`, `202501`) -> `MM/YYYY`, else ''."""
+    return token_reference(ascii_upper(c))
+
+
+@lru_cache(maxsize=None)
+def _reference_sql() -> str:
+    def part(pattern: str, group: int) -> str:
+        return f"nullif(regexp_extract(x, {sql_text(pattern)}, {group}), '')"
+
+    def year(text: str) -> str:
+        return f"CASE length({text}) WHEN 2 THEN concat('20', {text}) WHEN 4 THEN {text} END"
+
     number = r"^(0?[1-9]|1[0-2])[/-](\d{2,4})$"
     named = rf"^({V.MON3})[/-]?(\d{{2,4}})$"
     packed = r"^(\d{4})(0[1-9]|1[0-2])$"
+    position = f"(instr({sql_text(V.MON3)}, {part(named, 1)}) + 3) div 4"
+    return (
+        f"coalesce(concat(lpad({part(number, 1)}, 2, '0'), '/', {year(part(number, 2))}), "
+        f"concat(format_string('%02d', {position}), '/', {year(part(named, 2))}), "
+        f"concat({part(packed, 2)}, '/', {part(packed, 1)}), '')")
 
-    def read(token: Column) -> Column:
-        return F.coalesce(
-            _reference(pick_ascii(token, number, 1), full_year(pick_ascii(token, number, 2))),
-            _reference(month_digits(pick_ascii(token, named, 1)), full_year(pick_ascii(token, named, 2))),
-            _reference(pick_ascii(token, packed, 2), pick_ascii(token, packed, 1)),
-            F.lit(""),
-        )
 
-    return bind(F.translate(ascii_upper(c), " ", ""), read)
+def token_reference(c: Column) -> Column:
+    """The same for a token a pattern has already cut out, which is plain ASCII."""
+    return bind_sql(F.upper(F.translate(c, " \t\n", "")), _reference_sql())
 
 
 _STRICT = r"^\s*(0?[1-9]|1[0-2])/(1[7-9]\d{2}|2[01]\d{2})\s*$"

@@ -29,8 +29,12 @@ def availability_exact_kwh(supply: Column) -> Column:
 
 
 def supply_type(text: Column) -> Column:
-    return bind(ascii_upper(text), lambda plain: _ladder(
-        [(plain.contains(word), F.lit(name)) for word, name in V.SUPPLY_TYPE_LABEL.items()], ""))
+    return bind(ascii_upper(text), supply_of_plain)
+
+
+def supply_of_plain(plain: Column) -> Column:
+    """Supply type named in an `ascii_upper` text."""
+    return _ladder([(plain.contains(word), F.lit(name)) for word, name in V.SUPPLY_TYPE_LABEL.items()], "")
 
 
 def a4_label(text: Column) -> Column:

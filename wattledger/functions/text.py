@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattledger.functions import fixed_values as V
-from wattledger.functions.binding import bind
+from wattledger.functions.binding import bind, bind_sql, sql_text
 
 # Latin letters with marks, superscripts, letter-like signs, Roman numerals,
 # ligatures, full-width forms: the blocks an invoice can hold.
@@ -37,37 +37,54 @@ def _regex_class(chars) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
 
 
-def strip_marks(c: Column) -> Column:
-    """Remove accents and other marks, keep every other character.
+_NOT_ASCII = r"[^\x00-\x7F]"
+_RUN_EDGE = r"(?<=[\x00-\x7F])(?=[^\x00-\x7F])|(?<=[^\x00-\x7F])(?=[\x00-\x7F])"
+
+
+_SPACES = r"[\s\x1c-\x1f\x85\x{a0}]+"
 
-    One `translate` does almost all of it; characters that decompose into
-    several are looked up one by one, only in texts that hold any.
+
+@lru_cache(maxsize=None)
+def _strip_marks_sql() -> str:
+    """SQL over `x` that removes accents and other marks.
+
+    Plain ASCII texts pass through. Others are cut at the edges of their non-ASCII
+    runs, and only those runs, usually single letters, are looked up.
     """
     one, many = _decompositions()
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    pairs = "\u0001".join(f"{k}\u0002{v}" for k, v in many.items())
+    table = f"str_to_map({sql_text(pairs)}, '\\u0001', '\\u0002')"
+    single = f"translate(r, {sql_text(''.join(one))}, {sql_text(''.join(one.values()))})"
+    spelled = (f"get(transform(array({single}), z -> CASE WHEN z RLIKE {sql_text(_regex_class(many))} THEN "
+               f"array_join(transform(split(z, ''), ch -> coalesce({table}[ch], ch)), '') ELSE z END), 0)")
+    run = f"CASE WHEN r RLIKE {sql_text(_NOT_ASCII)} THEN regexp_replace({spelled}, {sql_text(r'[\p{M}]+')}, '') ELSE r END"
+    return (f"CASE WHEN x RLIKE {sql_text(_NOT_ASCII)} THEN array_join(transform(split(x, {sql_text(_RUN_EDGE)}), "
+            f"r -> {run}), '') ELSE x END")
+
 
-    def spell(text: Column) -> Column:
-        letters = F.transform(F.split(text, ""), lambda ch: F.coalesce(table[ch], ch))
-        return F.when(text.rlike(_regex_class(many)), F.array_join(letters, "")).otherwise(text)
+def _squeeze_sql(inner: str) -> str:
+    return f"trim(regexp_replace({inner}, {sql_text(_SPACES)}, ' '))"
 
-    single = F.translate(c, "".join(one), "".join(one.values()))
-    return F.regexp_replace(bind(single, spell), r"\p{M}+", "")
+
+def strip_marks(c: Column) -> Column:
+    """Remove accents and other marks, keep every other character."""
+    return bind_sql(c, _strip_marks_sql())
 
 
 def squeeze(c: Column) -> Column:
     """All whitespace runs, line breaks included, become one space."""
-    return F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f\x85\x{a0}]+", " "))
+    return F.trim(F.regexp_replace(c, _SPACES, " "))
 
 
 def ascii_upper(c: Column) -> Column:
-    """Accent-free ASCII in upper case with single spaces."""
-    ascii_only = F.regexp_replace(strip_marks(F.coalesce(c, F.lit(""))), r"[^\x00-\x7F]+", "")
-    return F.upper(squeeze(ascii_only))
+    """Accent-free ASCII in upper case with single spaces; null is ''."""
+    ascii_only = f"regexp_replace({_strip_marks_sql()}, {sql_text(_NOT_ASCII + '+')}, '')"
+    return bind_sql(F.coalesce(c, F.lit("")), f"upper({_squeeze_sql(ascii_only)})")
 
 
 def plain_lower(c: Column) -> Column:
     """Accent-free lower case with single spaces."""
-    return F.lower(squeeze(strip_marks(c)))
+    return bind_sql(c, f"lower({_squeeze_sql(_strip_marks_sql())})")
 
 
 def search_key(c: Column) -> Column:

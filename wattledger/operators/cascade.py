@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattledger.functions import fixed_values as V
 from wattledger.functions.binding import bind
-from wattledger.functions.dates import compact_reference, month_reference, reference_of_date
+from wattledger.functions.dates import compact_reference, token_reference, reference_of_date
 from wattledger.functions.domain import category
 from wattledger.functions.numbers import positive, ptbr_number, ptbr_or_zero
 from wattledger.functions.text import (
@@ -96,11 +96,11 @@ def reference_of(text: Column, plain: Column) -> Column:
     """struct(value, source): labelled month, else the first readable month token."""
     readers = {"FATURA_YYYYMM": compact_reference, "DATA_FATURAMENTO": reference_of_date}
     labelled = [
-        sourced(found(readers.get(name, month_reference)(pick(text, p))), name)
+        sourced(found(readers.get(name, token_reference)(pick(text, p))), name)
         for name, p in V.REFERENCE_LABELS.items()
     ]
-    tokens = [found(month_reference(pick_ascii(plain, p))) for p in V.LABELLED_REFERENCE]
-    free = F.filter(F.transform(pick_all(plain, V.FREE_MONTH_TOKEN), month_reference), lambda r: r != "")
+    tokens = [found(token_reference(pick_ascii(plain, p))) for p in V.LABELLED_REFERENCE]
+    free = F.filter(F.transform(pick_all(plain, V.FREE_MONTH_TOKEN), token_reference), lambda r: r != "")
     return F.coalesce(*labelled, sourced(F.coalesce(*tokens, F.get(free, F.lit(0))), "GENERIC_REF_TOKEN"))
 
 
@@ -227,7 +227,7 @@ def invoice_total(text: Column) -> Column:
 
 def due_line(text: Column, plain: Column) -> Column:
     """struct(referencia, total) of `month dd/mm/yyyy R$ total`, else labelled values one by one."""
-    reference = found(month_reference(pick_ascii(plain, V.DUE_LINE, 1)))
+    reference = found(token_reference(pick_ascii(plain, V.DUE_LINE, 1)))
     on_line = bind(reference, lambda r: F.when(r.isNotNull(), F.struct(
         r.alias("referencia"), ptbr_number(pick_ascii(plain, V.DUE_LINE, 2)).alias("total"))))
     labels = [V.TOTAL_LABELS[1], *V.DUE_TOTAL_FALLBACKS]

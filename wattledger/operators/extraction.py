@@ -15,7 +15,7 @@ from wattledger.functions.binding import bind
 from wattledger.functions.dates import (
     long_month_digits, month_reference, named_month_reference, reference_of_date,
 )
-from wattledger.functions.domain import category_of_text, legacy_category, low_voltage_class, supply_type
+from wattledger.functions.domain import category_of_text, legacy_category, low_voltage_class, supply_of_plain, supply_type
 from wattledger.functions.numbers import ptbr_number
 from wattledger.functions.text import (
     ascii_upper, clean_class_text, contains_any, cut_before, drop_glyph_codes, found, kwh_source, lines_of, pick,
@@ -66,8 +66,9 @@ def _record(df: DataFrame) -> DataFrame:
     months = F.col("__months") if "__months" in df.columns else F.lit(None)
     contracted = F.col("__contracted") if "__contracted" in df.columns else F.lit(None)
     labelled = F.col("__labelled") if "__labelled" in df.columns else F.lit(False)
+    rank = ["__rank"] if "__rank" in df.columns else []
     return df.select(
-        *out, months.cast(f"array<{_MONTH}>").alias("__months"), contracted.cast("double").alias("__contracted"),
+        *out, *rank, months.cast(f"array<{_MONTH}>").alias("__months"), contracted.cast("double").alias("__contracted"),
         labelled.alias("__labelled"))
 
 
@@ -139,7 +140,7 @@ def block_records(blocks: DataFrame) -> DataFrame:
             F.col("__class.value"), clean_class_text(pick_ascii(a, V.CLASS_ASCII)), F.lit("")),
     })
     df = df.withColumn("tipo_fornecimento", F.coalesce(
-        found(supply_type(F.col("classificacao_uc"))), supply_type(t)))
+        found(supply_type(F.col("classificacao_uc"))), supply_of_plain(a)))
     df = df.withColumns({
         "__labelled_items": I.labelled_items(F.col("section")),
         "__energy_items": I.energy_items(a, cat),
@@ -289,14 +290,13 @@ def _b_name_address(header: Column) -> Column:
 
 
 def _unlabelled(pages: DataFrame) -> DataFrame:
-    """Shared columns of fiscal pages without a UC label."""
+    """Shared columns of fiscal pages without a UC label. `pages` has the tidy text `t` and its plain form `a`."""
     t, a = F.col("t"), F.col("a")
-    df = pages.withColumn("t", tidy_lines(F.col("text"))).withColumn("a", ascii_upper(t))
-    df = df.filter(a.contains("NOTA FISCAL")).withColumns({
+    df = pages.filter(a.contains("NOTA FISCAL")).withColumns({
         "stream": F.translate(t, "\n", " "),
         "header": C.header_lines(F.col("text")),
         "due": C.due_line(t, a),
-        "tipo_fornecimento": supply_type(F.col("text")),
+        "tipo_fornecimento": supply_of_plain(a),
         "page_first_seen": F.col("page_no"),
         "audit_header_page": F.col("page_no"),
         "audit_historico_page": F.col("page_no"),
@@ -417,9 +417,10 @@ def _grouped_address(lines: Column, starts_with_id: Column, name: Column) -> Col
 
 
 def grouped_records(blocks: DataFrame) -> DataFrame:
-    """Records of grouped-invoice blocks. `blocks(pdf_source, page_no, block, provider_layout)`."""
+    """Records of grouped-invoice blocks. `blocks(pdf_source, page_no, block)`, with `t` and `a` where already known."""
     t, a, cat, lines = F.col("t"), F.col("a"), F.col("categoria"), F.col("lines")
-    df = blocks.withColumn("t", tidy_lines(F.col("block"))).withColumns({"a": ascii_upper(t), "lines": lines_of(t)})
+    df = blocks if "a" in blocks.columns else blocks.withColumn("t", tidy_lines(F.col("block"))).withColumn("a", ascii_upper(t))
+    df = df.withColumn("lines", lines_of(t))
     df = df.withColumn("first_id", C.digits_in(F.get(lines, F.lit(0))))
     df = df.withColumn("uc", F.coalesce(
         *[pick_ascii(a, p) for p in V.GROUPED_ID_PATTERNS], F.col("first_id"), pick_ascii(a, V.GROUPED_ID_FOOTER)))
@@ -429,7 +430,7 @@ def grouped_records(blocks: DataFrame) -> DataFrame:
             (c == "OUTROS") & a.rlike(r"\bCONSUMO\s+TE\b") & ~contains_any(a, ["CONSUMO PONTA", "FORA PONTA"]), "B3"
         ).otherwise(c)),
         "classificacao_uc": C.header_class(C.header_lines(t)),
-        "tipo_fornecimento": supply_type(t),
+        "tipo_fornecimento": supply_of_plain(a),
         "section": C.items_section(a),
         "page_first_seen": F.col("page_no"),
         "audit_header_page": F.col("page_no"),
@@ -515,48 +516,58 @@ def has_uc_marker(text: Column) -> Column:
     return text.rlike(_UC_MARKER)
 
 
-def _distinct_pages(records: DataFrame) -> DataFrame:
-    return records.select("pdf_source", F.col("page_first_seen").alias("page_no")).distinct()
+# Page parsers in the order they are tried; a last-resort row only counts in a
+# grouped document that has no other.
+_BLOCK, _MEDIUM, _LOW, _GROUPED, _LAST_RESORT = range(5)
+
+
+def _ranked(records: DataFrame, rank: int) -> DataFrame:
+    return records.withColumn("__rank", F.lit(rank))
+
+
+def _first_per_page(records: DataFrame) -> DataFrame:
+    """The row of the first parser that has one, per page."""
+    row = F.struct(*[c for c in records.columns if c not in ("pdf_source", "page_first_seen")])
+    return records.groupBy("pdf_source", "page_first_seen").agg(
+        F.min_by(row, F.col("__rank")).alias("r")).select("pdf_source", "page_first_seen", "r.*").select(*records.columns)
 
 
 def extract_pages(pages: DataFrame, expand: bool = False) -> DataFrame:
     """Records of all documents at once.
 
-    Pages with a UC label are cut into blocks. The other pages go through the
-    three page parsers, the first that yields rows wins; a collective invoice
-    with any UC label skips that. Grouped documents left without a row are cut by
-    installation code.
+    Pages with a UC label are cut into blocks. The other pages go through the page
+    parsers and the first that yields a row wins; a collective invoice with any UC
+    label skips that. Parsing is map-only: page texts are never shuffled. What
+    depends on the whole document (its layout, whether it has labelled pages) is
+    joined to the few columns of the parsed records afterwards.
     """
     pages = pages.select("pdf_source", F.col("page_no").cast("int").alias("page_no"),
                          F.coalesce("text", F.lit("")).alias("text"))
-    labelled = has_uc_marker(tidy_lines(F.col("text")))
-    documents = document_layouts(pages).join(
-        pages.groupBy("pdf_source").agg(F.bool_or(labelled).alias("any_uc")), "pdf_source")
-    routed = salted_join(pages, documents, ["pdf_source"], "inner")
-
-    t = tidy_lines(F.col("text"))
-    with_uc = routed.filter(labelled).withColumn("default_ref", C.reference_of(t, ascii_upper(t))["value"])
-    blocks = block_records(uc_blocks(with_uc))
-
-    others = routed.filter(~labelled & ~((F.col("provider_layout") == "CELESC_COLETIVA") & F.col("any_uc")))
-    page_key = ["pdf_source", "page_no"]
-    medium = unlabelled_a4_records(others)
-    low = unlabelled_b_records(others.join(_distinct_pages(medium), page_key, "left_anti"))
-    taken = _distinct_pages(medium).union(_distinct_pages(low))
-    whole = others.filter(is_grouped_page(ascii_upper(F.col("text")))).join(taken, page_key, "left_anti")
-    grouped = grouped_records(whole.withColumn("block", F.col("text")))
-
-    empty_documents = (
-        documents.filter((F.col("provider_layout") == "NEOENERGIA_ELEKTRO") & ~F.col("any_uc")).select("pdf_source")
-        .join(taken.select("pdf_source").union(grouped.select("pdf_source")).distinct(), "pdf_source", "left_anti"))
-    last_resort = others.filter(contains_any(ascii_upper(F.col("text")), ["CCI", "UC:"])).join(
-        empty_documents, "pdf_source", "left_semi")
-    coded = grouped_records(grouped_blocks(last_resort))
-
-    records = blocks.unionByName(medium).unionByName(low).unionByName(grouped).unionByName(coded)
-    if expand:
-        records = expand_history(records)
-    return records.withColumn("template", F.col("provider_layout")).drop(*_EXPANSION)
+    tidy = pages.withColumn("t", tidy_lines(F.col("text")))
+    t = F.col("t")
+    with_uc = tidy.filter(has_uc_marker(t)).withColumn("default_ref", C.reference_of(t, ascii_upper(t))["value"])
+    blocks = _ranked(block_records(uc_blocks(with_uc.drop("t"))), _BLOCK)
+
+    others = tidy.filter(~has_uc_marker(t)).withColumn("a", ascii_upper(t))
+    grouped_page = is_grouped_page(F.col("a"))
+    whole = others.filter(grouped_page | F.col("a").contains("UC:")).withColumns({
+        "block": F.col("text"), "__rank": F.when(grouped_page, _GROUPED).otherwise(_LAST_RESORT)})
+    by_page = _first_per_page(
+        _ranked(unlabelled_a4_records(others), _MEDIUM)
+        .unionByName(_ranked(unlabelled_b_records(others), _LOW))
+        .unionByName(grouped_records(whole)))
+
+    records = blocks.unionByName(by_page)
+    facts = records.groupBy("pdf_source").agg(
+        F.bool_or(F.col("__rank") == _BLOCK).alias("any_uc"), F.bool_or(F.col("__rank") < _LAST_RESORT).alias("any_row"))
+    documents = document_layouts(pages).join(facts, "pdf_source").withColumnRenamed("provider_layout", "__layout")
+    placed = salted_join(records, documents, ["pdf_source"], "inner")
+    collective = (F.col("__layout") == "CELESC_COLETIVA") & F.col("any_uc")
+    stray = (F.col("__rank") == _LAST_RESORT) & ((F.col("__layout") != "NEOENERGIA_ELEKTRO") | F.col("any_row"))
+    placed = placed.filter(~((F.col("__rank") != _BLOCK) & collective) & ~stray)
+    placed = placed.withColumns({"provider_layout": F.col("__layout"), "template": F.col("__layout")}).select(
+        *RECORD_COLUMNS, *_EXPANSION)
+    return (expand_history(placed) if expand else placed).drop(*_EXPANSION)
 
 
 # ------------------------------------------------------------------ simpler extractors

@@ -868,16 +868,14 @@ def standardize_by_rules(spark, folder):
 
 
 @query("adapter_scores", """
-SELECT * FROM (VALUES ('celesc', 0.0), ('cemig', 6.0), ('coelba', 1.5), ('copel', 0.0), ('cpfl', 0.0), ('enel', 0.0), ('energisa', 1.0), ('equatorial', 0.0), ('light', 0.0)) v(adapter, score)
+SELECT * FROM (VALUES ('celesc', 0.0), ('cemig', 5.5), ('coelba', 1.5), ('copel', 0.0), ('cpfl', 0.0), ('enel', 0.0), ('energisa', 1.0), ('equatorial', 0.0), ('light', 0.0)) v(adapter, score)
 WHERE (SELECT count(*) FROM part) > 0""".replace("0.0)", "0.0::double)"))
 def adapter_scores(spark, folder):
-    df = B.table(spark, folder, "part").select(
-        F.concat(F.lit("CEMIG Distribuicao "), "p_name").alias("origem"), c("p_brand").alias("fornecedor"), F.lit("x").alias("cemig_neoenergia_id"),
-        F.lit(1).alias("neoenergia"))
-    df = df.select("origem", "fornecedor", c("cemig_neoenergia_id").alias("conta_cemig"), "neoenergia")
     # 1.5 for the column name, 2.0 for each of two content words; coelba by column, energisa by file name.
-    return AD.adapter_scores(df, ["out/energisa_master.csv"]).withColumn("score", F.when(
-        c("adapter") == "cemig", c("score") + 0.5).otherwise(c("score")))
+    df = B.table(spark, folder, "part").select(
+        F.concat(F.lit("CEMIG Distribuicao "), "p_name").alias("origem"), c("p_brand").alias("fornecedor"),
+        c("p_type").alias("conta_cemig"), c("p_size").alias("neoenergia"))
+    return AD.adapter_scores(df, ["out/energisa_master.csv"])
 
 
 @query("class_totals", with_base(_CONTRACT, f"""
@@ -1125,11 +1123,11 @@ w AS (SELECT *, CASE WHEN NOT has_q THEN NULL WHEN NOT enabled AND look NOT IN (
 li AS (SELECT *, CASE WHEN has_q THEN qty * sem ELSE sem END AS sub_sem, CASE WHEN has_q THEN qty * com ELSE com END AS sub_com FROM w)"""
 
 
-@query("scenario_line_items", f"WITH {_LINE_SQL.strip()} SELECT name AS scenario, pk AS row_pos, item_code, enabled, srule AS scaling_rule, round(coalesce(qty, 0), 4) AS quantity, round(sub_sem, 2) AS subtotal_sem, round(sub_com, 2) AS subtotal_com FROM li")
+@query("scenario_line_items", f"WITH {_LINE_SQL.strip()} SELECT name AS scenario, pk AS row_pos, item_code, enabled, srule AS scaling_rule, round(coalesce(qty, 0), 4) AS quantity, round(sem, 4) AS price_sem, round(com, 4) AS price_com FROM li")
 def scenario_line_items(spark, folder):
     _, lines = _scenario_frames(spark, folder)
     return lines.select("scenario", "row_pos", "item_code", "enabled", "scaling_rule", F.round("quantity", 4).alias("quantity"),
-                        F.round("subtotal_sem", 2).alias("subtotal_sem"), F.round("subtotal_com", 2).alias("subtotal_com"))
+                        F.round("unit_price_sem", 4).alias("price_sem"), F.round("unit_price_com", 4).alias("price_com"))
 
 
 def _sum2(col: str) -> str:
@@ -1333,6 +1331,12 @@ def output_discovery(spark, folder):
 
 
 # =================================================================== text extraction
+def staged_pages(pages: DataFrame) -> DataFrame:
+    """Pages written once, spread by page: parsing is bound by CPU, and documents differ in size."""
+    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(pages.repartition(spread, "pdf_source", "page_no"))
+
+
 _PAGE = "'doc_' || (custkey % 20) || '.pdf' AS pdf_source, cast(custkey // 20 + 1 AS int) AS page_no"
 _MONEY_SQL = "round(kwh_total_te * 0.5, 2)"
 
@@ -1349,7 +1353,7 @@ SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'CPFL' WHEN 1 THEN 'CEMIG' WHEN
 def layout_of_texts(spark, folder):
     texts = ["CPFL Paulista\nItens da Fatura", "CEMIG distribuição S.A\nConta de Energia", "COPEL\nDescrição do Faturamento", "Equatorial Energia\nFatura",
              "Energisa\nFatura", "Light Serviços de Eletricidade S.A.", "Neoenergia Cosern\nx", "sem marcadores"]
-    text = F.concat(F.element_at(F.array(*[F.lit(t) for t in texts]), (c("p_partkey") % 8 + 1).cast("int")), F.lit("\n"), "p_name")
+    text = F.concat(F.element_at(F.array(*[F.lit(t) for t in texts]), (c("p_partkey") % 8 + 1).cast("int")), F.lit("\n"), c("p_partkey").cast("string"))
     return B.table(spark, folder, "part").select("p_partkey", LA.layout_of_text(text).alias("layout"))
 
 
@@ -1381,7 +1385,7 @@ SELECT {_PAGE.replace(' AS page_no', ' AS page_first_seen')}, uc, referencia, CA
 
 @query("extract_records", with_base(MASTER, _EXTRACTED))
 def extract_records(spark, folder):
-    out = EX.extract_pages(materialize(B.labelled_pages(spark, folder)))
+    out = EX.extract_pages(staged_pages(B.labelled_pages(spark, folder)))
     return out.select(
         "pdf_source", "page_first_seen", "uc", "referencia", "grupo_tensao", "subgrupo", "categoria", "tipo_fornecimento", "nome", "endereco", "kwh_total_te",
         "demanda_hp_kw", "consumo_fhp_kwh", "total_fatura_rs", F.when(c("categoria").isin("B3", "IP"), c("itens_fatura_total_valor_rs")).alias("itens_valor"),
@@ -1400,7 +1404,7 @@ FROM latest l CROSS JOIN range(13) t(i) LEFT JOIN master m ON m.custkey = l.cust
 
 @query("extract_history", with_base(MASTER, f", {_LATEST} {_expanded_sql()}"))
 def extract_history(spark, folder):
-    out = EX.extract_pages(materialize(B.history_pages(spark, folder)), expand=True)
+    out = EX.extract_pages(staged_pages(B.history_pages(spark, folder)), expand=True)
     return out.select("uc", "referencia", "kwh_total_te", "total_fatura_rs")
 
 
@@ -1409,7 +1413,7 @@ SELECT l.uc, m.referencia, coalesce(m.demanda_hp_kw, 0) AS demanda_hp_kw, coales
        CASE WHEN m.ix = l.ix THEN coalesce(l.total_fatura_rs, 0) END AS total_fatura_rs, l.nome, l.endereco, 'Poder publico Municipal' AS origem, l.tipo_fornecimento, 'ENEL_A4' AS provider_layout
 FROM latest l JOIN master m USING (custkey) WHERE l.categoria = 'A4'"""))
 def extract_unlabelled_a4(spark, folder):
-    out = EX.extract_pages(materialize(B.fiscal_a4_pages(spark, folder)), expand=True)
+    out = EX.extract_pages(staged_pages(B.fiscal_a4_pages(spark, folder)), expand=True)
     return out.select("uc", "referencia", "demanda_hp_kw", "demanda_fhp_kw", "consumo_hp_kwh", "consumo_fhp_kwh", "kwh_total_te", "total_fatura_rs",
                       "nome", "endereco", "origem", "tipo_fornecimento", "provider_layout")
 
@@ -1418,7 +1422,7 @@ def extract_unlabelled_a4(spark, folder):
 SELECT uc, referencia, categoria, CASE categoria WHEN 'IP' THEN 'B4A' ELSE 'B3' END AS subgrupo, kwh_total_te, coalesce(total_fatura_rs, 0) AS total_fatura_rs, 'MUNICIPIO DE ' || nome AS nome, endereco,
        'HISTORICO_CONSUMO_KWH' AS audit_kwh_source FROM latest WHERE categoria IN ('B3', 'IP')"""))
 def extract_unlabelled_b(spark, folder):
-    out = EX.extract_pages(materialize(B.fiscal_b_pages(spark, folder)))
+    out = EX.extract_pages(staged_pages(B.fiscal_b_pages(spark, folder)))
     return out.select("uc", "referencia", "categoria", "subgrupo", "kwh_total_te", "total_fatura_rs", "nome", "endereco", "audit_kwh_source")
 
 
@@ -1426,7 +1430,7 @@ def extract_unlabelled_b(spark, folder):
 SELECT uc, '01/2001' AS referencia, 'B3' AS categoria, kwh_total_te, coalesce(total_fatura_rs, 0) AS total_fatura_rs, 'MUNICIPIO DE ' || nome AS nome, endereco || ' Competencia ' || referencia AS endereco, 'TEXTO_CONSUMO_TE' AS audit_kwh_source, 'NEOENERGIA_ELEKTRO' AS provider_layout
 FROM latest WHERE categoria IN ('B3', 'IP')"""))
 def extract_grouped(spark, folder):
-    out = EX.extract_pages(materialize(B.grouped_pages(spark, folder)))
+    out = EX.extract_pages(staged_pages(B.grouped_pages(spark, folder)))
     return out.select("uc", "referencia", "categoria", "kwh_total_te", "total_fatura_rs", "nome", "endereco", "audit_kwh_source", "provider_layout")
 
 
@@ -1440,7 +1444,7 @@ def extract_single_layout(spark, folder):
 @query("extract_two_tabs", with_base(MASTER, f"""
 SELECT uc, CASE WHEN categoria = 'A4' THEN 'A4' ELSE 'B3' END AS tab, CASE WHEN categoria IN ('B3', 'OUTROS') THEN {ptbr('kwh_total_te')} ELSE '' END AS consumo_te, tipo_fornecimento FROM master"""))
 def extract_two_tabs(spark, folder):
-    a4, b3 = EX.two_tab_rows(materialize(B.labelled_pages(spark, folder)))
+    a4, b3 = EX.two_tab_rows(staged_pages(B.labelled_pages(spark, folder)))
     return a4.select("uc", F.lit("A4").alias("tab"), F.lit("").alias("consumo_te"), "tipo_fornecimento").unionByName(
         b3.select("uc", F.lit("B3").alias("tab"), "consumo_te", "tipo_fornecimento"))
 
