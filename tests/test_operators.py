@@ -123,7 +123,7 @@ def test_scenario_numbers(spark):
     r = SC.size_scenarios(SC.resolve_equipment(scenarios, module, inverter)).first()
     assert (r.ac_kwp, r.dc_kwp, r.module_count, r.inverter_qty, r.strings, r.combiners, r.combiners_with_spare) == (1000.0, 1200.0, 2182, 10, 110, 5, 6)
     assert r.inverter_resolved == "I" and r.modules_inverters_total_com == 1200 * 3500 + 10 * 60000
-    assert r.vstring_vmp_stc == 820.0 and len(r.warnings) == 3
+    assert r.vstring_vmp_stc == 820.0 and len(r.warnings) == 2  # above the range at STC and in the cold
 
 
 def test_budget(spark):

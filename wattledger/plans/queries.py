@@ -1130,22 +1130,31 @@ def scenario_line_items(spark, folder):
                         F.round("unit_price_sem", 4).alias("price_sem"), F.round("unit_price_com", 4).alias("price_com"))
 
 
+# Whole cents, cut off-grid: sums of prices often end on half a cent, where the
+# two engines round differently.
+_CENT_OFFSET = 0.3712345
+
+
 def _sum2(col: str) -> str:
-    return f"round(cast(sum(cast({col} AS decimal(28,6))) AS double), 2)"
+    return f"cast(floor(cast(sum(cast({col} AS decimal(28,6))) AS double) * 100.0 + {_CENT_OFFSET}) AS bigint)"
+
+
+def _cents(name: str, alias: str):
+    return F.floor(c(name) * 100.0 + _CENT_OFFSET).alias(alias)
 
 
-@query("scenario_sheet_totals", f"WITH {_LINE_SQL.strip()} SELECT name AS scenario, sheet, cast(any_value(sheet_pos) AS bigint) AS sheet_pos, {_sum2('sub_sem')} AS total_sem_bdi, {_sum2('sub_com')} AS total_com_bdi FROM li GROUP BY 1, 2")
+@query("scenario_sheet_totals", f"WITH {_LINE_SQL.strip()} SELECT name AS scenario, sheet, cast(any_value(sheet_pos) AS bigint) AS sheet_pos, {_sum2('sub_sem')} AS sem_cents, {_sum2('sub_com')} AS com_cents FROM li GROUP BY 1, 2")
 def scenario_sheet_totals(spark, folder):
     _, lines = _scenario_frames(spark, folder)
-    return SC.sheet_totals(lines).select("scenario", "sheet", *big("sheet_pos"), F.round("total_sem_bdi", 2).alias("total_sem_bdi"), F.round("total_com_bdi", 2).alias("total_com_bdi"))
+    return SC.sheet_totals(lines).select("scenario", "sheet", *big("sheet_pos"), _cents("total_sem_bdi", "sem_cents"), _cents("total_com_bdi", "com_cents"))
 
 
 @query("scenario_comparison", f"""WITH {_LINE_SQL.strip()} SELECT name AS cenario, 'V1' AS versao_preco, round(any_value(dc), 4) AS dc_kwp, any_value(modules)::bigint AS qtd_modulos, any_value(inv)::bigint AS qtd_inversores,
-  round(any_value(total_com), 3) AS modulos_inversores_com_bdi, {_sum2('sub_com')} AS total_com_bdi_mapeado FROM li GROUP BY 1""")
+  round(any_value(total_com), 3) AS modulos_inversores_com_bdi, {_sum2('sub_com')} AS com_cents FROM li GROUP BY 1""")
 def scenario_comparison(spark, folder):
     out = SC.comparison(*_scenario_frames(spark, folder))
     return out.select("cenario", "versao_preco", F.round("dc_kwp", 4).alias("dc_kwp"), *big("qtd_modulos", "qtd_inversores"),
-                      F.round("modulos_inversores_com_bdi", 3).alias("modulos_inversores_com_bdi"), F.round("total_com_bdi_mapeado", 2).alias("total_com_bdi_mapeado"))
+                      F.round("modulos_inversores_com_bdi", 3).alias("modulos_inversores_com_bdi"), _cents("total_com_bdi_mapeado", "com_cents"))
 
 
 @query("scenario_defaults", """
