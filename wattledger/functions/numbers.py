@@ -109,9 +109,18 @@ def exact_sum(c: Column) -> Column:
     Whole units and millionths are added as two integers: as exact as a decimal
     sum for such amounts, and several times cheaper in wide aggregates.
     """
+    whole, millionths = exact_parts(c)
+    return exact_total(F.sum(whole), F.sum(millionths))
+
+
+def exact_parts(c: Column) -> tuple[Column, Column]:
+    """(whole units, millionths) of an amount, as integers."""
     unit = F.floor(c)
-    whole = F.sum(unit)
-    millionths = F.sum(F.rint((c - unit) * float(_MICRO)).cast("bigint"))
+    return unit, F.rint((c - unit) * float(_MICRO)).cast("bigint")
+
+
+def exact_total(whole: Column, millionths: Column) -> Column:
+    """The amount behind summed parts."""
     small = F.abs(whole) < 9_000_000_000  # the scaled total still fits a double exactly
     return F.when(small, (whole * _MICRO + millionths).cast("double") / float(_MICRO)).otherwise(
         whole.cast("double") + millionths.cast("double") / float(_MICRO))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattledger.functions import fixed_values as V
 from wattledger.functions.dates import index_label, reference_index
 from wattledger.functions.domain import a4_label, availability_exact_kwh, availability_kwh
-from wattledger.functions.numbers import exact_sum, max_positive, sum_or_zero
+from wattledger.functions.numbers import exact_parts, exact_sum, exact_total, max_positive, sum_or_zero
 from wattledger.functions.text import strip
 from wattledger.operators.skew import one_row
 
@@ -43,15 +43,29 @@ def slot_labels(df: DataFrame, months: int = V.MONTHS_IN_WINDOW) -> DataFrame:
     return w.select(F.format_string("m%02d", F.col("slot")).alias("column"), "referencia")
 
 
-def with_slot(df: DataFrame, whole: DataFrame | None = None, reference: str = "referencia") -> DataFrame:
-    """Add `__slot`: months back from the latest month of `whole` (default: of the table itself)."""
+def with_slot(df: DataFrame, whole: DataFrame | None = None, reference: str = "referencia",
+              measures: tuple[str, ...] = ("kwh_total_te",)) -> DataFrame:
+    """Add `__slot`: months back from the latest month of `whole` (default: of the table itself).
+
+    The measures are split into the integer parts of an exact sum here, once per
+    row, so that many conditional sums over them stay small and compiled.
+    """
     placed = one_row(df, anchor(df if whole is None else whole, reference))
-    return placed.withColumn("__slot", F.col("__last") - reference_index(F.col(reference))).drop("__last")
+    placed = placed.withColumn("__slot", F.col("__last") - reference_index(F.col(reference))).drop("__last")
+    parts = {}
+    for m in measures:
+        parts[f"__whole_{m}"], parts[f"__micro_{m}"] = exact_parts(F.col(m).cast("double"))
+    return placed.withColumns(parts)
 
 
-def _slot_sums(value: str | Column, months: int) -> list[Column]:
-    value = F.col(value) if isinstance(value, str) else value
-    return [sum_or_zero(F.when(F.col("__slot") == i, value)) for i in range(months)]
+def _slot_sums(measure: str, months: int) -> list[Column]:
+    """Exact sum of a measure per slot, 0 without rows; for tables made by `with_slot`."""
+    out = []
+    for i in range(months):
+        here = F.col("__slot") == i
+        whole, micro = (F.sum(F.when(here, F.col(f"__{part}_{measure}"))) for part in ("whole", "micro"))
+        out.append(F.coalesce(exact_total(whole, micro), F.lit(0.0)))
+    return out
 
 
 def _mean(names: list[str], months: int | None = None) -> Column:
@@ -69,7 +83,7 @@ def month_matrix(
     known = F.col("referencia").isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    placed = with_slot(df, whole).filter(known)
+    placed = with_slot(df, whole, measures=(value,)).filter(known)
     return placed.groupBy(*keys).agg(
         *[c.alias(n) for c, n in zip(_slot_sums(value, months), slot_names(months))])
 
@@ -197,7 +211,7 @@ def a4_table(master: DataFrame, fill_zeros: bool = True, months: int = V.MONTHS_
     for name, column in _A4_SERIES.items():
         for i, total in enumerate(_slot_sums(column, months)):
             series[f"__{name}_{i:02d}"] = total
-    per_uc = with_slot(rows, master).groupBy("uc").agg(
+    per_uc = with_slot(rows, master, measures=tuple(_A4_SERIES.values())).groupBy("uc").agg(
         *[first_text(c, order).alias(c) for c in
           ("nome", "endereco", "classificacao_uc", "tipo_fornecimento", "audit_pdf_pages", "pdf_source")],
         *demand_lock(),
@@ -279,8 +293,8 @@ def sizing_inputs(master: DataFrame, fill_zeros: bool = True, months: int = V.MO
     UC) has all their month slots.
     """
     cat = F.when(F.upper("categoria") == "A4", "A4").when(F.col("categoria").isin("B3", "IP"), F.col("categoria"))
-    rows = with_slot(master).withColumn("__cat", cat).filter("__cat is not null")
     measures = {"kwh": "kwh_total_te", "hp": "consumo_hp_kwh", "fhp": "consumo_fhp_kwh"}
+    rows = with_slot(master, measures=tuple(measures.values())).withColumn("__cat", cat).filter("__cat is not null")
     sums = {f"{tag}_{n}": total for tag, column in measures.items()
             for n, total in zip(slot_names(months), _slot_sums(column, months))}
     per_uc = rows.groupBy("__cat", "uc").agg(
