@@ -7,6 +7,7 @@ from wattledger.functions import dates as D
 from wattledger.functions import domain as K
 from wattledger.functions import numbers as N
 from wattledger.functions import text as X
+from wattledger.functions.fixed_values import EXPORT_DEFAULT_NAME
 from wattledger.functions.columns import (
     ContractSchemaError, check_contract, first_number, fits_template, header_name, reorder, resolve_exact_first,
     resolve_loose, with_output_contract,
@@ -35,7 +36,7 @@ def values(spark, fn, texts):
     (X.tidy_lines, {" a\r\n\n b\t\tc ": "a\n b c"}),
     (X.file_slug, {"Ilha Bela/Ção": "ilha_bela_cao", "": "arquivo"}),
     (X.project_slug, {"Usina Ção 1": "usina_o_1", "--": "project"}),
-    (X.export_name, {"A b-c": "A_b-c", "": "Sunergies_app"}),
+    (X.export_name, {"A b-c": "A_b-c", "": EXPORT_DEFAULT_NAME}),
     (X.municipality_of_file, {"x/palhoca_faturas_2.pdf": "palhoca", "sao-jose_invoices.pdf": "sao jose", "faturas.pdf": "NAO INFORMADO"}),
     (X.spell_abbreviations, {"FHP e HP": "FHP (Fora de Horario de Ponta) e HP (Horario de Ponta)"}),
     (K.availability_kwh, {"Trifásico": 100.0, "BIFASICO": 50.0, "mono": 30.0, "": 0.0}),

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattledger.functions import fixed_values as V
-from wattledger.functions.binding import bind, bind_sql, sql_text
+from wattledger.functions.binding import bind_sql, sql_text
 
 # Latin letters with marks, superscripts, letter-like signs, Roman numerals,
 # ligatures, full-width forms: the blocks an invoice can hold.
@@ -169,7 +169,7 @@ def file_slug(c: Column) -> Column:
 def export_name(c: Column) -> Column:
     """Keeps case and hyphens."""
     kept = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"[^A-Za-z0-9_-]+", "_")
-    return _or_default(F.regexp_replace(kept, r"^_+|_+\z", ""), "Sunergies_app")
+    return _or_default(F.regexp_replace(kept, r"^_+|_+\z", ""), V.EXPORT_DEFAULT_NAME)
 
 
 def drop_glyph_codes(c: Column) -> Column:

@@ -12,11 +12,11 @@ from wattledger.functions import dates as D
 from wattledger.functions import domain as K
 from wattledger.functions import numbers as N
 from wattledger.functions import text as X
+from wattledger.functions.fixed_values import EXPORT_DEFAULT_NAME, RULE_FAMILY_CLASSES
 from wattledger.operators import adapters as AD
 from wattledger.operators import analytics as AN
 from wattledger.operators import audit as AU
 from wattledger.operators import budget as BU
-from wattledger.operators import cascade as CA
 from wattledger.operators import catalog as CT
 from wattledger.operators import extraction as EX
 from wattledger.operators import items as IT
@@ -27,7 +27,6 @@ from wattledger.operators import rules as RU
 from wattledger.operators import scenario as SC
 from wattledger.operators import sizing as SZ
 from wattledger.plans import binding as B
-from wattledger.plans import check_sql as Q
 from wattledger.plans.check_sql import COSTS, ITEMS, LINES, MASTER, MONTHS, mean, ptbr, slots, total, with_base
 from wattledger.sources import readers as RD
 from wattledger.sources import writers as WR
@@ -90,9 +89,9 @@ def text_tidy_lines(spark, folder):
         "doc_id", F.md5("t").alias("digest"), F.size(X.lines_of(c("t"))).cast("bigint").alias("lines"))
 
 
-@query("text_slugs", r"""
+@query("text_slugs", rf"""
 SELECT page_id, coalesce(nullif(s, ''), 'project') AS project, coalesce(nullif(s, ''), 'na') AS run,
-       coalesce(nullif(s, ''), 'arquivo') AS file, coalesce(nullif(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'Sunergies_app') AS export
+       coalesce(nullif(s, ''), 'arquivo') AS file, coalesce(nullif(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), '{EXPORT_DEFAULT_NAME}') AS export
 FROM (SELECT page_id, url, regexp_replace(regexp_replace(lower(trim(url)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM pages)""")
 def text_slugs(spark, folder):
     return B.table(spark, folder, "pages").select(
@@ -169,9 +168,6 @@ def number_aggregates(spark, folder):
         F.round(N.ratio(N.exact_sum(c("valor")), N.sum_or_zero(c("quantidade"))), 6).alias("price"))
 
 
-_MON = "(['JAN','FEV','MAR','ABR','MAI','JUN','JUL','AGO','SET','OUT','NOV','DEZ'])[month(o_orderdate)]"
-
-
 @query("month_tokens", """
 SELECT o_orderkey, r AS slash, r AS short, r AS named, r AS named_long, r AS packed, r AS of_date, '' AS bad, r AS compact
 FROM (SELECT o_orderkey, strftime(o_orderdate, '%m/%Y') AS r FROM orders)""")
@@ -236,7 +232,6 @@ def _class_sql(name: str, values: list) -> str:
 ]) + " FROM part")
 def class_ladders(spark, folder):
     text = F.element_at(F.array(*[F.lit(t) for t in _CLASS_TEXTS]), (c("p_partkey") % len(_CLASS_TEXTS) + 1).cast("int"))
-    from wattledger.functions.fixed_values import RULE_FAMILY_CLASSES
     plain = X.ascii_upper(c("t"))
     return B.table(spark, folder, "part").select("p_partkey", text.alias("t")).withColumn("a", plain).select(
         "p_partkey", K.category_of_text(c("a")).alias("text_class"), K.contract_class(c("t")).alias("contract_class"),

@@ -110,8 +110,9 @@ def preferred_output(files: DataFrame) -> DataFrame:
 def sizing_sources(files: DataFrame, limit: int = 200) -> DataFrame:
     """Sizing files and app exports, newest first, with the municipality their folder names."""
     name = F.lower("name")
-    wanted = name.rlike(r"(dimensionamento|filtered_flat|sunergies_app).*\.(csv|xlsx)$")
-    kind = F.when(name.rlike("filtered_flat|sunergies_app"), "streamlit_export").otherwise("dimensionamento")
+    app = "|".join(V.APP_EXPORT_WORDS)
+    wanted = name.rlike(rf"(dimensionamento|{app}).*\.(csv|xlsx)$")
+    kind = F.when(name.rlike(app), "streamlit_export").otherwise("dimensionamento")
     return files.filter(wanted).select(
         "path", F.col("name").alias("filename"), F.regexp_extract("path", r"(?i)/municipios/([^/]+)/", 1).alias("municipio"),
         F.date_format("modified", "yyyy-MM-dd HH:mm").alias("modified_at"),
