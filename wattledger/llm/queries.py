@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from wattledger.llm import checks
 from wattledger.llm.common import ship_package, table
 from wattledger.llm.decontamination import contamination_report
+from wattledger.llm.packing import pack
 from wattledger.llm.quality import score_quality
+from wattledger.llm.secrets import secret_report
 from wattledger.llm.simhash import near_duplicates
 
 
@@ -16,14 +18,32 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_file() -> str:
+    """The public tokenizer's file as it is installed on every machine; it is not part of the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_trees, op5_benchmark_containment, op8_simhash_trie)}
+QUERIES = {f.__name__: f for f in (
+    op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment, op7_packing_least_squares, op8_simhash_trie)}
 CHECKS = {"op5_benchmark_containment": checks.CONTAMINATION}
