@@ -222,13 +222,16 @@ def secret_report(documents: DataFrame, least: float = LEAST_LOG10_GUESSES) -> D
     def count(test: Callable) -> Column:
         return F.size(F.filter("spans", test)).cast("long")
 
+    def of_kind(kind: str) -> Column:
+        return count(lambda s: s["kind"] == kind)
+
     def text(spans: Column | str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     return found.select(
-        "doc_id", *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in KINDS[:3]],
+        "doc_id", *[of_kind(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(text(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"), text("spans").alias("spans"),
-        count(lambda s: s["kind"] == "guess").alias("n_guess"),
+        of_kind("guess").alias("n_guess"),
         count(lambda s: F.coalesce(s["log10_guesses"], F.lit(0.0)) >= least).alias("n_strong"))
 
 
