@@ -22,3 +22,37 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS big
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+URLS = r"""
+WITH u AS (SELECT page_id, lower(coalesce(url, '')) AS low,
+                  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, low, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, low, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                              ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+j AS (SELECT p.*, (SELECT arg_max(struct_pack(rule := rh || rp, verdict := verdict), length(rh || rp)) FROM r
+                   WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS best FROM p),
+m AS (SELECT *, CASE
+        WHEN regexp_matches(low, '/ads/policy([^a-z0-9_.%-]|$)') THEN '/ads/policy^'
+        WHEN contains(low, '://tracker.') THEN '://tracker.*' WHEN regexp_matches(low, '([^a-z0-9_.%-]|^)phpsessid=') THEN '^phpsessid='
+        WHEN contains(low, '/wp-login.php') AND regexp_matches(low, '/wp-login\.php([^a-z0-9_.%-]|$)') THEN '/wp-login.php^'
+        WHEN contains(low, '/wp-admin/') THEN '/wp-admin/' WHEN contains(low, '/cgi-bin/') THEN '/cgi-bin/'
+        WHEN regexp_matches(low, '(?s)/banner.*\.gif([^a-z0-9_.%-]|$)') THEN '/banner*.gif^'
+        WHEN regexp_matches(low, '/adserver([^a-z0-9_.%-]|$)') THEN '/adserver^' WHEN contains(low, '/ads/') THEN '/ads/'
+        WHEN contains(low, 'casino-bonus') THEN '*casino-bonus*' END AS pattern FROM j)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN pattern IS NULL OR pattern = '/ads/policy^' THEN 'allow' ELSE 'block' END) AS verdict,
+       CASE WHEN best IS NULL THEN pattern END AS pattern
+FROM m
+"""
+
+TOP_PRODUCTS = """
+WITH e AS (SELECT vec_id, [cast(floor(1024 * cast(x AS double)) AS bigint) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, e.vec_id,
+             cast(list_sum([q.v[i] * e.v[i] FOR i IN range(1, len(e.v) + 1)]) AS bigint) AS score
+      FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND len(q.v) = len(e.v)),
+r AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 10
+"""

@@ -16,21 +16,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattledger.llm.common import unused, written
+from wattledger.llm.common import lower_ascii, unused, written
 
 WINDOW_WORDS = 10
 #: Windows that are broadcast at once (some 300 bytes each).
 BLOCK_WINDOWS = 100_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words, before lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all other letters as they are; pure ASCII takes the faster function."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
 def words(text: Column) -> Column:
     """The words of a whole text; null has none."""
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")

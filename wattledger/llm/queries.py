@@ -8,9 +8,18 @@ from wattledger.llm import checks
 from wattledger.llm.common import ship_package, table
 from wattledger.llm.decontamination import contamination_report
 from wattledger.llm.packing import pack
+from wattledger.llm.private_data import private_report
 from wattledger.llm.quality import score_quality
 from wattledger.llm.secrets import secret_report
 from wattledger.llm.simhash import near_duplicates
+from wattledger.llm.toxicity import score_toxicity
+from wattledger.llm.url_filter import judge_urls
+from wattledger.llm.vector_search import top_products
+
+
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +36,10 @@ def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_url_token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file() -> str:
     """The public tokenizer's file as it is installed on every machine; it is not part of the repository."""
     import public_tokenizers
@@ -44,6 +57,19 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op10_private_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment, op7_packing_least_squares, op8_simhash_trie)}
-CHECKS = {"op5_benchmark_containment": checks.CONTAMINATION}
+    op1_toxicity_nnpu, op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment, op6_url_token_rules,
+    op7_packing_least_squares, op8_simhash_trie, op9_vector_approximation, op10_private_weak_labels)}
+CHECKS = {
+    "op5_benchmark_containment": checks.CONTAMINATION, "op6_url_token_rules": checks.URLS, "op9_vector_approximation": checks.TOP_PRODUCTS,
+}
