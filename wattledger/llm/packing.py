@@ -14,6 +14,7 @@ gathered in one task, and no token is shuffled: checksums of cut pieces follow f
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,8 +34,9 @@ WINDOW, UNIT, END_ID = 4096, 16, 2
 #: Lengths in a combination, at most.
 DEEPEST = 3
 #: Characters tokenized at once, and different words a worker remembers.
-CHARACTERS_AT_ONCE, WORDS_KEPT = 1 << 20, 400_000
+CHARACTERS_AT_ONCE, WORDS_KEPT = 1 << 20, 1_000_000
 ID_BYTES = 4
+_LETTERS_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 # ---- token ids ----
@@ -42,35 +44,74 @@ ID_BYTES = 4
 class WordTokenizer:
     """Token ids of a tokenizer that drops white space and never joins words across it.
 
-    So the ids of a text are those of its words one after the other, and each different word is tokenized once. A full
-    stop, comma or the like after a letter or digit is a word of its own to the tokenizer. Lower case of A-Z changes
-    nothing, as the tokenizer lower-cases. Texts that may hold a special token's string are encoded as they are.
+    So the ids of a text are those of its words one after the other, and each different word is tokenized once. A word
+    of letters, and the marks after it, are two words to the tokenizer; for letters in composed lower case, its
+    normalization changes nothing and the merge model alone gives the ids (tried on a few words first; if they
+    differ, the whole tokenizer is asked always). Lower case of A-Z changes nothing, as the tokenizer lower-cases. Texts that
+    may hold a special token's string are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+        probes = ["a", "the", "wordlike", "straße", "déjà", "ñandú", "abcdefghijklmnop"]
+        self.direct = [self._merged(w) for w in probes] == self._plain(probes) and self._plain(["abc"])[0] + self._plain(["),!"])[0] == self._plain(["abc),!"])[0]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def _learn(self, missing: set[bytes]) -> set[bytes]:
+        """Adds the words to `known`; returns all that was added."""
+        known, whole, split = self.known, [], []
+        for w in missing:
+            found = _LETTERS_AND_MARKS.fullmatch(w.decode("utf-8", "replace").lower()) if self.direct else None
+            if found is None:
+                whole.append(w)
+            else:
+                split.append((w, found[1], found[2].encode()))
+        marks = list({m for _, _, m in split} - known.keys() - set(whole))
+        added = [*whole, *marks]
+        known.update(zip(added, self._plain([w.decode("utf-8", "replace") for w in added]), strict=True))
+        for w, letters, mark in split:
+            key = letters.encode()
+            if (ids := known.get(key)) is None:
+                ids = known[key] = self._merged(letters)
+                added.append(key)
+            if w != key:
+                known[w] = ids + known[mark]
+                added.append(w)
+        return set(added)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned 32-bit integers.
+
+        Words are remembered until there are WORDS_KEPT; later ones are forgotten again after the call, and all are
+        when most words of a call are unknown.
+        """
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         split = [None if b"<|" in r else r.lower().split() for r in raw]
-        missing = set().union(*(w for w in split if w is not None)) - self.known.keys()
-        if len(self.known) + len(missing) > WORDS_KEPT and self.known:
+        words = set().union(*(w for w in split if w is not None))
+        missing = words - self.known.keys()
+        full = len(self.known) >= WORDS_KEPT
+        if full and 2 * len(missing) > len(words):
             self.known.clear()
-            missing = set().union(*(w for w in split if w is not None))
-        cut = {w for w in missing if len(w) > 1 and w[-1] in b".,;:!?" and w[-2:-1].isalnum()}
-        whole = (missing - cut) | ({part for w in cut for part in (w[:-1], w[-1:])} - self.known.keys())
-        whole = list(whole)
-        self.known.update(zip(whole, self._plain([w.decode("utf-8", "replace") for w in whole]), strict=True))
-        for w in cut:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+            missing, full = words, False
+        added = self._learn(missing)
         odd = iter(self._plain([t for t, w in zip(texts, split, strict=True) if w is None]))
-        return [next(odd) if w is None else b"".join(map(self.known.__getitem__, w)) for w in split]
+        out = [next(odd) if w is None else b"".join(map(self.known.__getitem__, w)) for w in split]
+        if full:
+            for w in added:
+                del self.known[w]
+        return out
 
 
 _LOADED: dict[str, WordTokenizer] = {}
