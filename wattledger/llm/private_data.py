@@ -4,7 +4,7 @@ Patterns find candidate spans in whole texts. Five labelers vote on each candida
 opinion): the shape of the value, a gazetteer, cue words nearby, words that speak against it, and its borders. How
 reliable each labeler is comes from expectation-maximisation over the counts of vote patterns (at most 3**5 per kind,
 whatever the corpus). Its posteriors are the soft labels of a naive Bayes span classifier over features of the span
-itself, which decides the added kinds. Base spans that pass their own test always stay.
+itself next to the votes, which decides the added kinds. Base spans that pass their own test always stay.
 
 The text is read once: candidates with votes and features, without their text, go to the shared folder, and all
 else is aggregates over them and arithmetic within a row.
@@ -35,7 +35,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "name": r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}{1,20}\x20(?:\p{Lu}\.\x20)?\p{Lu}\p{Ll}{1,20}(?:-\p{Lu}\p{Ll}{1,20})?(?![\p{L}\p{N}])",
+    "name": r"(?<![\p{L}\p{N}])(?!(?:Dear|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Name|By|Signed)\b)\p{Lu}\p{Ll}{1,20}\x20(?:\p{Lu}\.\x20)?\p{Lu}\p{Ll}{1,20}(?:-\p{Lu}\p{Ll}{1,20})?(?![\p{L}\p{N}])",
 }
 #: A text in which this is not found has no candidate of the kind.
 HINTS = {"email": "@", "phone": "+"}
@@ -207,7 +207,10 @@ def reliabilities(counts: Iterable[tuple[str, str, int]], rounds: int = 50, smoo
 
 
 def span_classifier(found: DataFrame, posterior: dict[tuple[str, str], float], smooth: float = 1.0) -> dict[str, float]:
-    """Naive Bayes weights: log odds per kind (key: the kind) and per kind and feature, from soft labels."""
+    """Naive Bayes weights: log odds per kind (key: the kind), per kind and feature from soft labels, and per kind and votes.
+
+    The weight of votes is what their posterior says beyond the kind's own odds.
+    """
     soft = found.sparkSession.createDataFrame([(k, v, p) for (k, v), p in posterior.items()], "kind string, votes string, p double")
     each = found.select(F.explode("spans").alias("s")).select("s.kind", "s.votes", F.explode(F.array_append("s.features", F.lit(""))).alias("feature"))
     sums = each.groupBy("kind", "votes", "feature").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(soft), ["kind", "votes"])
@@ -218,6 +221,9 @@ def span_classifier(found: DataFrame, posterior: dict[tuple[str, str], float], s
         if r["feature"]:
             yes, no = whole[r["kind"]]
             out[f"{r['kind']} {r['feature']}"] = math.log((r["yes"] + smooth) / (yes + 2 * smooth)) - math.log((r["no"] + smooth) / (no + 2 * smooth))
+    for (kind, votes), p in posterior.items():
+        p = min(1 - 1e-6, max(1e-6, p))
+        out[f"{kind} votes {votes}"] = math.log(p / (1 - p)) - out[kind]
     return out
 
 
@@ -236,14 +242,15 @@ def private_spans(documents: DataFrame, accept: float = ACCEPT) -> DataFrame:
         return F.coalesce(F.try_element_at(known, key), F.lit(0.0))
 
     def scored(s: Column) -> Column:
-        odds = F.aggregate(s["features"], weight(s["kind"]), lambda total, f: total + weight(F.concat_ws(" ", s["kind"], f)))
-        told = s["votes"].rlike("^-?[0-9],(?:1,.*|-?[0-9],1,.*)$")
+        told = F.concat(F.lit("votes "), s["votes"])
+        odds = F.aggregate(F.array_append(s["features"], told), weight(s["kind"]), lambda total, f: total + weight(F.concat_ws(" ", s["kind"], f)))
+        backed = s["votes"].rlike("^-?[0-9],(?:1,.*|-?[0-9],1,.*)$")
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (1 / (1 + F.exp(-odds))).alias("probability"),
-                        s["passed"].alias("passed"), told.alias("told"))
+                        s["passed"].alias("passed"), backed.alias("backed"))
 
     def stays(s: Column) -> Column:
         base = s["kind"].isin(list(BASE_KINDS))
-        return (base & s["passed"]) | (~base & s["told"] & (s["probability"] >= accept))
+        return (base & s["passed"]) | (~base & s["backed"] & (s["probability"] >= accept))
 
     kept = F.filter(F.transform("spans", scored), stays)
     return found.select("doc_id", F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["probability"].alias("probability"))).alias("spans"))
