@@ -7,7 +7,7 @@ from wattledger.operators import history as H
 from wattledger.operators import items as I
 from wattledger.operators import rules as RU
 from wattledger.operators.extraction import extract_pages, grouped_blocks
-from wattledger.operators.layouts import layout_of_text, probe_pages
+from wattledger.operators.layouts import document_layouts, layout_of_text
 
 MONTH_LINE = "SET/25 AGO/25 JUL/25 JUN/25 MAI/25 ABR/25 MAR/25 FEV/25 JAN/25 DEZ/24 NOV/24 OUT/24 SET/24"
 TEXTS = {
@@ -118,23 +118,12 @@ def test_layout_names(spark):
     assert {r.t: r.l for r in df.collect()} == cases
 
 
-def brute_probe(total, limit=40):
-    if total <= limit:
-        return list(range(1, total + 1))
-    chosen = set(range(20)) | set(range(total - 10, total))
-    for j in range(10):
-        chosen.add(20 + int(round((j + 1) / 11 * (total - 11 - 20))))
-    for k in range(total):
-        if len(chosen) >= limit:
-            break
-        chosen.add(k)
-    return sorted(k + 1 for k in chosen)
-
-
-def test_probe_pages(spark):
-    totals = [1, 39, 40, 41, 45, 60, 1000]
-    df = spark.createDataFrame([(t,) for t in totals], "t int").select("t", probe_pages(F.col("t")).alias("p"))
-    assert {r.t: r.p for r in df.collect()} == {t: brute_probe(t) for t in totals}
+def test_layout_of_a_long_document(spark):
+    """A marker counts on whatever page it stands, and also across a page break."""
+    rows = [("late", n, "CPFL Paulista" if n == 77 else f"folha {n}") for n in range(1, 121)]
+    rows += [("split", n, {50: "texto CONTA DE", 51: "ENERGIA e CEMIG distribuição S.A"}.get(n, "folha")) for n in range(1, 90)]
+    pages = spark.createDataFrame(rows, "pdf_source string, page_no int, text string")
+    assert {r.pdf_source: r.provider_layout for r in document_layouts(pages).collect()} == {"late": "CPFL", "split": "CEMIG"}
 
 
 def test_histories(spark):

@@ -416,7 +416,6 @@ LAYOUT_MARKERS = [
     ("LIGHT", ["LIGHT", "SERVICOS DE ELETRICIDADE", "FATURA"]),
     ("COELBA", ["COELBA", "NEOENERGIA COELBA", "FATURA"]),
 ]
-PROBE_PAGES = 40
 KNOWN_ITEM_HEADERS = [
     "ITENS DA FATURA", "ITENS DE FATURA", "ITENS DE FATURA UNID QUANT", "CCI* DESCRICAO DO PRODUTO",
 ]
@@ -491,3 +490,5 @@ TARIFF_PRICE_COLUMNS = {
     "fhp_weight": ["kwh_a4_fp_te", "consumo_fhp_kwh", "itens_fatura_energia_kwh"],
 }
 UNKNOWN_CATEGORIES = ["", "OUTROS", "N/A", "NAN"]
+#: The only advice for an export without rows.
+NOTHING_EXTRACTED = "Sem dados de extração para análise."

@@ -114,16 +114,16 @@ def exact_sum(c: Column) -> Column:
 
 
 def exact_parts(c: Column) -> tuple[Column, Column]:
-    """(whole units, millionths) of an amount, as integers."""
+    """(whole units, millionths) of an amount, as integers; NaN and the infinities count as missing."""
+    c = F.when(F.abs(c) < float("inf"), c)  # NaN is above infinity here
     unit = F.floor(c)
     return unit, F.rint((c - unit) * float(_MICRO)).cast("bigint")
 
 
 def exact_total(whole: Column, millionths: Column) -> Column:
     """The amount behind summed parts."""
-    small = F.abs(whole) < 9_000_000_000  # the scaled total still fits a double exactly
-    return F.when(small, (whole * _MICRO + millionths).cast("double") / float(_MICRO)).otherwise(
-        whole.cast("double") + millionths.cast("double") / float(_MICRO))
+    scaled = whole.cast("decimal(28,0)") * F.lit(_MICRO).cast("decimal(8,0)") + millionths.cast("decimal(28,0)")
+    return (scaled * F.lit("0.000001").cast("decimal(7,6)")).cast("double")
 
 
 def sum_or_zero(c: Column) -> Column:

@@ -12,7 +12,8 @@ from wattledger.functions import fixed_values as V
 from wattledger.functions.binding import bind_sql, sql_text
 
 # Latin letters with marks, superscripts, letter-like signs, Roman numerals,
-# ligatures, full-width forms: the blocks an invoice can hold.
+# ligatures, full-width forms: here every decomposition counts. Of all other
+# code points, those do that leave something in ASCII (squared units, circled digits, ...).
 _BLOCKS = [(0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)]
 
 
@@ -20,21 +21,30 @@ _BLOCKS = [(0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFB07
 def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
     """NFKD without marks: (one character to one, one character to several)."""
     one, many = {}, {}
-    for low, high in _BLOCKS:
-        for code in range(low, high):
-            char = chr(code)
-            plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-            if plain == char:
-                continue
-            if len(plain) == 1:
-                one[char] = plain
-            elif plain:
-                many[char] = plain
+    listed = {code for low, high in _BLOCKS for code in range(low, high)}
+    for code in range(0x80, 0x20000):
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables and surrogates
+            continue
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain == char or not (code in listed or any(c.isascii() for c in plain)):
+            continue
+        if len(plain) == 1:
+            one[char] = plain
+        elif plain:
+            many[char] = plain
     return one, many
 
 
 def _regex_class(chars) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    """A class of ranges that holds all of `chars`, and what lies in small gaps between them."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code - ranges[-1][1] <= 8:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 _NOT_ASCII = r"[^\x00-\x7F]"

@@ -16,6 +16,7 @@ from wattledger.functions.dates import contract_date, iso_label
 from wattledger.functions.domain import contract_class, known_class, rule_class
 from wattledger.functions.numbers import as_number, contract_number
 from wattledger.functions.text import strip
+from wattledger.operators.rows import numbered
 
 STANDARD_COLUMNS = [
     "municipio", "uc", "consumer_class", "reference_date", "reference_month", "consumption_kwh",
@@ -179,9 +180,10 @@ def standardize(df: DataFrame, adapter: Adapter | str) -> DataFrame:
     date = contract_date(F.col(f"`{reference}`"), column_type(df, reference)) if reference else F.trunc(F.current_date(), "MM")
     uc = bound.get("uc")
     demand = bound.get("demand_kw")
-    return df.select(
+    rows = df if uc else numbered(df, "__position")
+    return rows.select(
         text("municipio", "NAO INFORMADO").alias("municipio"),
-        (_trimmed(df, uc) if uc else F.monotonically_increasing_id().cast("string")).alias("uc"),
+        (_trimmed(df, uc) if uc else F.col("__position").cast("string")).alias("uc"),
         known_class(klass).alias("consumer_class"),
         date.alias("reference_date"),
         (F.greatest(_number(df, kwh), F.lit(0.0)) if kwh else F.lit(0.0)).alias("consumption_kwh"),

@@ -240,7 +240,7 @@ def benchmark_deltas(selected: DataFrame, pool: DataFrame) -> DataFrame:
     """Selection against the average municipality of a pool; one row."""
     average = municipality_profile(pool).agg(
         (exact_sum(F.col("total_kwh")) / F.count("total_kwh")).alias("avg_kwh"),
-        (exact_sum(F.round("peak_share_pct", 6)) / F.count("peak_share_pct")).alias("avg_peak_pct"),
+        (exact_sum(F.col("peak_share_pct")) / F.count("peak_share_pct")).alias("avg_peak_pct"),
         (exact_sum(F.col("extra_demand_kw")) / F.count("extra_demand_kw")).alias("avg_extra_kw"))
     own = kpis(selected).select("total_kwh", "peak_share_pct", "extra_demand_kw")
     return one_row(own, average).select(
@@ -252,7 +252,10 @@ def benchmark_deltas(selected: DataFrame, pool: DataFrame) -> DataFrame:
 
 def savings_messages(facts: DataFrame, peak_threshold: float = V.PEAK_THRESHOLD_PCT,
                      energy_rate: float = V.ENERGY_RATE_RS_KWH) -> DataFrame:
-    """Advice rows from one row of facts: peak share, extra demand, use above average, cost per kWh."""
+    """Advice rows from one row of facts: peak share, extra demand, use above average, cost per kWh.
+
+    With a column `rows` of 0 in it there was nothing to look at, which is the only message then.
+    """
     peak, extra = F.col("peak_share_pct"), F.col("extra_demand_kw")
     above, cost = F.col("selected_vs_avg_kwh_pct"), F.col("avg_cost_per_kwh_rs")
     tips = F.array_compact(F.array(
@@ -270,13 +273,17 @@ def savings_messages(facts: DataFrame, peak_threshold: float = V.PEAK_THRESHOLD_
     ))
     none = F.array(spell_abbreviations(F.lit(
         "Current profile is close to benchmark. Keep monthly monitoring and focus on top 5 UCs.")))
-    return facts.select(F.explode(F.when(F.size(tips) > 0, tips).otherwise(none)).alias("savings_opportunity"))
+    advice = F.when(F.size(tips) > 0, tips).otherwise(none)
+    if "rows" in facts.columns:
+        advice = F.when(F.col("rows") == 0, F.array(F.lit(V.NOTHING_EXTRACTED))).otherwise(advice)
+    return facts.select(F.explode(advice).alias("savings_opportunity"))
 
 
 def savings_opportunities(selected: DataFrame, pool: DataFrame | None = None, **limits) -> DataFrame:
     deltas = benchmark_deltas(selected, selected if pool is None else pool).select("selected_vs_avg_kwh_pct")
     facts = kpis(selected).select("peak_share_pct", "extra_demand_kw", "extra_demand_cost_rs", "avg_cost_per_kwh_rs")
-    return savings_messages(one_row(facts, deltas), **limits)
+    rows = selected.agg(F.count(F.lit(1)).alias("rows"))
+    return savings_messages(one_row(one_row(facts, deltas), rows), **limits)
 
 
 def analytics_blocks(raw: DataFrame) -> dict[str, DataFrame]:

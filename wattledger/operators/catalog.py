@@ -150,7 +150,8 @@ def cities_of(locations: DataFrame, state_uf: str) -> DataFrame:
     return locations.filter(F.col("state_uf") == str(state_uf).strip().upper())
 
 
-def search_cities(cities: DataFrame, text: str, limit: int = 400) -> DataFrame:
-    """Accent-free substring search."""
+def search_cities(cities: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Accent-free substring search; `limit` keeps the first by state and city."""
     wanted = search_key(F.lit(str(text)))
-    return cities.filter(F.col("city_search").contains(wanted)).orderBy("state_uf", "city_search").limit(limit)
+    found = cities.filter(F.col("city_search").contains(wanted))
+    return found if limit is None else found.orderBy("state_uf", "city_search").limit(limit)

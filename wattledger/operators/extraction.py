@@ -24,8 +24,8 @@ from wattledger.functions.text import (
 from wattledger.operators import cascade as C
 from wattledger.operators import history as H
 from wattledger.operators import items as I
-from wattledger.operators.layouts import document_layouts
-from wattledger.operators.skew import salted_join
+from wattledger.operators.layouts import layouts_of_facts, page_facts
+from wattledger.sources.staging import materialize
 
 RECORD_COLUMNS = [
     "uc", "referencia", "grupo_tensao", "subgrupo", "categoria", "tipo_fornecimento", "origem", "nome",
@@ -33,7 +33,7 @@ RECORD_COLUMNS = [
     "demanda_item", "dif_demanda", "demanda_contratada_kw", "demanda_hp_kw", "demanda_fhp_kw",
     "consumo_hp_kwh", "consumo_fhp_kwh", "total_fatura_rs", "itens_fatura_json", *V.ITEM_MEASURES,
     "pdf_source", "page_first_seen", "audit_header_page", "audit_itens_page", "audit_historico_page",
-    "audit_kwh_source", "provider_layout", "needs_review", "template",
+    "audit_kwh_source", "provider_layout", "needs_review", "template", "block_no",
 ]
 _TEXTS = [
     "uc", "referencia", "grupo_tensao", "subgrupo", "categoria", "tipo_fornecimento", "origem", "nome",
@@ -58,6 +58,8 @@ def _record(df: DataFrame) -> DataFrame:
             value = F.coalesce(value.cast("string"), F.lit(""))
         elif name in _PAGES:
             value = F.coalesce(value.cast("int"), F.lit(-1))
+        elif name == "block_no":
+            value = F.coalesce(value.cast("int"), F.lit(0))
         elif name == "needs_review":
             value = F.coalesce(value.cast("boolean"), F.lit(False))
         else:
@@ -539,7 +541,8 @@ def extract_pages(pages: DataFrame, expand: bool = False) -> DataFrame:
     parsers and the first that yields a row wins; a collective invoice with any UC
     label skips that. Parsing is map-only: page texts are never shuffled. What
     depends on the whole document (its layout, whether it has labelled pages) is
-    joined to the few columns of the parsed records afterwards.
+    joined to the parsed records afterwards. These and the page facts, both small
+    against the text, are written once, so no page is parsed twice.
     """
     pages = pages.select("pdf_source", F.col("page_no").cast("int").alias("page_no"),
                          F.coalesce("text", F.lit("")).alias("text"))
@@ -557,11 +560,11 @@ def extract_pages(pages: DataFrame, expand: bool = False) -> DataFrame:
         .unionByName(_ranked(unlabelled_b_records(others), _LOW))
         .unionByName(grouped_records(whole)))
 
-    records = blocks.unionByName(by_page)
+    records = materialize(blocks.unionByName(by_page))
     facts = records.groupBy("pdf_source").agg(
         F.bool_or(F.col("__rank") == _BLOCK).alias("any_uc"), F.bool_or(F.col("__rank") < _LAST_RESORT).alias("any_row"))
-    documents = document_layouts(pages).join(facts, "pdf_source").withColumnRenamed("provider_layout", "__layout")
-    placed = salted_join(records, documents, ["pdf_source"], "inner")
+    documents = layouts_of_facts(materialize(page_facts(pages))).join(facts, "pdf_source").withColumnRenamed("provider_layout", "__layout")
+    placed = records.join(documents, "pdf_source")
     collective = (F.col("__layout") == "CELESC_COLETIVA") & F.col("any_uc")
     stray = (F.col("__rank") == _LAST_RESORT) & ((F.col("__layout") != "NEOENERGIA_ELEKTRO") | F.col("any_row"))
     placed = placed.filter(~((F.col("__rank") != _BLOCK) & collective) & ~stray)

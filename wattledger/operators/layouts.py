@@ -79,44 +79,27 @@ def marker_scores(df: DataFrame, text: Column, keys: list[str]) -> DataFrame:
     return plain.select(*keys, F.explode(scored).alias("s")).select(*keys, "s.layout", "s.markers")
 
 
-def probe_pages(total: Column, limit: int = V.PROBE_PAGES) -> Column:
-    """Page numbers (from 1) that are looked at: head, tail and evenly spaced middle pages, `limit` at most."""
-    head, tail = limit // 2, limit // 4
-    middle = limit - head - tail
-    first, last = F.lit(head), total - tail - 1
-    step = F.transform(
-        F.sequence(F.lit(1), F.lit(middle)),
-        lambda j: first + F.bround(j / F.lit(float(middle + 1)) * (last - first).cast("double"), 0).cast("int"))
-    chosen = F.array_distinct(F.concat(
-        F.sequence(F.lit(0), F.lit(head - 1)), F.sequence(total - tail, total - 1), step))
-    filled = bind(chosen, lambda c: F.concat(c, F.slice(
-        F.filter(F.array_except(F.sequence(F.lit(0), F.lit(2 * limit - 1)), c), lambda k: k < total),
-        1, F.greatest(F.lit(limit) - F.size(c), F.lit(0)))))
-    indexes = F.when(total <= limit, F.sequence(F.lit(0), F.greatest(total, F.lit(1)) - 1)).otherwise(filled)
-    return F.transform(F.array_sort(indexes), lambda k: k + 1)
-
-
 def document_layouts(pages: DataFrame) -> DataFrame:
-    """(pdf_source, provider_layout), decided from the probe pages of each document.
+    """(pdf_source, provider_layout), decided from all pages of each document.
 
-    No page text is shuffled. A page ships its marker bits and its two edges; the
-    edges, joined in page order, show markers that run over a page break. A
-    document of any length contributes at most the probe pages.
+    No page text is shuffled. A page ships its marker bits, which meet in one map-side combined `bit_or` per document
+    however long it is. Its tail meets the next page's head in a join by page, for markers that run over a page break.
     """
-    totals = pages.groupBy("pdf_source").agg(F.max("page_no").cast("int").alias("total"))
-    probes = totals.select("pdf_source", F.explode(probe_pages(F.col("total"))).alias("page_no"))
-    plain = F.col("p")
-    edges = F.when(F.length(plain) <= 2 * _EDGE, plain).otherwise(
-        F.concat(F.substring(plain, 1, _EDGE), F.lit("_"), F.substring(plain, -_EDGE, _EDGE)))
-    facts = pages.select("pdf_source", F.col("page_no").cast("int").alias("page_no"), ascii_upper(F.col("text")).alias("p")).select(
-        "pdf_source", "page_no", marker_bits(plain).alias("bits"), edges.alias("edges"))
-    probed = facts.join(probes, ["pdf_source", "page_no"])
-    per_document = probed.groupBy("pdf_source").agg(
-        F.bit_or("bits").alias("bits"),
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("page_no", "edges"))), lambda x: F.nullif(x["edges"], F.lit(""))),
-            " ").alias("joints"),
-    )
-    bits = F.col("bits").bitwiseOR(marker_bits(F.col("joints")))
-    return per_document.select("pdf_source", bits.alias("bits")).select(
-        "pdf_source", _layout_of_bits(F.col("bits")).alias("provider_layout"))
+    return layouts_of_facts(page_facts(pages))
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """(pdf_source, page_no, bits, head, tail) of every page, some hundred bytes each."""
+    plain = pages.select("pdf_source", F.col("page_no").cast("int").alias("page_no"), ascii_upper(F.col("text")).alias("p"))
+    return plain.select(
+        "pdf_source", "page_no", marker_bits(F.col("p")).alias("bits"), F.left("p", F.lit(_EDGE)).alias("head"),
+        F.right("p", F.lit(_EDGE)).alias("tail"))
+
+
+def layouts_of_facts(facts: DataFrame) -> DataFrame:
+    """The same from page facts, which a caller may have written: they are read three times."""
+    heads = facts.select("pdf_source", (F.col("page_no") - 1).alias("page_no"), "head")
+    joints = facts.select("pdf_source", "page_no", "tail").join(heads, ["pdf_source", "page_no"]).select(
+        "pdf_source", marker_bits(F.concat_ws(" ", "tail", "head")).alias("bits"))
+    per_document = facts.select("pdf_source", "bits").union(joints).groupBy("pdf_source").agg(F.bit_or("bits").alias("bits"))
+    return per_document.select("pdf_source", _layout_of_bits(F.col("bits")).alias("provider_layout"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattledger.functions import fixed_values as V
 from wattledger.functions.dates import index_label, reference_index
 from wattledger.functions.domain import a4_label, availability_exact_kwh, availability_kwh
-from wattledger.functions.numbers import exact_parts, exact_sum, exact_total, max_positive, sum_or_zero
+from wattledger.functions.numbers import exact_parts, exact_total, positive, sum_or_zero
 from wattledger.functions.text import strip
 from wattledger.operators.skew import one_row
 
@@ -114,6 +114,36 @@ def first_text(name: str, order: Column) -> Column:
         F.min_by(F.when(filled, text), F.when(filled, F.struct(order.alias("o"), text.alias("t")))), F.lit(""))
 
 
+def by_unit(
+    rows: DataFrame, keys: list[str], texts: list[str], totals: dict[str, tuple[Column, Column]], peaks: dict[str, Column], order: list[str],
+) -> DataFrame:
+    """Per unit: its first filled texts, exact totals, greatest peaks and first page, without sorting the rows.
+
+    Rows first meet per unit and combination of texts and file, where all that is added up is numeric, in a hash aggregate
+    that combines map-side. The texts are chosen among the few combinations that are left of a unit.
+    """
+    place = [F.min(F.col(c).cast("long")).alias(c) for c in order if c != "pdf_source"]
+    named = [c for c in dict.fromkeys([*texts, *[c for c in order if c == "pdf_source"]])]
+    page = [F.min(F.col("page_first_seen").cast("double")).alias("__page")] if "page_first_seen" in rows.columns else [F.min(F.lit(None).cast("double")).alias("__page")]
+    some = rows.groupBy(*keys, *named).agg(
+        *[F.sum(part).alias(f"__{n}_{k}") for n, parts in totals.items() for k, part in zip(("whole", "micro"), parts)],
+        *[F.max(c).alias(n) for n, c in peaks.items()], *place, *page)
+    first = F.struct(*order) if order else F.struct(F.lit(0).alias("o"))
+    return some.groupBy(*keys).agg(
+        *[first_text(c, first).alias(c) for c in texts],
+        *[F.coalesce(exact_total(F.sum(f"__{n}_whole"), F.sum(f"__{n}_micro")), F.lit(0.0)).alias(n) for n in totals],
+        *[F.max(n).alias(n) for n in peaks], F.min("__page").alias("first_page"))
+
+
+def order_columns(df: DataFrame) -> list[str]:
+    return [c for c in ("pdf_source", "page_first_seen", "block_no") if c in df.columns]
+
+
+def _slot_parts(measure: str, months: int) -> list[tuple[Column, Column]]:
+    """What the exact sum of each slot adds up; for tables made by `with_slot`."""
+    return [tuple(F.when(F.col("__slot") == i, F.col(f"__{part}_{measure}")) for part in ("whole", "micro")) for i in range(months)]
+
+
 def most_frequent(name: str) -> Column:
     """Most frequent filled text, the smallest one among ties."""
     return F.coalesce(F.mode(F.nullif(strip(F.col(name)), F.lit("")), deterministic=True), F.lit(""))
@@ -151,12 +181,10 @@ def category_table(
 ) -> DataFrame:
     """Final table of a category: attributes, 13 months, mean and balance in one aggregate per UC."""
     names = slot_names(months)
-    order = row_order(master)
     rows = with_slot(_with_trail(master).filter(F.col("categoria").isin(categories)), master)
-    per_uc = rows.groupBy("uc").agg(
-        *[first_text(c, order).alias(c) for c in ("nome", "endereco", "tipo_fornecimento", "audit_pdf_pages", "pdf_source")],
-        *[c.alias(n) for c, n in zip(_slot_sums("kwh_total_te", months), names)],
-        F.min(F.col("page_first_seen").cast("double")).alias("first_page"),
+    per_uc = by_unit(
+        rows, ["uc"], ["nome", "endereco", "tipo_fornecimento", "audit_pdf_pages", "pdf_source"],
+        dict(zip(names, _slot_parts("kwh_total_te", months))), {}, order_columns(master),
     ).withColumn("DISPONIBILIDADE", availability_kwh(F.col("tipo_fornecimento")))
     if fill_zeros and (label == "B3" or "IP" in categories):
         per_uc = per_uc.withColumns({
@@ -174,16 +202,15 @@ _A4_SERIES = {"demanda_hp": "demanda_hp_kw", "demanda_fhp": "demanda_fhp_kw",
               "consumo_hp": "consumo_hp_kwh", "consumo_fhp": "consumo_fhp_kwh"}
 
 
-def demand_lock() -> list[Column]:
-    """Aggregates behind the single contracted demand of a UC."""
-    def peak(name: str) -> Column:
-        return F.coalesce(F.max(F.coalesce(F.col(name), F.lit(0.0))), F.lit(0.0))
+def demand_peaks() -> dict[str, Column]:
+    """What the single contracted demand of a UC takes the maximum of; none is null."""
+    def some(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0.0))
 
-    return [
-        max_positive(F.col("demanda_contratada_kw")).alias("__contracted"),
-        max_positive(F.col("dif_demanda")).alias("__overrun"),
-        F.greatest(peak("demanda_hp_kw"), peak("demanda_fhp_kw")).alias("__peak"),
-    ]
+    return {
+        "__contracted": some(positive(F.col("demanda_contratada_kw"))), "__overrun": some(positive(F.col("dif_demanda"))),
+        "__peak": F.greatest(some(F.col("demanda_hp_kw")), some(F.col("demanda_fhp_kw"))),
+    }
 
 
 def lock_columns(df: DataFrame) -> DataFrame:
@@ -198,26 +225,20 @@ def lock_columns(df: DataFrame) -> DataFrame:
 
 
 def demand_lock_table(master: DataFrame) -> DataFrame:
-    return lock_columns(master.filter(F.upper("categoria") == "A4").groupBy("uc").agg(*demand_lock()))
+    return lock_columns(master.filter(F.upper("categoria") == "A4").groupBy("uc").agg(*[F.max(c).alias(n) for n, c in demand_peaks().items()]))
 
 
 def a4_table(master: DataFrame, fill_zeros: bool = True, months: int = V.MONTHS_IN_WINDOW) -> DataFrame:
     """A4 table: demand lock and four month series per UC, one aggregate for all of it."""
-    order = row_order(master)
     rows = _with_trail(master).filter(F.upper("categoria") == "A4")
     if "classificacao_uc" not in rows.columns:
         rows = rows.withColumn("classificacao_uc", F.lit(""))
-    series = {}
-    for name, column in _A4_SERIES.items():
-        for i, total in enumerate(_slot_sums(column, months)):
-            series[f"__{name}_{i:02d}"] = total
-    per_uc = with_slot(rows, master, measures=tuple(_A4_SERIES.values())).groupBy("uc").agg(
-        *[first_text(c, order).alias(c) for c in
-          ("nome", "endereco", "classificacao_uc", "tipo_fornecimento", "audit_pdf_pages", "pdf_source")],
-        *demand_lock(),
-        *[c.alias(n) for n, c in series.items()],
-        F.min(F.col("page_first_seen").cast("double")).alias("first_page"),
-    )
+    series = {
+        f"__{name}_{i:02d}": parts for name, column in _A4_SERIES.items() for i, parts in enumerate(_slot_parts(column, months))}
+    per_uc = by_unit(
+        with_slot(rows, master, measures=tuple(_A4_SERIES.values())), ["uc"],
+        ["nome", "endereco", "classificacao_uc", "tipo_fornecimento", "audit_pdf_pages", "pdf_source"], series, demand_peaks(),
+        order_columns(master))
     per_uc = lock_columns(per_uc).withColumn("DISPONIBILIDADE", availability_kwh(F.col("tipo_fornecimento")))
     arrays = {name: F.array(*[F.col(f"__{name}_{i:02d}") for i in range(months)]) for name in _A4_SERIES}
     if fill_zeros:
@@ -240,13 +261,16 @@ def uc_template(master: DataFrame, months: int = V.MONTHS_IN_WINDOW) -> DataFram
     """One row per UC: attributes of its first row, 13 months, mean with zeros; the balance stays blank."""
     names = slot_names(months)
     base = ["nome", "endereco", "categoria", "tipo_fornecimento", "audit_pdf_pages"]
-    order = row_order(master)
-    rows = with_slot(_with_trail(master))
+    rows, order = with_slot(_with_trail(master)), order_columns(master)
+    # As in `by_unit`, but the attributes come from one row together.
+    some = rows.groupBy("uc", *dict.fromkeys([*base, *[c for c in order if c == "pdf_source"]])).agg(
+        *[F.sum(part).alias(f"__{n}_{k}") for n, parts in zip(names, _slot_parts("kwh_total_te", months)) for k, part in zip(("whole", "micro"), parts)],
+        *[F.min(F.col(c).cast("long")).alias(c) for c in order if c != "pdf_source"], F.min(F.col("page_first_seen").cast("double")).alias("__page"))
     row = F.struct(*base)
-    per_uc = rows.groupBy("uc").agg(
-        F.min_by(row, F.struct(order.alias("o"), row.alias("r"))).alias("b"),
-        *[c.alias(n) for c, n in zip(_slot_sums("kwh_total_te", months), names)],
-        F.min(F.col("page_first_seen").cast("double")).alias("first_page"),
+    per_uc = some.groupBy("uc").agg(
+        F.min_by(row, F.struct((F.struct(*order) if order else F.lit(0)).alias("o"), row.alias("r"))).alias("b"),
+        *[F.coalesce(exact_total(F.sum(f"__{n}_whole"), F.sum(f"__{n}_micro")), F.lit(0.0)).alias(n) for n in names],
+        F.min("__page").alias("first_page"),
     ).select("uc", "b.*", *names, "first_page")
     return per_uc.select(
         "nome", "endereco", "uc", "categoria", "tipo_fornecimento",
@@ -295,11 +319,10 @@ def sizing_inputs(master: DataFrame, fill_zeros: bool = True, months: int = V.MO
     cat = F.when(F.upper("categoria") == "A4", "A4").when(F.col("categoria").isin("B3", "IP"), F.col("categoria"))
     measures = {"kwh": "kwh_total_te", "hp": "consumo_hp_kwh", "fhp": "consumo_fhp_kwh"}
     rows = with_slot(master, measures=tuple(measures.values())).withColumn("__cat", cat).filter("__cat is not null")
-    sums = {f"{tag}_{n}": total for tag, column in measures.items()
-            for n, total in zip(slot_names(months), _slot_sums(column, months))}
-    per_uc = rows.groupBy("__cat", "uc").agg(
-        first_text("tipo_fornecimento", row_order(master)).alias("supply"), *[s.alias(n) for n, s in sums.items()])
-    per_uc = per_uc.withColumn("__min", availability_kwh(F.col("supply")) if fill_zeros else F.lit(0.0))
+    sums = {f"{tag}_{n}": parts for tag, column in measures.items()
+            for n, parts in zip(slot_names(months), _slot_parts(column, months))}
+    per_uc = by_unit(rows, ["__cat", "uc"], ["tipo_fornecimento"], sums, {}, order_columns(master))
+    per_uc = per_uc.withColumn("__min", availability_kwh(F.col("tipo_fornecimento")) if fill_zeros else F.lit(0.0))
 
     def total_of(tag: str) -> Column:
         filled = [F.when((F.abs(F.col(n)) <= V.ZERO_KWH) & (F.col("__min") > 0), F.col("__min")).otherwise(F.col(n))

@@ -67,32 +67,35 @@ def _per_unit(df: DataFrame) -> DataFrame:
     ).select("uc", "w.*", "present", "rows", "total_kwh", "all_zero")
 
 
-def units_missing_months(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int = 200) -> DataFrame:
-    """UCs with gaps in the window, most gaps first; the window ends at the latest month of the whole table."""
+def first_of(df: DataFrame, order: list[Column | str], top: int | None) -> DataFrame:
+    """All rows, or the `top` first ones of an order."""
+    return df if top is None else df.orderBy(*order).limit(top)
+
+
+def units_missing_months(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int | None = None) -> DataFrame:
+    """UCs with gaps in the window, which ends at the latest month of the whole table; `top` keeps those with most gaps."""
     rows = one_row(_per_unit(df), expected_months(df, months)).withColumn(
         "missing", F.array_sort(F.array_except("expected", "present")))
-    return rows.filter(F.size("missing") > 0).select(
+    rows = rows.filter(F.size("missing") > 0).select(
         "uc", "municipio", "consumer_class", F.size("present").alias("months_present_count"),
         F.size("missing").alias("missing_months_count"),
-        F.array_join(F.slice("missing", 1, 24), ", ").alias("missing_months"),
-    ).orderBy(F.desc("missing_months_count"), "uc").limit(top)
+        F.array_join("missing", ", ").alias("missing_months"),
+    )
+    return first_of(rows, [F.desc("missing_months_count"), "uc"], top)
 
 
-def units_all_zero(df: DataFrame, top: int = 200) -> DataFrame:
-    return _per_unit(df).filter("all_zero").select(
-        "uc", "municipio", "consumer_class", "rows", "total_kwh").orderBy(F.desc("rows"), "uc").limit(top)
+def units_all_zero(df: DataFrame, top: int | None = None) -> DataFrame:
+    rows = _per_unit(df).filter("all_zero").select("uc", "municipio", "consumer_class", "rows", "total_kwh")
+    return first_of(rows, [F.desc("rows"), "uc"], top)
 
 
-def rows_without_reference(df: DataFrame, top: int = 200) -> DataFrame:
+def rows_without_reference(df: DataFrame, top: int | None = None) -> DataFrame:
     present = [c for c in _TRACE if c in df.columns]
-    return df.filter(F.col("reference_date").isNull()).select(*present).distinct().orderBy(*present).limit(top)
-
+    return first_of(df.filter(F.col("reference_date").isNull()).select(*present).distinct(), present, top)
 
-def quality_summary(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int = 200) -> DataFrame:
-    """One row: counts, messages and whether any of them is critical.
 
-    The count of all-zero UCs is the one after the `top` cut.
-    """
+def quality_summary(df: DataFrame, months: int = V.MONTHS_IN_WINDOW) -> DataFrame:
+    """One row: counts over the whole table, messages and whether any of them is critical."""
     facts = df.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_distinct("uc").alias("unique_ucs"),
@@ -100,7 +103,7 @@ def quality_summary(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int =
         F.count_if(F.col("reference_date").isNull()).alias("missing_reference_count"),
         F.count_if(_nonpositive()).alias("nonpositive_rows"),
     )
-    zero = units_all_zero(df, top).agg(F.count(F.lit(1)).alias("zero_ucs"))
+    zero = df.groupBy("uc").agg(F.bool_and(_nonpositive()).alias("all_zero")).agg(F.count_if("all_zero").alias("zero_ucs"))
     row = one_row(facts, zero)
     c = F.col
     share = c("nonpositive_rows") / F.nullif(c("total_rows"), F.lit(0))
@@ -119,11 +122,11 @@ def quality_summary(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int =
         "is_critical", F.size("critical_messages") > 0)
 
 
-def quality_report(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int = 200) -> dict[str, DataFrame]:
+def quality_report(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int | None = None) -> dict[str, DataFrame]:
     """All tables of the report."""
     months_available = df.select("reference_month").filter("reference_month <> ''").distinct().orderBy("reference_month")
     return {
-        "summary": quality_summary(df, months, top),
+        "summary": quality_summary(df, months),
         "expected_months": expected_months(df, months).select(F.explode("expected").alias("month")),
         "months_available": months_available,
         "null_zero_stats_by_class": null_zero_stats(df),

@@ -14,6 +14,7 @@ from wattledger.functions.dates import bridge_date, contract_date, index_label,
 from wattledger.functions.domain import bridge_class, unique_messages
 from wattledger.functions.numbers import as_number, exact_sum, locale_number, numeric_columns, positive, ratio, sum_or_zero
 from wattledger.functions.text import spell_abbreviations, strip
+from wattledger.operators.rows import numbered
 
 CLASSES = ["B3", "B4A", "A4_HP", "A4_FHP"]
 TARIFFS = {"B3": "dim_tariff_b3", "B4A": "dim_tariff_b4a", "A4_HP": "dim_tariff_a4_hp", "A4_FHP": "dim_tariff_a4_fhp"}
@@ -274,10 +275,10 @@ def read_sizing_summary(df: DataFrame, source_label: str = "") -> DataFrame:
     def text(c: str | None) -> Column:
         return strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) if c else F.lit("")
 
-    rows = df.select(
+    rows = numbered(df, "pos").select(
         text(town).alias("municipio"), text(scenario).alias("name"), number(mwp).alias("given_mwp"),
         number(kwp).alias("given_kwp"), number(yield_).alias("produtividade_kwh_kwp_ano"), number(total).alias("total_kwh"),
-        (F.monotonically_increasing_id() + 1).alias("pos"))
+        (F.col("pos") + 1).alias("pos"))
     rows = rows.withColumn("mwp", F.coalesce("given_mwp", F.col("given_kwp") / 1000.0)).filter("mwp is not null")
     named = bind(F.col("name"), lambda n: F.when(n != "", n))
     return rows.select(

@@ -1,25 +1,10 @@
-"""Joins and bounds that stay even when one key holds a large share of the rows."""
+"""A join that moves no row."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Equi join of many-rows-per-key `left` with one-row-per-key `right`.
-
-    Every left row carries the number of its own task as salt, so the rows of a
-    hot key (and null keys) land in `salts` partitions instead of one; `right` is
-    repeated once per salt. Any salt gives the same result, and a rerun task gets
-    the same number again.
-    """
-    salted = left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
-
 
 def one_row(df: DataFrame, single: DataFrame) -> DataFrame:
     """Attach a global aggregate, which is exactly one row, to every row."""

@@ -37,8 +37,8 @@ def category() -> Column:
 
 
 def supply(priority: Column) -> Column:
-    first = F.substring(priority, 1, 1)
-    return F.when(first == "1", "TRIFÁSICO").when(first == "2", "BIFÁSICO").when(first == "3", "MONOFÁSICO").otherwise("")
+    """Supply type of the digit that a priority begins with."""
+    return F.when(priority == 1, "TRIFÁSICO").when(priority == 2, "BIFÁSICO").when(priority == 3, "MONOFÁSICO").otherwise("")
 
 
 def month_of(column: str) -> Column:
@@ -91,7 +91,7 @@ def _line_sums(spark: SparkSession, folder: str) -> DataFrame:
 def unit_months(spark: SparkSession, folder: str) -> DataFrame:
     """Sums per customer and month: lines -> orders -> (customer, month)."""
     orders = table(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority",
+        "o_orderkey", "o_custkey", "o_orderdate", F.substring("o_orderpriority", 1, 1).cast("int").alias("digit"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).when(F.col("o_orderstatus") == "O", 0.0).alias("billed"))
     lines = _line_sums(spark, folder)
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
@@ -100,7 +100,7 @@ def unit_months(spark: SparkSession, folder: str) -> DataFrame:
         *[sum_or_zero(F.col(f"{t}_{k}")).alias(f"{t}_{k}") for t in tags for k in ("te", "tusd", "valor")],
         sum_or_zero(F.col("discounts")).alias("discounts"), exact_sum(F.col("billed")).alias("billed"),
         F.max("max_hp").alias("max_hp"), F.max("max_fhp").alias("max_fhp"),
-        F.min("doc").alias("doc"), F.min("page").cast("int").alias("page"), F.min("o_orderpriority").alias("priority"),
+        F.min("doc").alias("doc"), F.min("page").cast("int").alias("page"), F.min("digit").alias("priority"),
     )
 
 

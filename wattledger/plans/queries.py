@@ -60,9 +60,15 @@ def big(*names: str) -> list:
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
 
-def staged_master(spark: SparkSession, folder: str) -> DataFrame:
-    """The month table written once, for queries that read it more than once."""
-    return materialize(B.master(spark, folder))
+def staged_master(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The columns of the month table that a query reads more than once, written once."""
+    return materialize(B.master(spark, folder).select(*(columns or ["*"])))
+
+
+#: What the category tables and templates read.
+_TABLE_COLUMNS = ["uc", "referencia", "categoria", "nome", "endereco", "tipo_fornecimento", "pdf_source", "page_first_seen", "kwh_total_te"]
+_A4_COLUMNS = [*_TABLE_COLUMNS, "classificacao_uc", "demanda_hp_kw", "demanda_fhp_kw", "consumo_hp_kwh", "consumo_fhp_kwh", "demanda_contratada_kw", "dif_demanda"]
+_SIZING_COLUMNS = ["municipio", "uc", "referencia", "categoria", "kwh_total_te", "kwh_b3_ip", "consumo_hp_kwh", "consumo_fhp_kwh"]
 
 
 # =================================================================== text functions
@@ -316,7 +322,7 @@ def audit_blank_counts(spark, folder):
 
 @query("audit_page_order", with_base(MASTER, "SELECT uc, min(page_first_seen)::double AS first_page FROM master GROUP BY 1"))
 def audit_page_order(spark, folder):
-    df = staged_master(spark, folder)
+    df = staged_master(spark, folder, "uc", "page_first_seen")
     table = df.select("uc").distinct()
     return AU.order_by_first_page(table, df).join(AU.first_page_per_uc(df), "uc")
 
@@ -364,22 +370,25 @@ def _matrix_sql(keys: str) -> str:
 
 @query("matrix_by_unit", _matrix_sql("uc"))
 def matrix_by_unit(spark, folder):
-    return MX.month_matrix(staged_master(spark, folder), ["uc"])
+    return MX.month_matrix(staged_master(spark, folder, "uc", "referencia", "kwh_total_te"), ["uc"])
 
 
 @query("matrix_by_attributes", _matrix_sql("uc, categoria, grupo_tensao, subgrupo, nome, endereco"))
 def matrix_by_attributes(spark, folder):
-    return MX.month_matrix(staged_master(spark, folder), ["uc", "categoria", "grupo_tensao", "subgrupo", "nome", "endereco"])
+    keys = ["uc", "categoria", "grupo_tensao", "subgrupo", "nome", "endereco"]
+    return MX.month_matrix(staged_master(spark, folder, *keys, "referencia", "kwh_total_te"), keys)
 
 
 @query("matrix_by_source", _matrix_sql("nome, endereco, uc, categoria, tipo_fornecimento, pdf_source"))
 def matrix_by_source(spark, folder):
-    return MX.month_matrix(staged_master(spark, folder), ["nome", "endereco", "uc", "categoria", "tipo_fornecimento", "pdf_source"])
+    keys = ["nome", "endereco", "uc", "categoria", "tipo_fornecimento", "pdf_source"]
+    return MX.month_matrix(staged_master(spark, folder, *keys, "referencia", "kwh_total_te"), keys)
 
 
 @query("matrix_by_category", _matrix_sql("categoria"))
 def matrix_by_category(spark, folder):
-    return MX.month_matrix(staged_master(spark, folder), ["categoria"])
+    keys = ["categoria"]
+    return MX.month_matrix(staged_master(spark, folder, *keys, "referencia", "kwh_total_te"), keys)
 
 
 _CYCLE = [f"{m:02d}/1999" for m in range(1, 13)]
@@ -410,7 +419,7 @@ SELECT LOCAL, ENDERECO, UC, '{label}' AS CLASSIFICACAO, TIPO_FORNECIMENTO, disp
 
 
 def _category_table(spark, folder, cats, label):
-    out = MX.in_page_order(MX.category_table(staged_master(spark, folder), cats, label))
+    out = MX.in_page_order(MX.category_table(staged_master(spark, folder, *_TABLE_COLUMNS), cats, label))
     return out.withColumns({"SALDO": F.round("SALDO", 6), "MEDIA_MENSAL": F.round("MEDIA_MENSAL", 6)})
 
 
@@ -446,7 +455,7 @@ SELECT LOCAL, ENDERECO, UC, 'A4 VERDE' AS CLASSIFICACAO, {_LOCK_COLUMNS}, {', '.
 
 @query("a4_table", _a4_series_sql())
 def a4_table(spark, folder):
-    out = MX.in_page_order(MX.a4_table(staged_master(spark, folder)))
+    out = MX.in_page_order(MX.a4_table(staged_master(spark, folder, *_A4_COLUMNS)))
     return out.withColumns({n: F.array_join(c(n).cast("array<bigint>").cast("array<string>"), ",") for n in _SERIES})
 
 
@@ -462,7 +471,7 @@ SELECT b.nome, b.endereco, s.uc, b.categoria, b.tipo_fornecimento, b.disp AS DIS
 FROM (SELECT uc, {slots('kwh_total_te', slot='last - ix')} FROM master, last GROUP BY 1) s JOIN (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uc ORDER BY pdf_source, page_first_seen, nome, endereco, categoria, tipo_fornecimento) AS rn FROM master) WHERE rn = 1) b USING (uc)"""))
 def unit_template(spark, folder):
-    out = MX.in_page_order(MX.uc_template(staged_master(spark, folder)), "uc")
+    out = MX.in_page_order(MX.uc_template(staged_master(spark, folder, *_TABLE_COLUMNS)), "uc")
     return out.withColumn("MEDIA_MENSAL", F.round("MEDIA_MENSAL", 6))
 
 
@@ -490,14 +499,14 @@ def _filled_total(cats: str, measure: str) -> str:
 SELECT {_filled_total("'B3'", 'kwh_total_te')} AS b3_media, {_filled_total("'IP'", 'kwh_total_te')} AS ip_media,
        {_filled_total("'A4'", 'consumo_hp_kwh')} AS a4_hp_media, {_filled_total("'A4'", 'consumo_fhp_kwh')} AS a4_fhp_media"""))
 def sizing_inputs(spark, folder):
-    return MX.sizing_inputs(staged_master(spark, folder)).select(*r6("b3_media", "ip_media", "a4_hp_media", "a4_fhp_media"))
+    return MX.sizing_inputs(staged_master(spark, folder, *_A4_COLUMNS)).select(*r6("b3_media", "ip_media", "a4_hp_media", "a4_fhp_media"))
 
 
 @query("mean_month_totals", with_base(MASTER, f"""
 SELECT round({total('kwh_total_te')} / 13.0, 6) AS matrix_mean, round({total("CASE WHEN categoria = 'A4' THEN consumo_hp_kwh END")} / 13.0, 6) AS series_mean
 FROM master, last WHERE last - ix BETWEEN 0 AND 12"""))
 def mean_month_totals(spark, folder):
-    df = staged_master(spark, folder)
+    df = staged_master(spark, folder, *_A4_COLUMNS)
     matrix = MX.mean_month_total(MX.month_matrix(df, ["uc"]), name="matrix_mean")
     series = MX.mean_series_total(MX.a4_table(df, fill_zeros=False), "consumo_hp", name="series_mean")
     return matrix.crossJoin(series).select(*r6("matrix_mean", "series_mean"))
@@ -507,7 +516,7 @@ def mean_month_totals(spark, folder):
 SELECT {total('kwh_total_te')} AS master_total, {total('kwh_total_te')} AS template_total, 0.0::double AS difference
 FROM master, last WHERE last - ix BETWEEN 0 AND 12"""))
 def reconciliation(spark, folder):
-    return MX.reconciliation(staged_master(spark, folder))
+    return MX.reconciliation(staged_master(spark, folder, *_TABLE_COLUMNS))
 
 
 _YIELDS = "(VALUES ('Conservador', 1250), ('Base', 1350), ('Otimista', 1450)) s(cenario, produtividade)"
@@ -519,7 +528,7 @@ FROM (SELECT {total('kwh_total_te')} AS total_kwh, {total("CASE WHEN categoria =
              {total("CASE WHEN categoria = 'B3' THEN kwh_total_te END")} AS total_b3_kwh, {total("CASE WHEN categoria = 'IP' THEN kwh_total_te END")} AS total_ip_kwh
       FROM master, last WHERE last - ix BETWEEN 0 AND 12), {_YIELDS}"""))
 def plant_scenarios(spark, folder):
-    return MX.plant_scenarios(staged_master(spark, folder)).select(
+    return MX.plant_scenarios(staged_master(spark, folder, *_SIZING_COLUMNS)).select(
         "cenario", *big("produtividade"), "total_kwh", *r6("kwp", "mwp"), "total_a4_kwh", "total_b3_kwh", "total_ip_kwh")
 
 
@@ -534,7 +543,7 @@ def plant_scenarios_cycle(spark, folder):
 
 @query("sheet_split", with_base(MASTER, "SELECT 'GERAL' AS sheet, count(DISTINCT uc) AS ucs FROM master UNION ALL SELECT categoria, count(DISTINCT uc) FROM master WHERE categoria <> 'OUTROS' GROUP BY 1"))
 def sheet_split(spark, folder):
-    sheets = MX.template_sheets(MX.uc_template(staged_master(spark, folder)))
+    sheets = MX.template_sheets(MX.uc_template(staged_master(spark, folder, *_TABLE_COLUMNS)))
     parts = [df.agg(F.count(F.lit(1)).alias("ucs")).select(F.lit(name).alias("sheet"), "ucs") for name, df in sheets.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -698,7 +707,7 @@ UNION ALL SELECT 'monthly_cost', count(DISTINCT reference_date) FROM enriched UN
 UNION ALL SELECT 'top_uc_kwh', 15 UNION ALL SELECT 'inefficiencies', 25 UNION ALL SELECT 'itens_fatura', 0 UNION ALL SELECT 'benchmark', count(DISTINCT municipio) FROM enriched
 UNION ALL SELECT 'summary', 10"""))
 def analytics_blocks(spark, folder):
-    raw = staged_master(spark, folder).withColumn("itens_fatura_json", F.lit(""))
+    raw = materialize(B.master(spark, folder)).withColumn("itens_fatura_json", F.lit(""))
     frames = AN.analytics_blocks(raw)
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("block"), "rows")
              for n, df in frames.items() if n != "savings_tips"]
@@ -904,21 +913,22 @@ def quality_expected_months(spark, folder):
 @query("quality_missing_months", with_base(_CONTRACT, f""", {_EXPECTED}
 SELECT uc, municipio, consumer_class, present AS months_present_count, count(*) AS missing_months_count, string_agg(month, ', ' ORDER BY month) AS missing_months FROM (
   SELECT u.*, month FROM (SELECT uc, min(municipio) AS municipio, min(consumer_class) AS consumer_class, count(DISTINCT reference_month) AS present FROM std GROUP BY 1) u, exp
-  WHERE NOT EXISTS (SELECT 1 FROM std s WHERE s.uc = u.uc AND s.reference_month = exp.month)) GROUP BY 1, 2, 3, 4 ORDER BY missing_months_count DESC, uc LIMIT 200"""))
+  WHERE NOT EXISTS (SELECT 1 FROM std s WHERE s.uc = u.uc AND s.reference_month = exp.month)) GROUP BY 1, 2, 3, 4"""))
 def quality_missing_months(spark, folder):
-    out = QU.units_missing_months(materialize(standard(spark, folder)))
+    columns = ["uc", "municipio", "consumer_class", "reference_month", "reference_date", "consumption_kwh"]
+    out = QU.units_missing_months(materialize(standard(spark, folder).select(*columns)))
     return out.withColumns({n: c(n).cast("bigint") for n in ("months_present_count", "missing_months_count")})
 
 
 @query("quality_all_zero", with_base(_CONTRACT, """
 SELECT uc, min(municipio) AS municipio, min(consumer_class) AS consumer_class, count(*) AS rows, 0.0::double AS total_kwh FROM std GROUP BY 1
-HAVING max(consumption_kwh) <= 0 ORDER BY rows DESC, uc LIMIT 200"""))
+HAVING max(consumption_kwh) <= 0"""))
 def quality_all_zero(spark, folder):
     return QU.units_all_zero(standard(spark, folder))
 
 
 @query("quality_missing_reference", with_base(_CONTRACT, """
-SELECT DISTINCT municipio, uc, consumer_class, source_file FROM std WHERE reference_date IS NULL ORDER BY ALL LIMIT 200"""))
+SELECT DISTINCT municipio, uc, consumer_class, source_file FROM std WHERE reference_date IS NULL"""))
 def quality_missing_reference(spark, folder):
     return QU.rows_without_reference(standard(spark, folder))
 
@@ -926,12 +936,12 @@ def quality_missing_reference(spark, folder):
 @query("quality_summary", with_base(_CONTRACT, """,
 f AS (SELECT count(*) AS total_rows, count(DISTINCT uc) AS unique_ucs, count(DISTINCT reference_month) AS month_count, count(*) FILTER (reference_date IS NULL) AS missing_reference_count,
   count(*) FILTER (consumption_kwh <= 0) AS nonpositive_rows FROM std),
-z AS (SELECT least(200, count(*)) AS zero_ucs FROM (SELECT uc FROM std GROUP BY 1 HAVING max(consumption_kwh) <= 0))
+z AS (SELECT count(*) AS zero_ucs FROM (SELECT uc FROM std GROUP BY 1 HAVING max(consumption_kwh) <= 0))
 SELECT *, concat_ws(' ', CASE WHEN missing_reference_count > 0 THEN 'Existem ' || missing_reference_count || ' linhas sem referencia valida.' END,
   CASE WHEN nonpositive_rows / total_rows > 0.30 THEN 'Mais de 30% das linhas estao com kWh nulo/zero/negativo.' END,
   CASE WHEN zero_ucs > 0 THEN 'Existem ' || zero_ucs || ' UCs com kWh zerado em todos os registros.' END) AS messages, true AS is_critical FROM f, z"""))
 def quality_summary(spark, folder):
-    out = QU.quality_summary(materialize(standard(spark, folder)))
+    out = QU.quality_summary(materialize(standard(spark, folder).select("uc", "reference_month", "reference_date", "consumption_kwh")))
     return out.withColumn("messages", F.array_join("critical_messages", " ")).drop("critical_messages")
 
 
@@ -1312,7 +1322,7 @@ def output_names(spark, folder):
 @query("run_history", """
 SELECT 'r_' || o_orderkey || '_x_y_celesc' AS run_id, 'x_y' AS municipio, CASE WHEN o_orderkey % 3 = 0 THEN 'enel' ELSE 'celesc' END AS adapter,
        CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'schema_warning' ELSE 'ok' END WHEN o_orderkey % 5 = 0 THEN 'meta_missing' ELSE 'missing_contract' END AS status
-FROM orders ORDER BY o_orderdate DESC, run_id LIMIT 300""")
+FROM orders""")
 def run_history(spark, folder):
     k = c("o_orderkey")
     run = F.concat(F.lit("r_"), k.cast("string"), F.lit("_x_y_celesc"))
@@ -1326,7 +1336,7 @@ def run_history(spark, folder):
 
 @query("output_discovery", """
 SELECT 'out/MUNICIPIOS/' || o_orderstatus || '/dimensionamento/' || o_orderkey || '_dimensionamento.csv' AS path, o_orderstatus AS municipio, 'dimensionamento' AS kind, '.csv' AS ext
-FROM orders ORDER BY o_orderdate DESC, 1 LIMIT 200""")
+FROM orders""")
 def output_discovery(spark, folder):
     name = F.concat(c("o_orderkey").cast("string"), F.lit("_dimensionamento.csv"))
     files = B.table(spark, folder, "orders").select(
@@ -1335,10 +1345,9 @@ def output_discovery(spark, folder):
 
 
 # =================================================================== text extraction
-def staged_pages(pages: DataFrame) -> DataFrame:
-    """Pages written once, spread by page: parsing is bound by CPU, and documents differ in size."""
-    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(pages.repartition(spread, "pdf_source", "page_no"))
+def printed(pages: DataFrame) -> DataFrame:
+    """Pages as a user has them: a written table. Printing them from the orders is not what these queries are about."""
+    return materialize(pages)
 
 
 _PAGE = "'doc_' || (custkey % 20) || '.pdf' AS pdf_source, cast(custkey // 20 + 1 AS int) AS page_no"
@@ -1389,7 +1398,7 @@ SELECT {_PAGE.replace(' AS page_no', ' AS page_first_seen')}, uc, referencia, CA
 
 @query("extract_records", with_base(MASTER, _EXTRACTED))
 def extract_records(spark, folder):
-    out = EX.extract_pages(staged_pages(B.labelled_pages(spark, folder)))
+    out = EX.extract_pages(printed(B.labelled_pages(spark, folder)))
     return out.select(
         "pdf_source", "page_first_seen", "uc", "referencia", "grupo_tensao", "subgrupo", "categoria", "tipo_fornecimento", "nome", "endereco", "kwh_total_te",
         "demanda_hp_kw", "consumo_fhp_kwh", "total_fatura_rs", F.when(c("categoria").isin("B3", "IP"), c("itens_fatura_total_valor_rs")).alias("itens_valor"),
@@ -1408,7 +1417,7 @@ FROM latest l CROSS JOIN range(13) t(i) LEFT JOIN master m ON m.custkey = l.cust
 
 @query("extract_history", with_base(MASTER, f", {_LATEST} {_expanded_sql()}"))
 def extract_history(spark, folder):
-    out = EX.extract_pages(staged_pages(B.history_pages(spark, folder)), expand=True)
+    out = EX.extract_pages(printed(B.history_pages(spark, folder)), expand=True)
     return out.select("uc", "referencia", "kwh_total_te", "total_fatura_rs")
 
 
@@ -1417,7 +1426,7 @@ SELECT l.uc, m.referencia, coalesce(m.demanda_hp_kw, 0) AS demanda_hp_kw, coales
        CASE WHEN m.ix = l.ix THEN coalesce(l.total_fatura_rs, 0) END AS total_fatura_rs, l.nome, l.endereco, 'Poder publico Municipal' AS origem, l.tipo_fornecimento, 'ENEL_A4' AS provider_layout
 FROM latest l JOIN master m USING (custkey) WHERE l.categoria = 'A4'"""))
 def extract_unlabelled_a4(spark, folder):
-    out = EX.extract_pages(staged_pages(B.fiscal_a4_pages(spark, folder)), expand=True)
+    out = EX.extract_pages(printed(B.fiscal_a4_pages(spark, folder)), expand=True)
     return out.select("uc", "referencia", "demanda_hp_kw", "demanda_fhp_kw", "consumo_hp_kwh", "consumo_fhp_kwh", "kwh_total_te", "total_fatura_rs",
                       "nome", "endereco", "origem", "tipo_fornecimento", "provider_layout")
 
@@ -1426,7 +1435,7 @@ def extract_unlabelled_a4(spark, folder):
 SELECT uc, referencia, categoria, CASE categoria WHEN 'IP' THEN 'B4A' ELSE 'B3' END AS subgrupo, kwh_total_te, coalesce(total_fatura_rs, 0) AS total_fatura_rs, 'MUNICIPIO DE ' || nome AS nome, endereco,
        'HISTORICO_CONSUMO_KWH' AS audit_kwh_source FROM latest WHERE categoria IN ('B3', 'IP')"""))
 def extract_unlabelled_b(spark, folder):
-    out = EX.extract_pages(staged_pages(B.fiscal_b_pages(spark, folder)))
+    out = EX.extract_pages(printed(B.fiscal_b_pages(spark, folder)))
     return out.select("uc", "referencia", "categoria", "subgrupo", "kwh_total_te", "total_fatura_rs", "nome", "endereco", "audit_kwh_source")
 
 
@@ -1434,7 +1443,7 @@ def extract_unlabelled_b(spark, folder):
 SELECT uc, '01/2001' AS referencia, 'B3' AS categoria, kwh_total_te, coalesce(total_fatura_rs, 0) AS total_fatura_rs, 'MUNICIPIO DE ' || nome AS nome, endereco || ' Competencia ' || referencia AS endereco, 'TEXTO_CONSUMO_TE' AS audit_kwh_source, 'NEOENERGIA_ELEKTRO' AS provider_layout
 FROM latest WHERE categoria IN ('B3', 'IP')"""))
 def extract_grouped(spark, folder):
-    out = EX.extract_pages(staged_pages(B.grouped_pages(spark, folder)))
+    out = EX.extract_pages(printed(B.grouped_pages(spark, folder)))
     return out.select("uc", "referencia", "categoria", "kwh_total_te", "total_fatura_rs", "nome", "endereco", "audit_kwh_source", "provider_layout")
 
 
@@ -1448,7 +1457,7 @@ def extract_single_layout(spark, folder):
 @query("extract_two_tabs", with_base(MASTER, f"""
 SELECT uc, CASE WHEN categoria = 'A4' THEN 'A4' ELSE 'B3' END AS tab, CASE WHEN categoria IN ('B3', 'OUTROS') THEN {ptbr('kwh_total_te')} ELSE '' END AS consumo_te, tipo_fornecimento FROM master"""))
 def extract_two_tabs(spark, folder):
-    a4, b3 = EX.two_tab_rows(staged_pages(B.labelled_pages(spark, folder)))
+    a4, b3 = EX.two_tab_rows(printed(B.labelled_pages(spark, folder)))
     return a4.select("uc", F.lit("A4").alias("tab"), F.lit("").alias("consumo_te"), "tipo_fornecimento").unionByName(
         b3.select("uc", F.lit("B3").alias("tab"), "consumo_te", "tipo_fornecimento"))
 

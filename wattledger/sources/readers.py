@@ -29,16 +29,23 @@ def page_texts(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("pdf_source", F.col("page_no").cast("int").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def contract(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """A contract or month table. Without a schema every CSV column is text, so ids keep their zeros."""
-    name = path.rstrip("/").lower()
-    if name.endswith(".parquet"):
-        return spark.read.parquet(path)
-    if not name.endswith((".csv", ".tsv")):
-        raise ValueError(f"Unsupported contract format: {path} (expected one of {', '.join(_CONTRACT_FORMATS)})")
-    reader = spark.read.option("header", True).option("sep", "\t" if name.endswith(".tsv") else ",").option(
-        "multiLine", True).option("escape", '"')
-    return (reader.schema(schema) if schema else reader).csv(path)
+def contract(
+    spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, line_breaks: bool = False
+) -> DataFrame:
+    """A contract or month table; several paths of one format are one scan.
+
+    Without a schema every CSV column is text, so ids keep their zeros. Files are split between tasks; `line_breaks` is
+    for CSV with line breaks inside quotes, which takes a task per file.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    names = {p.rstrip("/").lower().rpartition(".")[2] for p in paths}
+    if names == {"parquet"}:
+        return spark.read.parquet(*paths)
+    if len(names) != 1 or not names <= {"csv", "tsv"}:
+        raise ValueError(f"Unsupported contract format: {', '.join(paths)} (expected one of {', '.join(_CONTRACT_FORMATS)})")
+    reader = spark.read.option("header", True).option("sep", "\t" if names == {"tsv"} else ",").option(
+        "multiLine", line_breaks).option("escape", '"')
+    return (reader.schema(schema) if schema else reader).csv(paths)
 
 
 def union_tables(frames: list[DataFrame], categories: list[str] | None = None) -> DataFrame:
@@ -50,11 +57,13 @@ def union_tables(frames: list[DataFrame], categories: list[str] | None = None) -
 
 
 def merged_contracts(spark: SparkSession, paths: list[str], categories: list[str] | None = None) -> DataFrame:
-    return union_tables([contract(spark, p) for p in paths], categories)
+    """Tables with the same columns, one scan per format."""
+    formats = sorted({p.rstrip("/").lower().rpartition(".")[2] for p in paths})
+    return union_tables([contract(spark, [p for p in paths if p.rstrip("/").lower().endswith(f)]) for f in formats], categories)
 
 
 def _csv_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 def modules(spark: SparkSession, path: str) -> DataFrame:
@@ -107,17 +116,17 @@ def preferred_output(files: DataFrame) -> DataFrame:
     return output_candidates(files).limit(1)
 
 
-def sizing_sources(files: DataFrame, limit: int = 200) -> DataFrame:
-    """Sizing files and app exports, newest first, with the municipality their folder names."""
+def sizing_sources(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sizing files and app exports with the municipality their folder names; `limit` keeps the newest."""
     name = F.lower("name")
     app = "|".join(V.APP_EXPORT_WORDS)
     wanted = name.rlike(rf"(dimensionamento|{app}).*\.(csv|xlsx)$")
     kind = F.when(name.rlike(app), "streamlit_export").otherwise("dimensionamento")
-    return files.filter(wanted).select(
+    found = files.filter(wanted).select(
         "path", F.col("name").alias("filename"), F.regexp_extract("path", r"(?i)/municipios/([^/]+)/", 1).alias("municipio"),
         F.date_format("modified", "yyyy-MM-dd HH:mm").alias("modified_at"),
-        F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).alias("ext"), kind.alias("kind"), "modified",
-    ).orderBy(F.desc("modified"), "path").limit(limit)
+        F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).alias("ext"), kind.alias("kind"), "modified")
+    return found if limit is None else found.orderBy(F.desc("modified"), "path").limit(limit)
 
 
 def contract_profile(df: DataFrame, required: list[str] | None = None) -> DataFrame:
@@ -148,16 +157,18 @@ def parse_run_ids(runs: DataFrame) -> DataFrame:
         "id_adapter": F.when(whole, F.element_at(parts, -1)).otherwise("")})
 
 
-def run_history(runs: DataFrame, metadata: DataFrame, limit: int = 300) -> DataFrame:
+def run_history(runs: DataFrame, metadata: DataFrame, limit: int | None = None) -> DataFrame:
     """Status of each run folder.
 
     `runs(run_id, modified, has_contract)`, `metadata(run_id, generated_at,
     adapter, row_count, missing_columns array)`. What the metadata says wins over
-    what the run id spells.
+    what the run id spells. `limit` keeps the newest folders.
     """
     meta = metadata.select("run_id", F.lit(True).alias("has_meta"), "generated_at", F.col("adapter").alias("meta_adapter"),
                            "row_count", "missing_columns")
-    newest = parse_run_ids(runs).orderBy(F.desc("modified"), "run_id").limit(limit)
+    newest = parse_run_ids(runs)
+    if limit is not None:
+        newest = newest.orderBy(F.desc("modified"), "run_id").limit(limit)
     rows = newest.join(meta, "run_id", "left")
     has_meta = F.coalesce("has_meta", F.lit(False))
     status = (

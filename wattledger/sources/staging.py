@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where it names none."""
+    """The shared folder the cluster names. There is no machine-local stand-in: executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="wattledger-")
-        spark.sparkContext.setCheckpointDir(folder)
+        raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
     return folder
 
 
