@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattledger.functions import fixed_values as V
 from wattledger.functions.dates import index_label, reference_index
 from wattledger.functions.domain import a4_label, availability_exact_kwh, availability_kwh
-from wattledger.functions.numbers import exact_parts, exact_total, positive, sum_or_zero
+from wattledger.functions.numbers import exact_parts, exact_sum, exact_total, positive, sum_or_zero
 from wattledger.functions.text import strip
 from wattledger.operators.skew import one_row
 
