@@ -21,6 +21,7 @@ from wattledger.operators import catalog as CT
 from wattledger.operators import extraction as EX
 from wattledger.operators import items as IT
 from wattledger.operators import layouts as LA
+from wattledger.operators import master as MA
 from wattledger.operators import matrix as MX
 from wattledger.operators import quality as QU
 from wattledger.operators import rules as RU
@@ -306,10 +307,9 @@ def audit_worst_duplicates(spark, folder):
 SELECT categoria AS value, 'categoria' AS kind, count(*) AS rows FROM master GROUP BY 1
 UNION ALL SELECT audit_kwh_source, 'audit_kwh_source', count(*) FROM master GROUP BY 1"""))
 def audit_value_counts(spark, folder):
-    df = B.master(spark, folder).select(F.explode(F.array(
-        F.struct(c("categoria").alias("value"), F.lit("categoria").alias("kind")),
-        F.struct(c("audit_kwh_source").alias("value"), F.lit("audit_kwh_source").alias("kind")))).alias("x")).select("x.*")
-    return df.groupBy("value", "kind").agg(F.count(F.lit(1)).alias("rows"))
+    df = staged_master(spark, folder, "categoria", "audit_kwh_source")
+    parts = [AU.value_counts(df, name).select(c(name).alias("value"), F.lit(name).alias("kind"), "rows") for name in df.columns]
+    return parts[0].unionByName(parts[1])
 
 
 @query("audit_blank_counts", with_base(MASTER, """
@@ -1269,10 +1269,10 @@ def catalog_model_lookup(spark, folder):
     return SC.by_model(B.scenarios(spark, folder), B.modules(spark, folder), "module_model", "module").select("name", c("module_brand").alias("brand"))
 
 
-@query("catalog_versions", "SELECT r_name AS name, CASE WHEN r_regionkey < 2 THEN n_name END AS version_description FROM region LEFT JOIN nation ON n_nationkey = r_regionkey")
+@query("catalog_versions", "SELECT r_name AS name, n_name AS version_description FROM region LEFT JOIN nation ON n_nationkey = r_regionkey * 6")
 def catalog_versions(spark, folder):
-    scen = B.table(spark, folder, "region").select(c("r_name").alias("name"), F.concat(F.lit("V"), c("r_regionkey").cast("string")).alias("pricing_version"))
-    versions = B.table(spark, folder, "nation").filter("n_nationkey < 2").select(
+    scen = B.table(spark, folder, "region").select(c("r_name").alias("name"), F.concat(F.lit("V"), (c("r_regionkey") * 6).cast("string")).alias("pricing_version"))
+    versions = B.table(spark, folder, "nation").select(
         F.concat(F.lit("V"), c("n_nationkey").cast("string")).alias("version_id"), F.lit("").alias("date"), c("n_name").alias("description"),
         F.lit("").alias("source"), c("n_nationkey").alias("pos"))
     return SC.with_version(scen, versions).select("name", "version_description")
@@ -1405,6 +1405,37 @@ def extract_records(spark, folder):
         "audit_kwh_source", "provider_layout")
 
 
+_DOC = "'doc_' || (custkey % 20)"
+
+
+def _built(spark, folder):
+    pages = printed(B.labelled_pages(spark, folder))
+    town = F.concat(F.lit("TOWN "), F.regexp_extract("pdf_source", r"(\d+)", 1))
+    stamps = pages.select("pdf_source").distinct().filter(~c("pdf_source").endswith("5.pdf")).select("pdf_source", town.alias("municipio"))
+    return MA.build_master(pages, stamps)
+
+
+@query("build_master", with_base(MASTER, f"""
+SELECT uc, referencia, categoria, {_DOC} || '.pdf' AS uploaded_file, {_DOC} || ': ' || (custkey // 20 + 1) AS audit_pdf_pages,
+       CASE WHEN custkey % 10 <> 5 THEN 'TOWN ' || (custkey % 20) END AS municipio, reference_date::date AS reference_date FROM master"""))
+def build_master(spark, folder):
+    return _built(spark, folder).select("uc", "referencia", "categoria", "uploaded_file", "audit_pdf_pages", "municipio", "reference_date")
+
+
+@query("master_counts", with_base(MASTER, f"""
+SELECT {_DOC} || '.pdf' AS pdf_source, count(*) AS rows, 0::bigint AS missing_ref, 0::bigint AS blank_kwh FROM master GROUP BY 1"""))
+def master_counts(spark, folder):
+    return MA.master_counts(_built(spark, folder))
+
+
+@query("discovery_summary", with_base(MASTER, f"""
+SELECT {_DOC} || '.pdf' AS pdf_source, 'categoria' AS kind, categoria AS value, count(*) AS rows FROM master GROUP BY ALL
+UNION ALL SELECT {_DOC} || '.pdf', 'kwh_source', audit_kwh_source, count(*) FROM (SELECT custkey, CASE WHEN categoria NOT IN ('B3', 'IP') THEN '' WHEN kwh_total_te = 0 THEN 'ITENS_CONSUMO_TE/ITEM_QUANTITY_FALLBACK'
+  WHEN categoria = 'IP' THEN 'ITENS_CONSUMO_TE/ITEM_CONSUMO_IP_TE_QTD' ELSE 'ITENS_CONSUMO_TE/ITEM_CONSUMO_TE_QTD' END AS audit_kwh_source FROM master) GROUP BY ALL"""))
+def discovery_summary(spark, folder):
+    return MA.discovery_summary(EX.extract_pages(printed(B.labelled_pages(spark, folder))))
+
+
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY ix DESC) AS rn FROM master) WHERE rn = 1)"""
 
 
