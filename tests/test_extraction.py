@@ -120,7 +120,7 @@ def test_layout_names(spark):
 
 def test_layout_of_a_long_document(spark):
     """A marker counts on whatever page it stands, and also across a page break."""
-    rows = [("late", n, "CPFL Paulista" if n == 77 else f"folha {n}") for n in range(1, 121)]
+    rows = [("late", n, "CPFL Paulista Itens da Fatura" if n == 77 else f"folha {n}") for n in range(1, 121)]
     rows += [("split", n, {50: "texto CONTA DE", 51: "ENERGIA e CEMIG distribuição S.A"}.get(n, "folha")) for n in range(1, 90)]
     pages = spark.createDataFrame(rows, "pdf_source string, page_no int, text string")
     assert {r.pdf_source: r.provider_layout for r in document_layouts(pages).collect()} == {"late": "CPFL", "split": "CEMIG"}

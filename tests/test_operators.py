@@ -11,7 +11,6 @@ from wattledger.operators import matrix as MX
 from wattledger.operators import quality as QU
 from wattledger.operators import scenario as SC
 from wattledger.operators import sizing as SZ
-from wattledger.operators.skew import salted_join
 from wattledger.sources import readers as RD
 from wattledger.sources import writers as WR
 
@@ -29,12 +28,6 @@ def test_page_trail(spark):
     assert AU.with_page_trail(df).count() == 4
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
-    right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    assert rows(salted_join(left, right, ["k"])) == rows(left.join(right, "k", "left"))
-
-
 @pytest.fixture(scope="module")
 def master(spark):
     data = [
