@@ -222,7 +222,8 @@ def near_duplicates(documents: DataFrame, differing_bits: int = MAX_DIFFERING_BI
     linked = written(least.join(roots, "fingerprint"))
     reach = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = linked.join(reach, "root").select("fingerprint", "component_id")
-    answer = least.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least_id").alias("component_id"))
+    # Written, so that the last join has plain scans on both sides and Spark may split a fingerprint that many rows share.
+    answer = written(least.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least_id").alias("component_id")))
     return own.join(answer, "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
