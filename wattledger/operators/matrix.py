@@ -117,22 +117,24 @@ def first_text(name: str, order: Column) -> Column:
 def by_unit(
     rows: DataFrame, keys: list[str], texts: list[str], totals: dict[str, tuple[Column, Column]], peaks: dict[str, Column], order: list[str],
 ) -> DataFrame:
-    """Per unit: its first filled texts, exact totals, greatest peaks and first page, without sorting the rows.
+    """Per unit: its first filled texts, exact totals, greatest peaks and first page, without sorting the wide rows.
 
-    Rows first meet per unit and combination of texts and file, where all that is added up is numeric, in a hash aggregate
-    that combines map-side. The texts are chosen among the few combinations that are left of a unit.
+    All that is added up is numeric, in one hash aggregate that combines map-side. The texts come from a narrow table:
+    first the first place of each combination of texts and file, again in a hash aggregate, then a choice among the few
+    combinations of a unit.
     """
-    place = [F.min(F.col(c).cast("long")).alias(c) for c in order if c != "pdf_source"]
-    named = [c for c in dict.fromkeys([*texts, *[c for c in order if c == "pdf_source"]])]
-    page = [F.min(F.col("page_first_seen").cast("double")).alias("__page")] if "page_first_seen" in rows.columns else [F.min(F.lit(None).cast("double")).alias("__page")]
-    some = rows.groupBy(*keys, *named).agg(
-        *[F.sum(part).alias(f"__{n}_{k}") for n, parts in totals.items() for k, part in zip(("whole", "micro"), parts)],
-        *[F.max(c).alias(n) for n, c in peaks.items()], *place, *page)
+    page = F.min(F.col("page_first_seen").cast("double")) if "page_first_seen" in rows.columns else F.lit(None).cast("double")
+    numbers = rows.groupBy(*keys).agg(
+        *[F.coalesce(exact_total(F.sum(whole), F.sum(micro)), F.lit(0.0)).alias(n) for n, (whole, micro) in totals.items()],
+        *[F.max(c).alias(n) for n, c in peaks.items()], page.alias("first_page"))
+    place = [F.min(F.col(c).cast("long")).alias(c) for c in order if c != "pdf_source"] or [F.lit(0).alias("__place")]
+    some = rows.groupBy(*keys, *dict.fromkeys([*texts, *[c for c in order if c == "pdf_source"]])).agg(*place)
     first = F.struct(*order) if order else F.struct(F.lit(0).alias("o"))
-    return some.groupBy(*keys).agg(
-        *[first_text(c, first).alias(c) for c in texts],
-        *[F.coalesce(exact_total(F.sum(f"__{n}_whole"), F.sum(f"__{n}_micro")), F.lit(0.0)).alias(n) for n in totals],
-        *[F.max(n).alias(n) for n in peaks], F.min("__page").alias("first_page"))
+    chosen = some.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[first_text(c, first).alias(c) for c in texts])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return numbers.join(chosen, same).drop(*[f"__{k}" for k in keys])
 
 
 def order_columns(df: DataFrame) -> list[str]:
