@@ -56,3 +56,14 @@ p AS (SELECT q.vec_id AS query_id, e.vec_id,
 r AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 10
 """
+
+REVISITS = r"""
+WITH r AS (SELECT page_id AS id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^[a-z]+://(www\.|m\.)?', ''), '(?s)[?#].*$', ''), '(\.html|/)$', '') AS place,
+  length(coalesce(html, '')) AS size, md5(coalesce(html, '')) AS digest FROM pages WHERE page_id IS NOT NULL),
+v AS (SELECT *, CASE WHEN id % 5 <> 0 THEN substr(md5(place), 1, 8) || (size % 2) END AS tag, CASE WHEN id % 2 = 0 THEN size % 3 END AS lm FROM r),
+j AS (SELECT a.id, a.tag, a.lm, (SELECT max(b.id) FROM v b WHERE b.place = a.place AND b.id < a.id AND b.id % 3 <> 2) AS src FROM v a WHERE a.id % 3 = 2),
+o AS (SELECT j.id, j.src, s.digest, CASE WHEN src IS NULL THEN 'orphan' WHEN coalesce(s.tag = j.tag, s.lm = j.lm, true) THEN 'resolved' ELSE 'mismatch' END AS outcome
+      FROM j LEFT JOIN v s ON s.id = j.src)
+SELECT id AS record_id, outcome, src AS source_id, CASE WHEN outcome = 'resolved' THEN digest END AS digest,
+       CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || id || ';server=old' END AS headers FROM o
+"""
