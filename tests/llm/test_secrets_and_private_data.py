@@ -65,6 +65,17 @@ def test_added_spans_and_mask():
     assert S.mask(None) is None and S.mask("plain") == "plain"
 
 
+def test_values_longer_than_their_base_span(corpus):
+    text = "password=Summer2024!x9$Kq7pLm and more"
+    assert S.listed(S.find_secrets(text)) == "assign:0:19,guess:19:29"
+    assert S.mask(text) == "password=[SECRET] and more"
+    inside = "pwd: x9$AKIAABCDEFGHIJKL!foo#7 z"
+    assert S.listed(S.find_secrets(inside)) == "guess:5:8,access:8:24,guess:24:30" and S.mask(inside) == "pwd: [SECRET] z"
+    assert S.listed(S.find_secrets("{token=abcdefgh12}")) == "assign:1:17" and S.mask("password=password!") == "password=[SECRET]!"
+    rows = S.secret_report(corpus([(1, text), (2, inside)])).collect()
+    assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_guess, r.n_strong) for r in rows) == [(1, 1, 0, 1, 1), (2, 0, 1, 2, 1)]
+
+
 def test_secret_tables(corpus):
     rows = [(1, None), (2, ""), (3, "token=abcdefgh é password: 12345678"), (3, "token=abcdefgh é password: 12345678"), (None, "AKIA1234567890ABCD"), (5, "word " * 50_000 + "secret=" + "a1" * 30_000)]
     out = S.secret_report(corpus(rows)).collect()

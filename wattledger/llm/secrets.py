@@ -30,7 +30,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: A credential word, what joins it to its value, and the value.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[\x20_-]?key|credentials?)s?["']?"""
-    r"""(?:\x20{0,8}(?:=>|->|[:=])\x20{0,8}|\x20(?:is|was)\x20)["']?([^\s"'<>,;]{8,})""", re.I | re.A)
+    r"""(?:\x20{0,8}(?:=>|->|[:=])\x20{0,8}|\x20(?P<prose>is|was)\x20)["']?(?P<value>[^\s"'<>,;]{8,})""", re.I | re.A)
 #: Text in lower case without any of these has no credential word.
 HINTS = ("pass", "pwd", "secret", "token", "api", "credential")
 #: Values that cost fewer guesses (as a power of ten) are no secrets worth the name.
@@ -131,7 +131,10 @@ def guess_cost(value: str) -> float:
 
 @dataclass(frozen=True)
 class Span:
-    """A secret at [start, end) of the text in code points; [value, value_end) is what must not be seen."""
+    """A secret at [start, end) of the text in code points; [value, value_end) is what must not be seen.
+
+    A guess that base spans cover in part is at what they leave of it; its value is whole.
+    """
 
     kind: str
     start: int
@@ -147,10 +150,22 @@ def mixed(value: str) -> bool:
     return len(inner) >= LEAST_VALUE and any(c.isalpha() for c in inner) and any(not c.isalpha() for c in inner)
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
+    """What the intervals of `taken` (sorted) from number `at` on leave of [start, end)."""
+    out = []
+    while at < len(taken) and taken[at][0] < end:
+        if taken[at][0] > start:
+            out.append((start, taken[at][0]))
+        start, at = max(start, taken[at][1]), at + 1
+    return [*out, (start, end)] if start < end else out
+
+
 def find_secrets(text: str | None, least: float = LEAST_LOG10_GUESSES) -> list[Span]:
     """All spans of a whole text by start, then kind: base spans as the patterns say, then values that cost enough guesses.
 
-    A guessed value overlaps no base span and mixes letters with other characters.
+    A guessed value mixes letters with other characters.
+    A guess overlaps no base span: where they cover a part of its value, each part outside is a span of the whole value,
+    unless it is closing brackets alone.
     """
     if not text:
         return []
@@ -164,13 +179,16 @@ def find_secrets(text: str | None, least: float = LEAST_LOG10_GUESSES) -> list[S
         taken = sorted((s.start, s.end) for s in base)
         at = 0
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
+            if not mixed(m["value"]):
+                continue
+            start, end = m.span("value")
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if (at < len(taken) and taken[at][0] < end) or not mixed(m[1]):
-                continue
-            if (cost := guess_cost(m[1])) >= least:
-                added.append(Span("guess", start, end, start, end, cost))
+            parts = outside(start, end, taken, at)
+            if parts != [(start, end)]:
+                parts = [(a, b) for a, b in parts if text[a:b].strip(")]}")]
+            if parts and (cost := guess_cost(m["value"])) >= least:
+                added += [Span("guess", a, b, start, end, cost) for a, b in parts]
     return sorted(base + added, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
@@ -214,8 +232,8 @@ def secret_spans(documents: DataFrame, least: float = LEAST_LOG10_GUESSES) -> Da
 def secret_report(documents: DataFrame, least: float = LEAST_LOG10_GUESSES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, n_strong of every row.
 
-    base_sha256 is over the base spans alone; spans lists the added ones too; n_strong counts priced values that cost
-    at least `least`.
+    base_sha256 is over the base spans alone; spans lists the added ones too; n_strong counts the priced values, by their
+    start, that cost at least `least`.
     """
     found = secret_spans(documents, least)
 
@@ -232,7 +250,8 @@ def secret_report(documents: DataFrame, least: float = LEAST_LOG10_GUESSES) -> D
         "doc_id", *[of_kind(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(text(F.filter("spans", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"), text("spans").alias("spans"),
         of_kind("guess").alias("n_guess"),
-        count(lambda s: F.coalesce(s["log10_guesses"], F.lit(0.0)) >= least).alias("n_strong"))
+        F.size(F.array_distinct(F.transform(
+            F.filter("spans", lambda s: F.coalesce(s["log10_guesses"], F.lit(0.0)) >= least), lambda s: s["value_start"]))).cast("long").alias("n_strong"))
 
 
 def mask_secrets(documents: DataFrame, mark: str = "[SECRET]", least: float = LEAST_LOG10_GUESSES) -> DataFrame:
