@@ -65,6 +65,13 @@ def test_added_spans_and_mask():
     assert S.mask(None) is None and S.mask("plain") == "plain"
 
 
+def test_unmixed_values_are_priced():
+    assert S.mask("pwd=QXZKVWPTRMNB now") == "pwd=[SECRET] now"
+    assert S.mask("passphrase: 918273645546") == "passphrase: [SECRET]"
+    for text in ["pwd=passwordpassword", "passcode: 111111111111", "the passphrase is protection and was forgotten"]:
+        assert S.find_secrets(text) == []
+
+
 def test_values_longer_than_their_base_span(corpus):
     text = "password=Summer2024!x9$Kq7pLm and more"
     assert S.listed(S.find_secrets(text)) == "assign:0:19,guess:19:29"

@@ -163,7 +163,7 @@ def outside(start: int, end: int, taken: list[tuple[int, int]], at: int) -> list
 def find_secrets(text: str | None, least: float = LEAST_LOG10_GUESSES) -> list[Span]:
     """All spans of a whole text by start, then kind: base spans as the patterns say, then values that cost enough guesses.
 
-    A guessed value mixes letters with other characters.
+    Every value in a credential context is priced; only after "is" or "was" must it mix letters with other characters.
     A guess overlaps no base span: where they cover a part of its value, each part outside is a span of the whole value,
     unless it is closing brackets alone.
     """
@@ -179,7 +179,7 @@ def find_secrets(text: str | None, least: float = LEAST_LOG10_GUESSES) -> list[S
         taken = sorted((s.start, s.end) for s in base)
         at = 0
         for m in CONTEXT.finditer(text):
-            if not mixed(m["value"]):
+            if m["prose"] and not mixed(m["value"]):
                 continue
             start, end = m.span("value")
             while at < len(taken) and taken[at][1] <= start:
