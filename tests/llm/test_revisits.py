@@ -47,3 +47,21 @@ def test_query_and_sql(spark, folder):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
     got = R.revisit_report(spark.read.parquet(f"{folder}/pages.parquet")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(checks.REVISITS).fetchall()))
+
+
+def test_different_resources_do_not_meet(spark):
+    urls = ["http://a.com/item?id=1", "http://a.com/item?id=2", "http://a.com/l", "http://a.com/l?page=2", "http://a.com/A", "http://a.com/a"]
+    rows = [(2 * k + again, u, 10 + again * 10 + k, ("response", "revisit")[again], None, None, f"d{k}", {}, 0) for k, u in enumerate(urls) for again in (0, 1)]
+    rows += [(50, "HTTPS://WWW.A.com/item/?utm_source=x&id=2#f", 90, "revisit", None, None, None, None, 0), (51, "http://a.com/s?b=2&a=1&a=0", 91, "response", None, None, "s", {}, 0),
+             (52, "http://a.com/s?a=1&gclid=7&a=0&b=2", 92, "revisit", None, None, None, {}, 0), (53, "http://a.com/s?a=0&a=1&b=2", 93, "revisit", None, None, None, {}, 0)]
+    got = {r.record_id: r.source_id for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA), place=R.resource_url).collect()}
+    assert got == {2 * k + 1: 2 * k for k in range(len(urls))} | {50: 2, 52: 51, 53: None}
+
+
+def test_captures_query_and_sql(spark, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    got = R.captures_report(spark.read.parquet(f"{folder}/pages.parquet")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(checks.CAPTURES).fetchall()))
+    share = {o: sum(r.outcome == o for r in got) / len(got) for o in ("resolved", "mismatch", "orphan")}
+    assert share["resolved"] > 0.6 and share["mismatch"] > 0.02 and 0 < share["orphan"] < 0.1

@@ -67,3 +67,29 @@ o AS (SELECT j.id, j.src, s.digest, CASE WHEN src IS NULL THEN 'orphan' WHEN coa
 SELECT id AS record_id, outcome, src AS source_id, CASE WHEN outcome = 'resolved' THEN digest END AS digest,
        CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || id || ';server=old' END AS headers FROM o
 """
+
+CAPTURES = r"""
+WITH c AS (SELECT page_id AS k, step, coalesce(url, '') AS url, md5(coalesce(html, '')) AS body, page_id % 10 = 0 AS hot,
+             step IN (1, 3, 4, 5) OR (step = 0 AND page_id % 16 = 5) AS again, page_id * 10 + step * 37 AS captured
+           FROM pages, (SELECT unnest(range(6)) AS step) WHERE page_id IS NOT NULL),
+v AS (SELECT *, k * 6 + step AS id, CASE WHEN hot THEN cast(floor((captured - CASE WHEN again THEN 25 ELSE 0 END) / 500) AS bigint)
+             WHEN step < 2 OR (step = 3 AND k % 4 = 1) OR (step = 4 AND k % 8 = 3) THEN 0 ELSE 1 END AS version FROM c),
+s AS (SELECT id, step, again, captured, version, md5(CASE WHEN hot THEN 'hot' ELSE body END || '/' || version) AS digest,
+             CASE WHEN hot THEN 'https://www.hot.example/Start?id=1' ELSE url END AS url FROM v),
+u AS (SELECT id, step, again, captured, version, digest, '"' || substr(digest, 1, 8) || '"' AS tag,
+             CASE step WHEN 3 THEN url || '#again' WHEN 4 THEN regexp_replace(url, '^http:', 'https:')
+                       WHEN 5 THEN regexp_replace(url, '^([^#?]*)\?', '\1?utm_medium=a&') ELSE url END AS url FROM s),
+p AS (SELECT *, regexp_extract(url, '(?s)^([A-Za-z]+://[^/?#]*)?([^?#]*)(?:\?([^#]*))?', 1) AS front,
+             regexp_extract(url, '(?s)^([A-Za-z]+://[^/?#]*)?([^?#]*)(?:\?([^#]*))?', 2) AS path,
+             string_split(regexp_extract(url, '(?s)^([A-Za-z]+://[^/?#]*)?([^?#]*)(?:\?([^#]*))?', 3), '&') AS params FROM u),
+q AS (SELECT id, string_agg(x, '&' ORDER BY encode(string_split(x, '=')[1]), i) AS query FROM (SELECT id, unnest(params) AS x, unnest(range(len(params))) AS i FROM p)
+      WHERE x <> '' AND NOT regexp_full_match(lower(string_split(x, '=')[1]), '(?s)utm_.*|gclid|fbclid|msclkid|phpsessid|jsessionid') GROUP BY id),
+r AS (SELECT p.*, regexp_replace(lower(front), '^[a-z]+://(www\.|m\.)?', '') || regexp_replace(path, '(\.html|/)$', '') || coalesce('?' || query, '') AS place
+      FROM p LEFT JOIN q USING (id)),
+full_ AS (SELECT place, captured, max(id) AS id FROM r WHERE NOT again GROUP BY ALL),
+j AS (SELECT a.id, a.step, a.captured, a.tag, a.version, b.id AS src FROM r a ASOF LEFT JOIN full_ b ON a.place = b.place AND a.captured > b.captured WHERE a.again),
+o AS (SELECT j.id, j.captured, j.src, f.digest, CASE WHEN src IS NULL THEN 'orphan' WHEN CASE WHEN j.step < 4 THEN f.tag = j.tag WHEN j.step = 4 THEN f.version = j.version ELSE true END
+             THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j LEFT JOIN r f ON f.id = j.src)
+SELECT id AS record_id, outcome, src AS source_id, CASE WHEN outcome = 'resolved' THEN digest END AS digest,
+       CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || captured || ';server=old' END AS headers FROM o
+"""

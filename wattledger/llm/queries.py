@@ -10,7 +10,7 @@ from wattledger.llm.decontamination import contamination_report
 from wattledger.llm.packing import pack
 from wattledger.llm.private_data import private_report
 from wattledger.llm.quality import score_quality
-from wattledger.llm.revisits import revisit_report
+from wattledger.llm.revisits import captures_report, revisit_report
 from wattledger.llm.secrets import secret_report
 from wattledger.llm.simhash import near_duplicates
 from wattledger.llm.toxicity import score_toxicity
@@ -23,6 +23,10 @@ def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_revisit_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures_report(table(spark, sf_dir, "pages"))
+
+
 def op2_revisit_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisit_report(table(spark, sf_dir, "pages"))
 
@@ -73,9 +77,9 @@ def op10_private_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity_nnpu, op2_revisit_asof_join, op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment, op6_url_token_rules,
-    op7_packing_least_squares, op8_simhash_trie, op9_vector_approximation, op10_private_weak_labels)}
+    op1_toxicity_nnpu, op2_revisit_captures, op2_revisit_asof_join, op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment,
+    op6_url_token_rules, op7_packing_least_squares, op8_simhash_trie, op9_vector_approximation, op10_private_weak_labels)}
 CHECKS = {
-    "op2_revisit_asof_join": checks.REVISITS,
+    "op2_revisit_captures": checks.CAPTURES, "op2_revisit_asof_join": checks.REVISITS,
     "op5_benchmark_containment": checks.CONTAMINATION, "op6_url_token_rules": checks.URLS, "op9_vector_approximation": checks.TOP_PRODUCTS,
 }

@@ -7,6 +7,8 @@ maximum). Bodies do not travel: records carry their digests, and a revisit gets
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 RANGES = 256
 #: The headers that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
+#: Names of query parameters that say where a visitor came from, not what is asked for.
+TRACKING = "^(?:utm_.*|gclid|fbclid|msclkid|phpsessid|jsessionid)$"
+#: Captures of a page; every tenth page is one of a URL that they share, whose content changes with time.
+CAPTURES, HOT_EVERY, HOT_URL = 6, 10, "https://www.hot.example/Start?id=1"
 
 
 def canonical_url(url: Column) -> Column:
@@ -22,17 +28,30 @@ def canonical_url(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?s)[?#].*$", ""), r"(?:\.html|/)$", "")
 
 
-def resolve_revisits(records: DataFrame, ranges: int = RANGES) -> DataFrame:
+def resource_url(url: Column) -> Column:
+    """The key of one resource: `canonical_url` without its losses. Only scheme and host are put in lower case, and the query
+    stays, by parameter name (equal names in their order), without the parameters in TRACKING.
+    """
+    text = F.coalesce(url, F.lit(""))
+    parts = [F.regexp_extract(text, r"(?s)^([A-Za-z]+://[^/?#]*)?([^?#]*)(?:\?([^#]*))?", k) for k in (1, 2, 3)]
+    host, path = F.regexp_replace(F.lower(parts[0]), r"^[a-z]+://(?:www\.|m\.)?", ""), F.regexp_replace(parts[1], r"(?:\.html|/)$", "")
+    named = F.transform(F.split(parts[2], "&", -1), lambda p, k: F.struct(F.substring_index(p, "=", 1).alias("name"), k.alias("k"), p.alias("text")))
+    kept = F.array_sort(F.filter(named, lambda p: (p["text"] != "") & ~F.lower(p["name"]).rlike(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: p["text"]), "&")
+    return F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+
+def resolve_revisits(records: DataFrame, ranges: int = RANGES, place: Callable[[Column], Column] = canonical_url) -> DataFrame:
     """record_id, outcome, source_id, digest, headers of every revisit.
 
     `records` has record_id, url, captured (long), kind (response or revisit), etag, last_modified, digest and headers (map,
     lower-case names). The source is the latest response before the revisit, ties by the larger id. It must agree in
     the entity tag (weak comparison) where both have one, else in the date where both have one; with neither it stands.
     Outcome: resolved, mismatch (source_id says with what), or orphan. A resolved revisit has its source's digest
-    and headers, with the permitted ones of its own put over them. Records without a time, and of other kinds, take no part.
+    and headers, with the permitted ones of its own put over them. `place` says which URLs are one. Records without a time, and of other kinds, take no part.
     """
     rows = records.filter("captured is not null and kind in ('response', 'revisit')").select(
-        canonical_url(F.col("url")).alias("place"), "record_id", "captured", "kind", "etag", "last_modified", "digest", "headers")
+        place(F.col("url")).alias("place"), "record_id", "captured", "kind", "etag", "last_modified", "digest", "headers")
     ends = rows.agg(F.min("captured").alias("first"), F.max("captured").alias("last"))
     rows = rows.crossJoin(F.broadcast(ends)).withColumn(
         "range", F.floor((F.col("captured") - F.col("first")) * ranges / (F.col("last") - F.col("first") + 1)).cast("int")).drop("first", "last")
@@ -75,7 +94,45 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
         F.when(k % 2 == 0, (size % 3).cast("string")).alias("last_modified"), F.md5(F.coalesce("html", F.lit(""))).alias("digest"), headers.alias("headers"))
 
 
+def captures_of_pages(pages: DataFrame) -> DataFrame:
+    """Six captures of every page, in turns with those of the next pages.
+
+    Two responses (0 and 2; the second has new content) and revisits (1, 3, 4, 5), under several spellings of the URL. For
+    every sixteenth page capture 0 is a revisit too, before any response. Revisits have a weak entity tag (3: every fourth page's is
+    stale), or only a date (4: every eighth page's is wrong), or nothing (5). On the shared URL tags and dates follow its content.
+    """
+    k, step = F.col("page_id"), F.col("step")
+    hot = k % HOT_EVERY == 0
+    rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("body"), F.explode(F.array(*map(F.lit, range(CAPTURES)))).alias("step"))
+    again = step.isin(1, 3, 4, 5) | ((step == 0) & (k % 16 == 5))
+    captured = k * 10 + step * 37
+    seen = F.when(again, captured - 25).otherwise(captured)
+    version = F.when(hot, F.floor(seen / 500)).when((step < 2) | ((step == 3) & (k % 4 == 1)) | ((step == 4) & (k % 8 == 3)), 0).otherwise(1)
+    rows = rows.select("page_id", "url", "step", again.alias("again"), captured.alias("captured"), version.cast("long").alias("version"), F.when(hot, "hot").otherwise(F.col("body")).alias("body"))
+    url = F.when(hot, HOT_URL).otherwise(F.coalesce("url", F.lit("")))
+    spelled = F.when(step == 3, F.concat(url, F.lit("#again"))).when(step == 4, F.regexp_replace(url, "^http:", "https:")).when(
+        step == 5, F.regexp_replace(url, r"^([^#?]*)\?", "$1?utm_medium=a&")).otherwise(url)
+    digest = F.md5(F.concat_ws("/", "body", F.col("version").cast("string")))
+    tag = F.concat(F.lit('"'), F.substring(digest, 1, 8), F.lit('"'))
+    own = F.create_map(F.lit("date"), F.col("captured").cast("string"), F.lit("server"), F.when(F.col("again"), "new").otherwise("old"))
+    more = F.create_map(F.lit("content-type"), F.lit("text/html"))
+    return rows.select(
+        (k * CAPTURES + step).alias("record_id"), spelled.alias("url"), "captured", F.when(F.col("again"), "revisit").otherwise("response").alias("kind"),
+        F.when(~F.col("again"), tag).when(step < 4, F.concat(F.lit("W/"), tag)).alias("etag"),
+        F.when(~F.col("again") | (step == 4), F.col("version").cast("string")).alias("last_modified"), digest.alias("digest"),
+        F.when(F.col("again"), own).otherwise(F.map_concat(own, more)).alias("headers"))
+
+
+def listed_headers(found: DataFrame) -> DataFrame:
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.withColumn("headers", listed)
+
+
+def captures_report(pages: DataFrame) -> DataFrame:
+    """As `revisit_report`, of every revisit among six captures of each page, where URLs are one only if they are one resource."""
+    return listed_headers(resolve_revisits(captures_of_pages(pages), place=resource_url))
+
+
 def revisit_report(pages: DataFrame) -> DataFrame:
     """record_id, outcome, source_id, digest, headers (text, by name) of every revisit among the records of `pages`."""
-    listed = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return resolve_revisits(records_of_pages(pages)).withColumn("headers", listed)
+    return listed_headers(resolve_revisits(records_of_pages(pages)))
