@@ -93,3 +93,19 @@ o AS (SELECT j.id, j.captured, j.src, f.digest, CASE WHEN src IS NULL THEN 'orph
 SELECT id AS record_id, outcome, src AS source_id, CASE WHEN outcome = 'resolved' THEN digest END AS digest,
        CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || captured || ';server=old' END AS headers FROM o
 """
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [cast(floor(256 * cast(x AS double)) AS bigint) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same,
+             cast(list_sum([a.v[i] * e.v[i] FOR i IN range(1, len(e.v) + 1)]) AS bigint) AS score
+      FROM e a JOIN e ON a.vec_id % 50 = 0 AND a.vec_id <> e.vec_id AND len(a.v) = len(e.v)),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS turn FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             cast(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS integer) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND p.turn <= 5
+        AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT * FROM n WHERE rank <= 3
+"""

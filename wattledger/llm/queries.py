@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattledger.llm import checks
 from wattledger.llm.common import ship_package, table
 from wattledger.llm.decontamination import contamination_report
+from wattledger.llm.hard_negatives import hard_negatives, relabelled
 from wattledger.llm.packing import pack
 from wattledger.llm.private_data import private_report
 from wattledger.llm.quality import score_quality
@@ -76,10 +78,17 @@ def op10_private_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_report(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_nnpu, op2_revisit_captures, op2_revisit_asof_join, op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment,
-    op6_url_token_rules, op7_packing_least_squares, op8_simhash_trie, op9_vector_approximation, op10_private_weak_labels)}
+    op6_url_token_rules, op7_packing_least_squares, op8_simhash_trie, op9_vector_approximation, op10_private_weak_labels,
+    op13_hard_negatives)}
 CHECKS = {
     "op2_revisit_captures": checks.CAPTURES, "op2_revisit_asof_join": checks.REVISITS,
     "op5_benchmark_containment": checks.CONTAMINATION, "op6_url_token_rules": checks.URLS, "op9_vector_approximation": checks.TOP_PRODUCTS,
+    "op13_hard_negatives": checks.HARD_NEGATIVES,
 }
