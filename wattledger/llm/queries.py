@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger.llm import checks
+from wattledger.llm.alignment import alignment_report
 from wattledger.llm.common import ship_package, table
 from wattledger.llm.decontamination import contamination_report
 from wattledger.llm.hard_negatives import hard_negatives, relabelled
@@ -51,11 +52,11 @@ def op6_url_token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-def tokenizer_file() -> str:
-    """The public tokenizer's file as it is installed on every machine; it is not part of the repository."""
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file as it is installed on every machine; it is not part of the repository."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op7_packing_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,11 @@ def op10_private_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_report(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return alignment_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
@@ -86,7 +92,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_nnpu, op2_revisit_captures, op2_revisit_asof_join, op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment,
     op6_url_token_rules, op7_packing_least_squares, op8_simhash_trie, op9_vector_approximation, op10_private_weak_labels,
-    op13_hard_negatives)}
+    op12_token_alignment, op13_hard_negatives)}
 CHECKS = {
     "op2_revisit_captures": checks.CAPTURES, "op2_revisit_asof_join": checks.REVISITS,
     "op5_benchmark_containment": checks.CONTAMINATION, "op6_url_token_rules": checks.URLS, "op9_vector_approximation": checks.TOP_PRODUCTS,
