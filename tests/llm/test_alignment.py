@@ -111,3 +111,5 @@ def test_the_fast_way_gives_the_same_ids():
     assert words.fast is not None
     texts = [f"a{chr(c)}1{chr(c)}  {chr(c)}{chr(c)} .{chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
     assert words.encode(texts) == words._slowly(texts)
+    runs = ["a" + " " * 1_500_000 + "b", "a" * 1_500_000, "\n" * 150_000, "1" * 500_000, "." * 500_000]
+    assert words.encode(runs) == words._slowly(runs)

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,9 @@ from wattledger.llm.common import slices, written
 CHARACTERS_AT_ONCE, BROADCAST_PAIRS = 1 << 20, 4_000_000
 #: How the byte-level vocabulary splits text before merging; a fixed value of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White-space characters in a row from which the slower library splits a text.
+LONG_RUN = 100_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 # ---- the two tokenizers ----
@@ -42,8 +46,8 @@ def letters_of_bytes() -> dict[str, int]:
 class ByteLevel:
     """Ids of space + text by a byte-level BPE vocabulary file; special tokens' strings are plain text.
 
-    Where ids follow the order of merges, a faster library gives the same ids; it is asked unless it differs on a few
-    probes or fails on a text.
+    Where ids follow the order of merges, a faster library gives the same ids; it is asked unless it differs on a
+    probe, but for texts with runs of white space too long for its pattern's backtracking.
     """
 
     def __init__(self, path: str):
@@ -70,10 +74,7 @@ class ByteLevel:
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast is None:
             return self._slowly(texts)
-        try:
-            return [self.fast.encode_ordinary(t) for t in texts]
-        except ValueError:
-            return self._slowly(texts)
+        return [self._slowly([t])[0] if len(t) > LONG_RUN and _RUN.search(t) else self.fast.encode_ordinary(t) for t in texts]
 
 
 class Pieces:

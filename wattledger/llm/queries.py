@@ -14,6 +14,7 @@ from wattledger.llm.packing import pack
 from wattledger.llm.private_data import private_report
 from wattledger.llm.quality import score_quality
 from wattledger.llm.revisits import captures_report, revisit_report
+from wattledger.llm.risk_rules import rules_report
 from wattledger.llm.secrets import secret_report
 from wattledger.llm.simhash import near_duplicates
 from wattledger.llm.toxicity import score_toxicity
@@ -79,6 +80,11 @@ def op10_private_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_report(table(spark, sf_dir, "documents"))
 
 
+def op11_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return rules_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return alignment_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
@@ -92,7 +98,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_nnpu, op2_revisit_captures, op2_revisit_asof_join, op3_quality_trees, op4_secret_guess_cost, op5_benchmark_containment,
     op6_url_token_rules, op7_packing_least_squares, op8_simhash_trie, op9_vector_approximation, op10_private_weak_labels,
-    op12_token_alignment, op13_hard_negatives)}
+    op11_risk_controlled_rules, op12_token_alignment, op13_hard_negatives)}
 CHECKS = {
     "op2_revisit_captures": checks.CAPTURES, "op2_revisit_asof_join": checks.REVISITS,
     "op5_benchmark_containment": checks.CONTAMINATION, "op6_url_token_rules": checks.URLS, "op9_vector_approximation": checks.TOP_PRODUCTS,
