@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wattledger.llm import checks
@@ -26,13 +27,24 @@ ODD = ["a", "B", "é", "É", "'s", "'", "1", "!!", "###", " ", "\n", "ß", "ÿ",
 
 def test_words_give_the_tokenizers_ids(reference_ids, monkeypatch):
     rng = random.Random(3)
-    texts = [None, "", "straße İ ΑΣ Σ", *("".join(rng.choice(ODD) for _ in range(rng.randint(1, 30))) for _ in range(1500))]
+    texts = [None, "", "straße İ ΑΣ Σ", "K Å À× Þ, ẞ", *("".join(rng.choice(ODD) for _ in range(rng.randint(1, 30))) for _ in range(1500))]
+    texts += ["".join(rng.choice("aàzß'ñ,") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
     want = [reference_ids(t)[:-1].tobytes() for t in texts]
-    assert list(P.encoded(texts, tokenizer_file())) == want
+    assert P.word_tokenizer(tokenizer_file()).merge is not None
+    assert [bytes(x) for x in P.encoded(pa.array(texts), tokenizer_file())] == want
+    assert [bytes(x) for x in P.encoded(pa.array([None, None], pa.string()), tokenizer_file())] == [b"", b""]
     monkeypatch.setattr(P, "WORDS_KEPT", 50)
-    monkeypatch.setattr(P, "CHARACTERS_AT_ONCE", 400)
+    monkeypatch.setattr(P, "BYTES_AT_ONCE", 400)
     monkeypatch.setattr(P, "_LOADED", {})
-    assert list(P.encoded(texts, tokenizer_file())) == want
+    assert [bytes(x) for x in P.encoded(pa.array(texts), tokenizer_file())] == want
+    P.word_tokenizer(tokenizer_file()).merge = None  # as where the probes differ
+    assert [bytes(x) for x in P.encoded(pa.array(texts), tokenizer_file())] == want
+
+
+def test_all_words_of_the_documents(spark, folder, reference_ids):
+    texts = [r.text for r in spark.read.parquet(folder.replace("0.001", "0.01") + "/documents.parquet").collect()]
+    for text, found in zip(texts, P.encoded(pa.array(texts), tokenizer_file()), strict=True):
+        assert bytes(found) == reference_ids(text)[:-1].tobytes()
 
 
 def test_checksum_of_a_tail():

@@ -13,8 +13,8 @@ gathered in one task, and no token is shuffled: checksums of cut pieces follow f
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,20 +23,23 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.llm.common import slices, written
+from wattledger.llm.common import written
 
 WINDOW, UNIT, END_ID = 4096, 16, 2
 #: Lengths in a combination, at most.
 DEEPEST = 3
-#: Characters tokenized at once, and different words a worker remembers.
-CHARACTERS_AT_ONCE, WORDS_KEPT = 1 << 20, 1_000_000
+#: Bytes of text tokenized at once (a longer text alone); words other than plain letters that a worker remembers.
+BYTES_AT_ONCE, WORDS_KEPT = 1 << 23, 200_000
 ID_BYTES = 4
-_LETTERS_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_LETTERS_AND_MARKS = r"^[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[!-&(-/:-@\[-`{-~]*$"
 
 
 # ---- token ids ----
@@ -44,74 +47,110 @@ _LETTERS_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 class WordTokenizer:
     """Token ids of a tokenizer that drops white space and never joins words across it.
 
-    So the ids of a text are those of its words one after the other, and each different word is tokenized once. A word
-    of letters, and the marks after it, are two words to the tokenizer; for letters in composed lower case, its
-    normalization changes nothing and the merge model alone gives the ids (tried on a few words first; if they
-    differ, the whole tokenizer is asked always). Lower case of A-Z changes nothing, as the tokenizer lower-cases. Texts that
-    may hold a special token's string are encoded as they are.
+    So the ids of a text are those of its words one after the other, and each different word of many texts is tokenized
+    once. A word of letters and the marks after it are two words to the tokenizer. For letters in composed lower case its
+    normalization changes nothing, and merging alone gives the ids: they are spelt in one byte per symbol, with bytes of
+    their own for a word's last symbol, and merged by a rank table in one call. All other words are asked of the tokenizer
+    itself, which also decides on a few probes whether the rank table may be used. Lower case of A-Z changes nothing, as
+    the tokenizer lower-cases. Texts that may hold a special token's string are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.model = self.tokenizer.model
+        self.tokenizer, self.known, self.merge = Tokenizer.from_file(path), {}, None
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self._rank_table(model["vocab"], [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]], model.get("end_of_word_suffix") or "")
+        probes = ["a", "the", "wordlike", "straße", "déjà", "ñandú", "abcdefghijklmnop", "zzzzzz", "àààà"]
+        if self.merge is not None:
+            ids, sizes = self._merged(probes)
+            same = [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [e.tolist() for e in self._plain(probes)]
+            joined = np.concatenate(self._plain(["abc", "),!"])).tolist() == self._plain(["abc),!"])[0].tolist()
+            self.merge = self.merge if same and joined else None
+
+    def _rank_table(self, vocabulary: dict[str, int], merges: list[list[str]], suffix: str) -> None:
+        """Bytes for the symbols of lower-case letters, and the merges that stay within them, ranked by id."""
+        import tiktoken
+
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        probes = ["a", "the", "wordlike", "straße", "déjà", "ñandú", "abcdefghijklmnop"]
-        self.direct = [self._merged(w) for w in probes] == self._plain(probes) and self._plain(["abc"])[0] + self._plain(["),!"])[0] == self._plain(["abc),!"])[0]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _merged(self, word: str) -> bytes:
-        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-
-    def _learn(self, missing: set[bytes]) -> set[bytes]:
-        """Adds the words to `known`; returns all that was added."""
-        known, whole, split = self.known, [], []
-        for w in missing:
-            found = _LETTERS_AND_MARKS.fullmatch(w.decode("utf-8", "replace").lower()) if self.direct else None
-            if found is None:
-                whole.append(w)
-            else:
-                split.append((w, found[1], found[2].encode()))
-        marks = list({m for _, _, m in split} - known.keys() - set(whole))
-        added = [*whole, *marks]
-        known.update(zip(added, self._plain([w.decode("utf-8", "replace") for w in added]), strict=True))
-        for w, letters, mark in split:
-            key = letters.encode()
-            if (ids := known.get(key)) is None:
-                ids = known[key] = self._merged(letters)
-                added.append(key)
-            if w != key:
-                known[w] = ids + known[mark]
-                added.append(w)
-        return set(added)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        Words are remembered until there are WORDS_KEPT; later ones are forgotten again after the call, and all are
-        when most words of a call are unknown.
-        """
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        split = [None if b"<|" in r else r.lower().split() for r in raw]
-        words = set().union(*(w for w in split if w is not None))
-        missing = words - self.known.keys()
-        full = len(self.known) >= WORDS_KEPT
-        if full and 2 * len(missing) > len(words):
+        letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+        letters = [*range(97, 123), 0xC3, *range(0x9F, 0xC0)]
+        spare = iter([*range(33, 127), *range(1, 32)])
+        symbols = {letter[b]: next(spare) for b in letters}
+        symbols |= {letter[b] + suffix: next(spare) for b in letters if b != 0xC3}
+        spelt = {}
+        for token, i in vocabulary.items():
+            head, last = token.removesuffix(suffix), suffix if suffix and token.endswith(suffix) else ""
+            if head and all(c in symbols for c in head[:-1]) and head[-1] + last in symbols:
+                spelt[bytes([*(symbols[c] for c in head[:-1]), symbols[head[-1] + last]])] = i
+        order = [vocabulary["".join(m)] for m in merges]
+        if not suffix or order != sorted(order) or len(spelt) < len(symbols):
+            return
+        self.inner, self.final = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+        self.inner[32] = 32
+        for b in letters:
+            self.inner[b], self.final[b] = symbols[letter[b]], symbols.get(letter[b] + suffix, 0)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.merge = tiktoken.Encoding("letters", pat_str="[^ ]+", mergeable_ranks=spelt, special_tokens={})
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters, one after the other, and how many each has."""
+        raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+        last = np.r_[raw[1:] == 32, True]
+        code = np.where(last, self.final[raw], self.inner[raw]).tobytes().decode("ascii")
+        ids = np.array(self.merge.encode_ordinary(code), dtype=np.uint32)
+        stops = np.flatnonzero(self.ends[ids])
+        return ids, np.diff(np.r_[-1, stops])
+
+    def _asked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words; the tokenizer's answers are remembered up to a number."""
+        if len(self.known) > WORDS_KEPT:
             self.known.clear()
-            missing, full = words, False
-        added = self._learn(missing)
-        odd = iter(self._plain([t for t, w in zip(texts, split, strict=True) if w is None]))
-        out = [next(odd) if w is None else b"".join(map(self.known.__getitem__, w)) for w in split]
-        if full:
-            for w in added:
-                del self.known[w]
-        return out
+        missing = [w for w in words if w not in self.known]
+        self.known.update(zip(missing, self._plain(missing), strict=True))
+        found = [self.known[w] for w in words]
+        return np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words in ASCII lower case, one after the other, and how many each has."""
+        direct = np.asarray(pc.match_substring_regex(words, _LETTERS_AND_MARKS)) if self.merge is not None else np.zeros(len(words), dtype=bool)
+        fast = pc.utf8_lower(words.filter(pa.array(direct)))
+        letters, marks = (x.dictionary_encode() for x in (pc.utf8_rtrim(fast, _MARKS), pc.utf8_ltrim(fast, _LETTERS)))
+        parts = [self._merged(letters.dictionary.to_pylist()) if len(letters.dictionary) else (np.zeros(0, np.uint32), np.zeros(0, np.int64)),
+                 self._asked(marks.dictionary.to_pylist()), self._asked(words.filter(pa.array(~direct)).to_pylist())]
+        ids, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        # Each word has two of the parts: letters and marks, or itself and an empty one at the end.
+        n_letters, n_marks = len(letters.dictionary), len(marks.dictionary)
+        part = np.full((len(words), 2), len(sizes), dtype=np.int64)
+        part[direct, 0], part[direct, 1] = letters.indices.to_numpy(), n_letters + marks.indices.to_numpy()
+        part[~direct, 0] = n_letters + n_marks + np.arange(int((~direct).sum()))
+        sizes = np.r_[sizes, 0]
+        return gathered(ids, sizes, part.ravel()), sizes[part].sum(axis=1)
+
+    def encode(self, texts: pa.Array) -> list[memoryview]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        special = np.asarray(pc.match_substring(texts, "<|"))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(special), "", texts)))
+        words = split.flatten().dictionary_encode()
+        ids, sizes = self._words(words.dictionary)
+        index = words.indices.to_numpy()
+        all_ids = memoryview(gathered(ids, sizes, index).astype("<u4", copy=False).tobytes())
+        ends = np.r_[0, np.cumsum(sizes[index])][np.cumsum(np.asarray(split.value_lengths()))] * ID_BYTES
+        odd = iter(self._plain(texts.filter(pa.array(special)).to_pylist()))
+        return [memoryview(next(odd).astype("<u4").tobytes()) if s else all_ids[a:b] for s, a, b in zip(special, np.r_[0, ends[:-1]], ends, strict=True)]
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs (of given sizes, one after the other in `values`) named by `index`, joined."""
+    starts, n = (np.cumsum(sizes) - sizes)[index], sizes[index]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -124,17 +163,15 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def encoded(texts: list[str | None], tokenizer_path: str) -> Iterator[bytes]:
-    """The ids of each text in order, a bounded number of characters at once."""
-    tokenizer, group, size = word_tokenizer(tokenizer_path), [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text or "")
-        if size >= CHARACTERS_AT_ONCE:
-            yield from tokenizer.encode(group)
-            group, size = [], 0
-    if group:
-        yield from tokenizer.encode(group)
+def encoded(texts: pa.Array, tokenizer_path: str) -> Iterator[memoryview]:
+    """The ids of each text in order, a bounded number of bytes at once (or one text)."""
+    tokenizer, sizes, start, size = word_tokenizer(tokenizer_path), pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and size + n > BYTES_AT_ONCE:
+            yield from tokenizer.encode(texts.slice(start, k - start))
+            start, size = k, 0
+        size += n
+    yield from tokenizer.encode(texts.slice(start))
 
 
 def measured(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, unit: int = UNIT, end_id: int = END_ID) -> DataFrame:
@@ -150,10 +187,10 @@ def measured(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, un
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, fulls, ranks = TaskContext.get().partitionId(), 0, 0, {}
-        for batch in slices(batches):
+        for batch in batches:
             rows = []
-            for ids in encoded(batch.column("text").to_pylist(), tokenizer_path):
-                ids = memoryview(ids + ending)
+            for found in encoded(batch.column("text"), tokenizer_path):
+                ids = memoryview(bytes(found) + ending)
                 step, jump = window * ID_BYTES, unit * ID_BYTES
                 n_full = len(ids) // step
                 whole = [zlib.crc32(ids[k * step : (k + 1) * step]) for k in range(n_full)]
@@ -164,6 +201,8 @@ def measured(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, un
                 units = -(-len(rest) // jump)
                 rows.append((part, at, len(ids) // ID_BYTES, fulls, whole, len(rest) // ID_BYTES, units, ranks.get(units, 0), crc, marks))
                 at, fulls, ranks[units] = at + 1, fulls + n_full, ranks.get(units, 0) + 1
+            if not rows:
+                continue
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
