@@ -1,8 +1,8 @@
 """Every stage against a plain version of its decision, and the whole run."""
 
 import numpy as np
+from test_near_copies import plain_kept
 from test_packing_and_search import check_pieces
-from test_simhash import plain_components, plain_fingerprint
 
 import corpus_pipeline as C
 from wattledger.llm import quality as Q
@@ -35,9 +35,7 @@ def test_stages(spark, folder):
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r, p in zip(before, chance, strict=True) if p >= 0.3)
 
     single = written(stages["near_duplicates"](spark, good, folder))
-    rows = sorted(good.collect(), key=lambda r: r.doc_id)
-    label = plain_components(np.array([plain_fingerprint(r.text) for r in rows], dtype=np.uint64))
-    assert sorted(r.doc_id for r in single.collect()) == [rows[k].doc_id for k in sorted(set(label.tolist()))]
+    assert sorted(r.doc_id for r in single.collect()) == plain_kept([(r.doc_id, r.text) for r in good.collect()])
 
     items = [(len(w), w) for r in table(spark, folder, "benchmark").collect() for w in windows(r.text)]
     clean = written(stages["decontamination"](spark, single, folder))

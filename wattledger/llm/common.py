@@ -17,9 +17,11 @@ SLICE_ROWS = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; an own one only where none is set."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; only a local[..] session, one process, may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
         folder = tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -51,6 +53,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that a join may broadcast, at most.
+BROADCAST_IDS = 2_000_000
+
+
+def matched(df: DataFrame, ids: DataFrame, name: str, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of `df` whose id is (or, with left_anti, is not) in the written one-column table `ids`.
+
+    A list of bounded size is broadcast, so that `df` does not move; a longer one takes a join that Spark plans.
+    """
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, name, how).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """Every `folds`-th document by the checksum of its id; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0

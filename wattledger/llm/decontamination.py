@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattledger.llm.common import lower_ascii, unused, written
+from wattledger.llm.common import BROADCAST_IDS, lower_ascii, unused, written
 
 WINDOW_WORDS = 10
 #: Windows that are broadcast at once (some 300 bytes each).
@@ -124,8 +124,13 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFram
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `documents` that hold no window of any item, with their columns unchanged."""
+    """The rows of `documents` that hold no window of any item, with their columns unchanged.
+
+    Null and empty texts hold none and stay; with an empty benchmark all rows stay. Repeated rows stay or go together, rows
+    with one doc_id and different texts each by its text. The ids and text hashes to drop are broadcast where they are few enough.
+    """
     body = unused("body_of_text", documents.columns)
-    hit = contamination(documents, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("body").alias("hit_body"))
+    hit = written(contamination(documents, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("body").alias("hit_body")))
     marked = documents.withColumn(body, F.xxhash64("text"))
-    return marked.join(hit, marked["doc_id"].eqNullSafe(hit["hit_id"]) & (marked[body] == hit["hit_body"]), "left_anti").drop(body)
+    same = marked["doc_id"].eqNullSafe(hit["hit_id"]) & (marked[body] == hit["hit_body"])
+    return marked.join(F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit, same, "left_anti").drop(body)
