@@ -82,6 +82,8 @@ def test_schema_helpers(spark):
     assert (out.nome, out.kwh_total_te, out.needs_review) == ("", 0.0, False)
     assert reorder(df, ["z", "nope"]).columns == ["z", "uc", "nome"]
     assert not fits_template(df)
+    whole = spark.createDataFrame([("1", "B3", "01/2025", 2.0)], "UC string, Categoria string, referencia string, kwh_total_te double")
+    assert fits_template(whole) and not fits_template(whole.limit(0)) and not fits_template(whole.drop("referencia"))
     assert df.select(first_number(df, ["missing", "z"]).alias("v")).first().v == 2.0
     with pytest.raises(ContractSchemaError) as error:
         check_contract(df)

@@ -1,6 +1,9 @@
 """Operators on small literal tables."""
 
+import json
+
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wattledger.operators import adapters as AD
@@ -152,12 +155,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert RD.contract(spark, f"{base}/bom.csv").columns == ["uc", "referencia"]
     with pytest.raises(ValueError):
         RD.contract(spark, f"{base}/x.xlsx")
-    paths = WR.blocks({"a": df, "none": df.limit(0)}, f"{base}/blocks")
-    assert spark.read.parquet(paths["none"]).first().info == WR.EMPTY_BLOCK
+    for _ in range(2):
+        assert WR.blocks({"a": df, "none": df.limit(0), "two": df.union(df)}, f"{base}/blocks") == {"a": 1, "none": 0, "two": 2}
+    assert spark.read.json(f"{base}/blocks/block=none").collect() == [Row(info=WR.EMPTY_BLOCK)]
+    assert spark.read.json(f"{base}/blocks/block=two").select("uc", "referencia", "kwh_total_te").collect() == [("0012", "01/2025", 1.5)] * 2
+    assert spark.read.parquet(WR.block(df.limit(0), f"{base}/one")).first().info == WR.EMPTY_BLOCK
     run = "2025-01-02_03-04-05_sao_jose_celesc"
     WR.contract_with_profile(df, f"{base}/runs/{run}", run, "celesc")
     history = RD.run_history(*RD.run_folders(spark, f"{base}/runs")).first()
     assert (history.municipio, history.adapter, history.status, history.row_count) == ("sao_jose", "celesc", "ok", 1)
+    assert history.contract_path.endswith(f"{run}/contract_master") and history.meta_path.endswith(f"{run}/contract_master_meta")
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "doc.pdf.2.txt").write_text("UC: 1", encoding="utf-8")
     assert rows(RD.page_texts(spark, f"{base}/pages")) == [("doc.pdf", 2, "UC: 1")]
@@ -167,4 +174,33 @@ def test_sources_and_sinks(spark, tmp_path):
     log = spark.createDataFrame([("t", "p", "v", "s", "x", "j")], "timestamp string, project string, version string, scenario_name string, excel_file string, snapshot_file string")
     for _ in range(2):
         WR.append_audit_log(log, f"{base}/log", "me")
-    assert spark.read.option("header", True).csv(f"{base}/log").count() == 2
+    assert [tuple(r) for r in WR.audit_log(spark, f"{base}/log").collect()] == [("t", "me", "p", "v", "s", "x", "j")]
+    assert WR.audit_log(spark, f"{base}/no log").count() == 0
+
+
+def test_snapshot_documents_are_json(spark, tmp_path):
+    sized = spark.createDataFrame([("A \"1\"", 2.0, None), ("B", 3.0, 4), ("none", 1.0, 1)], "name string, dc_kwp double, strings int")
+    lines = spark.range(300).select(
+        F.when(F.col("id") % 3 == 0, 'A "1"').otherwise("B").alias("scenario"), (F.col("id") % 5).cast("int").alias("sheet_pos"), (F.col("id") % 7).alias("row_pos"),
+        F.concat(F.lit("S"), (F.col("id") % 5).cast("string")).alias("sheet"), F.format_string("I,%d", "id").alias("item_code"), F.lit("d {}").alias("description"),
+        F.lit(True).alias("enabled"), F.lit(None).cast("string").alias("scaling_rule"), F.col("id").cast("double").alias("quantity"), F.lit(1.0).alias("unit_price_sem"),
+        F.lit(2.0).alias("unit_price_com"), F.col("id").cast("double").alias("subtotal_sem"), F.col("id") * 2.0)
+    lines = lines.withColumnRenamed(lines.columns[-1], "subtotal_com")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        WR.snapshots(WR.snapshot_lines(sized, lines, {"project": "P"}), f"{tmp_path}/s")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = RD.snapshot_documents(spark, f"{tmp_path}/s")
+    texts = {}
+    for r in sorted(read.collect(), key=lambda r: (r.scenario, r.line_no)):
+        texts[r.scenario] = texts.get(r.scenario, "") + r.line
+    documents = {k: json.loads(t) for k, t in texts.items()}
+    assert set(documents) == {'A "1"', "B", "none"} and documents["none"]["line_items"] == [] == documents["none"]["sheet_totals"]
+    a = documents['A "1"']
+    assert a["setup"] == {"project": "P"} and a["scenario_name"] == 'A "1"' and a["sizing_results"] == {"dc_kwp": 2.0, "strings": None}
+    want = sorted((k % 5, k % 7, k) for k in range(0, 300, 3))
+    assert sorted((int(x["sheet"][1:]), int(x["item_code"][2:]) % 7, int(x["item_code"][2:])) for x in a["line_items"]) == want
+    assert [(int(x["sheet"][1:]), int(x["item_code"][2:]) % 7) for x in a["line_items"]] == [w[:2] for w in want]
+    assert [x["sheet"] for x in a["sheet_totals"]] == ["S0", "S1", "S2", "S3", "S4"] and a["totals"]["grand_total_sem_bdi"] == sum(range(0, 300, 3))
+    assert RD.snapshot_items(read).count() == 300

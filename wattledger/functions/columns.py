@@ -98,12 +98,13 @@ def reorder(df: DataFrame, preferred: list[str] | None = None) -> DataFrame:
 
 
 def fits_template(df: DataFrame) -> bool:
-    """Whether the columns allow a template export. Emptiness is left to the caller's action."""
+    """Whether the columns allow a template export and there is a row; only a frame with the columns is asked for one."""
     names = {header_name(c) for c in df.columns}
     return (
         {"categoria", "uc"} <= names
         and bool(names & {"referencia", "reference_date"})
         and bool(names & {"kwh_total_te", "itens_fatura_energia_kwh"})
+        and not df.isEmpty()
     )
 
 

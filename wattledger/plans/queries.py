@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from wattledger.functions import dates as D
 from wattledger.functions import domain as K
 from wattledger.functions import numbers as N
 from wattledger.functions import text as X
+from wattledger.functions.numbers import exact_sum
 from wattledger.functions.fixed_values import EXPORT_DEFAULT_NAME, RULE_FAMILY_CLASSES
 from wattledger.operators import adapters as AD
 from wattledger.operators import analytics as AN
@@ -28,10 +30,10 @@ from wattledger.operators import rules as RU
 from wattledger.operators import scenario as SC
 from wattledger.operators import sizing as SZ
 from wattledger.plans import binding as B
-from wattledger.plans.check_sql import COSTS, ITEMS, LINES, MASTER, MONTHS, mean, ptbr, slots, total, with_base
+from wattledger.plans.check_sql import COSTS, ITEMS, LINES, MASTER, MONTHS, mean, ptbr, slots, total, total_or_null, with_base
 from wattledger.sources import readers as RD
 from wattledger.sources import writers as WR
-from wattledger.sources.staging import materialize
+from wattledger.sources.staging import checkpoint_folder, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,20 +703,37 @@ def savings_tips(spark, folder):
     return AN.savings_opportunities(*_selection(spark, folder))
 
 
-@query("analytics_blocks", with_base(COSTS, """
-SELECT 'displayed_data' AS block, count(*) AS rows FROM enriched UNION ALL SELECT 'monthly_kwh', count(*) FROM (SELECT DISTINCT municipio, reference_date FROM enriched)
-UNION ALL SELECT 'monthly_cost', count(DISTINCT reference_date) FROM enriched UNION ALL SELECT 'category_kwh', count(DISTINCT categoria) FROM enriched
-UNION ALL SELECT 'top_uc_kwh', 15 UNION ALL SELECT 'inefficiencies', 25 UNION ALL SELECT 'itens_fatura', 0 UNION ALL SELECT 'benchmark', count(DISTINCT municipio) FROM enriched
-UNION ALL SELECT 'summary', 10"""))
+# What is summed of each block of the export; the tips are texts and only counted.
+_BLOCK_SUMS = {
+    "displayed_data": "total_cost_rs", "monthly_kwh": "kwh_total_te", "monthly_cost": "total_cost_rs", "category_kwh": "kwh_total_te",
+    "top_uc_kwh": "kwh_total_te", "inefficiencies": "estimated_extra_demand_cost_rs", "itens_fatura": "valor_rs",
+    "benchmark": "total_cost_rs", "summary": "value"}
+_ALL_TIPS = _FILTERED.replace(f" WHERE reference_date BETWEEN date '{_RANGE[0]}' AND date '{_RANGE[1]}'", "").replace(
+    f" WHERE municipio IN ({', '.join(repr(s) for s in _SELECTED)})", "")
+
+
+@query("analytics_blocks", with_base(COSTS + ITEMS[len(MONTHS):], f""", {_ALL_TIPS}, {_KPI},
+sums AS (SELECT 'displayed_data' AS block, count(*) AS rows, {total_or_null('total_cost_rs')} AS amount FROM enriched
+UNION ALL SELECT 'monthly_kwh', count(DISTINCT (municipio, reference_date)), {total_or_null('kwh_total_te')} FROM enriched
+UNION ALL SELECT 'monthly_cost', count(DISTINCT reference_date), {total_or_null('total_cost_rs')} FROM enriched
+UNION ALL SELECT 'category_kwh', count(DISTINCT categoria), {total_or_null('kwh_total_te')} FROM enriched
+UNION ALL SELECT 'top_uc_kwh', count(*), {total_or_null('kwh')} FROM (SELECT municipio, uc, {total('kwh_total_te')} AS kwh FROM enriched GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 15)
+UNION ALL SELECT 'inefficiencies', count(*), {total_or_null('estimated_extra_demand_cost_rs')} FROM ({_INEFFICIENCY} LIMIT 25)
+UNION ALL SELECT 'itens_fatura', count(*), {total_or_null('valor')} FROM item_rows
+UNION ALL SELECT 'benchmark', count(*), {total_or_null('total_cost_rs')} FROM ({_PROFILE})
+UNION ALL SELECT 'summary', 10, {total_or_null('v')} FROM (SELECT unnest([month_cost, ytd, item_value / item_kwh, item_value, item_kwh, actual_cost, actual_cost / total_cost * 100.0, hp / (hp + fhp) * 100.0, extra]) AS v FROM kpi, kpi_month)
+UNION ALL SELECT 'savings_tips', (hp / (hp + fhp) * 100.0 > 25)::int + (extra > 0)::int + ((kwh / avg_kwh - 1.0) * 100.0 > 10)::int + (cost > 0.85 * 1.15)::int, NULL FROM own, avgs)
+SELECT block, rows::bigint AS rows, round(amount, 2) AS amount FROM sums"""))
 def analytics_blocks(spark, folder):
-    raw = materialize(B.master(spark, folder)).withColumn("itens_fatura_json", F.lit(""))
-    frames = AN.analytics_blocks(raw)
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("block"), "rows")
-             for n, df in frames.items() if n != "savings_tips"]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The export as its readers see it: written, read again, each block counted and one of its columns added up."""
+    items = B.month_items(spark, folder).select("custkey", "reference_date", "itens_fatura_json")
+    raw = materialize(B.master(spark, folder).join(items, ["custkey", "reference_date"], "left"))
+    path = f"{checkpoint_folder(spark)}/export-{uuid.uuid4().hex}"
+    WR.blocks(AN.analytics_blocks(raw), path)
+    fields = F.create_map(*[F.lit(x) for pair in _BLOCK_SUMS.items() for x in pair])
+    amount = F.from_json("value", "map<string,string>")[fields[c("block")]].cast("double")
+    return spark.read.schema("value string, block string").text(path).groupBy("block").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(exact_sum(amount), 2).alias("amount"))
 
 
 # =================================================================== items and rules
@@ -1162,6 +1181,36 @@ def scenario_comparison(spark, folder):
                       F.round("modulos_inversores_com_bdi", 3).alias("modulos_inversores_com_bdi"), _cents("total_com_bdi_mapeado", "com_cents"))
 
 
+@query("scenario_snapshot", f"""WITH {_LINE_SQL.strip()},
+sheets AS (SELECT name, count(DISTINCT sheet) AS n FROM li GROUP BY 1)
+SELECT name AS scenario, n + 1 + row_number() OVER (PARTITION BY name ORDER BY sheet_pos, pk) AS line_no, sheet, item_code, enabled, srule AS scaling_rule,
+  round(coalesce(qty, 0), 4) AS quantity, round(sem, 4) AS unit_price_sem FROM li JOIN sheets USING (name)""")
+def scenario_snapshot(spark, folder):
+    """Every line item of every scenario's written document, with its line in the document."""
+    path = f"{checkpoint_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    WR.snapshots(WR.snapshot_lines(*_scenario_frames(spark, folder), {"project": "plant", "version": "V1"}), path)
+    items = RD.snapshot_items(RD.snapshot_documents(spark, path))
+    return items.select("scenario", "line_no", "sheet", "item_code", "enabled", "scaling_rule", F.round("quantity", 4).alias("quantity"),
+                        F.round("unit_price_sem", 4).alias("unit_price_sem"))
+
+
+@query("audit_log", """
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS timestamp, 'batch' AS user, 'project ' || o_custkey AS project, 'V1, "' || o_orderstatus || '"' AS version, o_orderpriority AS scenario_name,
+       'out/' || o_orderkey || '.xlsx' AS excel_file, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'out/' || o_orderkey || '.json' END AS snapshot_file FROM orders""")
+def audit_log(spark, folder):
+    """The log after three runs: a first part, all of it, and all of it again."""
+    k = c("o_orderkey")
+    rows = B.table(spark, folder, "orders").select(
+        k, F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.concat(F.lit("project "), c("o_custkey").cast("string")).alias("project"),
+        F.concat(F.lit('V1, "'), "o_orderstatus", F.lit('"')).alias("version"), c("o_orderpriority").alias("scenario_name"),
+        F.concat(F.lit("out/"), k.cast("string"), F.lit(".xlsx")).alias("excel_file"),
+        F.when(k % 5 != 0, F.concat(F.lit("out/"), k.cast("string"), F.lit(".json"))).alias("snapshot_file"))
+    path = f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}"
+    for part in (rows.filter(k % 3 == 0), rows, rows.union(rows.filter(k % 2 == 0))):
+        WR.append_audit_log(part, path, "batch")
+    return WR.audit_log(spark, path)
+
+
 @query("scenario_defaults", """
 SELECT name, 'ECONOMY' AS pricing_version, (SELECT arg_min(p_name, p_partkey) FROM part) AS module_model, (SELECT arg_min(s_name, s_suppkey) FROM supplier) AS inverter_model, CASE WHEN name = 'Scenario B' THEN 1.3 ELSE 1.2 END::double AS dc_ac_ratio, 28::bigint AS modules_per_string
 FROM (VALUES ('Scenario A'), ('Scenario B'), ('Scenario C')) v(name)""")
@@ -1321,17 +1370,20 @@ def output_names(spark, folder):
 
 @query("run_history", """
 SELECT 'r_' || o_orderkey || '_x_y_celesc' AS run_id, 'x_y' AS municipio, CASE WHEN o_orderkey % 3 = 0 THEN 'enel' ELSE 'celesc' END AS adapter,
-       CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'schema_warning' ELSE 'ok' END WHEN o_orderkey % 5 = 0 THEN 'meta_missing' ELSE 'missing_contract' END AS status
+       CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'schema_warning' ELSE 'ok' END WHEN o_orderkey % 5 = 0 THEN 'meta_missing' ELSE 'missing_contract' END AS status,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'r/' || o_orderkey || '/contract_master.csv' ELSE '' END AS contract_path,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'r/' || o_orderkey || '/contract_master_meta' ELSE '' END AS meta_path, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS row_count
 FROM orders""")
 def run_history(spark, folder):
     k = c("o_orderkey")
     run = F.concat(F.lit("r_"), k.cast("string"), F.lit("_x_y_celesc"))
+    inside = lambda name: F.concat(F.lit("r/"), k.cast("string"), F.lit(f"/{name}"))
     orders = B.table(spark, folder, "orders")
-    runs = orders.select(run.alias("run_id"), c("o_orderdate").alias("modified"), (k % 5 == 0).alias("has_contract"))
+    runs = orders.select(run.alias("run_id"), c("o_orderdate").alias("modified"), F.when(k % 5 == 0, inside("contract_master.csv")).alias("contract_path"))
     meta = orders.filter(k % 3 == 0).select(
-        run.alias("run_id"), F.lit(None).cast("string").alias("generated_at"), F.lit("enel").alias("adapter"), F.lit(1).cast("bigint").alias("row_count"),
-        F.when(k % 2 == 0, F.array(F.lit("uc"))).otherwise(F.array().cast("array<string>")).alias("missing_columns"))
-    return RD.run_history(runs, meta).select("run_id", "municipio", "adapter", "status")
+        run.alias("run_id"), inside("contract_master_meta").alias("meta_path"), F.lit(None).cast("string").alias("generated_at"), F.lit("enel").alias("adapter"),
+        c("o_custkey").cast("bigint").alias("row_count"), F.when(k % 2 == 0, F.array(F.lit("uc"))).otherwise(F.array().cast("array<string>")).alias("missing_columns"))
+    return RD.run_history(runs, meta).select("run_id", "municipio", "adapter", "status", "contract_path", "meta_path", "row_count")
 
 
 @query("output_discovery", """

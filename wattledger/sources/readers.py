@@ -10,6 +10,7 @@ from wattledger.functions import fixed_values as V
 from wattledger.functions.columns import missing_columns
 from wattledger.functions.text import strip
 from wattledger.operators import catalog
+from wattledger.operators.rows import numbered
 
 PAGE_SCHEMA = "pdf_source string, page_no int, text string"
 _CONTRACT_FORMATS = (".csv", ".tsv", ".parquet")
@@ -89,6 +90,20 @@ def line_item_map(spark: SparkSession, path: str) -> DataFrame:
     return map_items(spark.read.option("multiLine", True).json(path))
 
 
+def snapshot_documents(spark: SparkSession, path: str) -> DataFrame:
+    """scenario, line_no (from 0), line of the written scenario documents, in their order."""
+    lines = numbered(spark.read.schema("line string, scenario string").text(path), "at")
+    first = lines.groupBy("scenario").agg(F.min("at").alias("first"))
+    return lines.join(first, "scenario").select("scenario", (F.col("at") - F.col("first")).alias("line_no"), "line")
+
+
+def snapshot_items(documents: DataFrame) -> DataFrame:
+    """The line items in the lines of `snapshot_documents`, one row each."""
+    item = F.from_json(F.ltrim("line", F.lit(",")), "sheet string, item_code string, description string, enabled boolean, scaling_rule string, "
+                       "quantity double, unit_price_sem double, unit_price_com double, subtotal_sem double, subtotal_com double")
+    return documents.filter(F.col("line").rlike('^,?\\{"sheet":.*"item_code":')).select("scenario", "line_no", item.alias("i")).select("scenario", "line_no", "i.*")
+
+
 def municipalities(spark: SparkSession, path: str) -> DataFrame:
     """A nested municipality list (JSON), or the flat catalog (CSV)."""
     if path.rstrip("/").endswith(".csv"):
@@ -160,11 +175,12 @@ def parse_run_ids(runs: DataFrame) -> DataFrame:
 def run_history(runs: DataFrame, metadata: DataFrame, limit: int | None = None) -> DataFrame:
     """Status of each run folder.
 
-    `runs(run_id, modified, has_contract)`, `metadata(run_id, generated_at,
-    adapter, row_count, missing_columns array)`. What the metadata says wins over
-    what the run id spells. `limit` keeps the newest folders.
+    `runs(run_id, modified, contract_path)`, `metadata(run_id, meta_path,
+    generated_at, adapter, row_count, missing_columns array)`; a run without a
+    contract has a null path. What the metadata says wins over what the run id
+    spells. `limit` keeps the newest folders.
     """
-    meta = metadata.select("run_id", F.lit(True).alias("has_meta"), "generated_at", F.col("adapter").alias("meta_adapter"),
+    meta = metadata.select("run_id", F.lit(True).alias("has_meta"), "meta_path", "generated_at", F.col("adapter").alias("meta_adapter"),
                            "row_count", "missing_columns")
     newest = parse_run_ids(runs)
     if limit is not None:
@@ -173,11 +189,12 @@ def run_history(runs: DataFrame, metadata: DataFrame, limit: int | None = None)
     has_meta = F.coalesce("has_meta", F.lit(False))
     status = (
         F.when(has_meta, F.when(F.coalesce(F.size("missing_columns"), F.lit(0)) > 0, "schema_warning").otherwise("ok"))
-        .when(F.col("has_contract"), "meta_missing").otherwise("missing_contract"))
+        .when(F.col("contract_path").isNotNull(), "meta_missing").otherwise("missing_contract"))
     return rows.select(
         "run_id", F.coalesce("generated_at", F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss")).alias("timestamp"),
         F.col("id_municipio").alias("municipio"),
         F.coalesce(F.nullif("meta_adapter", F.lit("")), "id_adapter").alias("adapter"), status.alias("status"), "row_count",
+        F.coalesce("contract_path", F.lit("")).alias("contract_path"), F.coalesce("meta_path", F.lit("")).alias("meta_path"),
     ).orderBy(F.desc("timestamp"), "run_id")
 
 
@@ -192,8 +209,10 @@ def run_folders(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     files = files.filter(~F.col("run_id").isin("contract", "logs"))
     runs = files.groupBy("run_id").agg(
         F.max("modified").alias("modified"),
-        F.bool_or(F.col("path").rlike(r"/contract_master(\.csv$|/)")).alias("has_contract"))
+        F.min(F.when(F.col("path").rlike(r"/contract_master(\.csv$|/)"), F.regexp_extract("path", r"^(.*/contract_master(?:\.csv)?)(?:/|$)", 1))).alias("contract_path"))
     schema = "generated_at string, adapter string, row_count bigint, missing_columns array<string>"
     meta = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option(
         "pathGlobFilter", "*.json").json(root)
-    return runs, meta.withColumn("run_id", run_of(F.col("_metadata.file_path"))).filter("run_id <> ''")
+    where = F.regexp_extract("_metadata.file_path", r"^(.*/contract_master[^/]*)", 1)
+    meta = meta.withColumns({"meta_path": where, "run_id": run_of(F.col("_metadata.file_path"))}).filter("run_id <> ''")
+    return runs, meta
