@@ -199,14 +199,59 @@ def block_text() -> Column:
         "Itens da Fatura", F.when(c("categoria") == "A4", history).otherwise(low))
 
 
-def labelled_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of UC-labelled blocks, one block per month of the customer."""
-    rows = master(spark, folder).withColumn("block", block_text())
+def energy_rows() -> dict[str, tuple[Column, float]]:
+    """Printed energy rows: their text before the amounts, with the kWh and the price; the first four are by period."""
+    hp, fhp, total = F.col("consumo_hp_kwh"), F.col("consumo_fhp_kwh"), F.col("kwh_total_te")
+    return {
+        "ENERGIA ATV FORN F PONTA TE KWH": (fhp, 0.5), "Energia Ativa Fornecida Fora Ponta TUSD kWh": (fhp, 0.25),
+        "Energia Ativa Fornecida Ponta TE K W H": (hp, 0.5), "ENERGIA ATV FORN PONTA TUSD KWH": (hp, 0.25),
+        "Energia Ativa Fornecida TE kWh": (total, 0.5), "ENERGIA ATV FORN TUSD KWH": (total, 0.25)}
+
+
+def detailed_block() -> Column:
+    """A block with item rows by period, medium-voltage items and, in five ways, its contracted demand; the month stands last."""
+    c, cat = F.col, F.col("categoria")
+    a4 = cat == "A4"
+
+    def row(name: str, quantity: Column, price: float) -> Column:
+        return F.concat(F.lit(f"{name} "), format_ptbr(quantity), F.lit(f" {price:.6f} ".replace(".", ",")), format_ptbr(F.round(quantity * price, 2)))
+
+    energy = [row(name, *amounts) for name, amounts in energy_rows().items()]
+    demand = _join_lines(
+        row("Demanda", F.coalesce("demanda_hp_kw", F.lit(0.0)), 1.0), row("Demanda Fora Ponta", F.coalesce("demanda_fhp_kw", F.lit(0.0)), 2.0),
+        row("Demanda de Ultrapassagem", F.greatest("dif_demanda", F.lit(0.0)), 3.0), row("Consumo Ponta TE", c("consumo_hp_kwh"), 0.5),
+        row("Consumo Fora Ponta TE", c("consumo_fhp_kwh"), 0.25))
+    way, kw = c("custkey") % 5, format_ptbr((c("custkey") % 90 + 10).cast("double"))
+    above = F.when(a4 & (way == 0), F.concat(F.lit("Grandezas Contratadas\nDemanda Fora Ponta - kW "), kw))
+    below = F.when(a4, F.when(way == 1, F.concat(F.lit("Demanda Fora Ponta - kW "), kw)).when(way == 2, F.concat(F.lit("Demanda Ativa kW "), kw)).when(
+        way == 3, F.concat(F.lit("Demanda Faturada - kW "), kw)))
+    klass = F.when(a4, "A4 HOROSAZONAL").when(cat == "IP", "ILUMINACAO PUBLICA").when(cat == "B3", "PODER PUBLICO").otherwise("RURAL")
+    group = F.when(a4, "A-A4").when(cat == "IP", "B-B4A").when(cat == "B3", "B-B3").otherwise("B-B2")
+    items = F.when(a4, _join_lines(demand, *energy[:4])).when(cat.isin("B3", "IP"), _join_lines(*energy[4:])).otherwise(_join_lines(*energy))
+    label = F.when(c("custkey") % 4 == 0, "UC: ").when(c("custkey") % 4 == 1, "Instalação: ").when(
+        c("custkey") % 4 == 2, "Unidade Consumidora: ").otherwise("Número do Cliente: ")
+    return _join_lines(
+        F.concat(label, c("uc")), F.concat(F.lit("Grupo / Subgrupo Tensao:"), group),
+        F.concat(F.lit("Classificacao / Modalidade Tarifaria / Tipo de Fornecimento: "), klass, F.lit(" Municipio:")), above,
+        "Itens da Fatura", items, "Valores Medidos", below, F.concat(F.lit("Referencia: "), c("referencia")))
+
+
+def detailed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A page of detailed blocks per customer, one block per month; all four labels of a consumer unit occur."""
+    return _paged(master(spark, folder).withColumn("block", detailed_block()))
+
+
+def _paged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("custkey").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reference_date", "block"))), lambda x: x["block"]), "\n").alias("body")
     ).select(*_page_key(), F.concat_ws("\n", _header(), F.col("body")).alias("text"))
 
 
+def labelled_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of UC-labelled blocks, one block per month of the customer."""
+    return _paged(master(spark, folder).withColumn("block", block_text()))
+
+
 def _history(rows: DataFrame, line: Column) -> DataFrame:
     """Per customer: its latest month's row and the printed lines of all its months, latest first."""
     latest = F.max_by(F.struct(*[c for c in rows.columns]), F.col("reference_date"))

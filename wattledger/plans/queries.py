@@ -1457,6 +1457,43 @@ def extract_records(spark, folder):
         "audit_kwh_source", "provider_layout")
 
 
+_DETAILED = """printed AS (SELECT *, CASE WHEN categoria = 'A4' THEN coalesce(demanda_hp_kw, 0) END AS d_hp, CASE WHEN categoria = 'A4' THEN coalesce(demanda_fhp_kw, 0) END AS d_fhp,
+  greatest(dif_demanda, 0) AS d_over, (custkey % 90 + 10)::double AS kw FROM master),
+printed_rows AS (SELECT p.*, v.* FROM printed p, LATERAL (VALUES
+  (categoria = 'A4', 'DEMANDA', NULL, NULL, d_hp, 1.0), (categoria = 'A4', 'DEMANDA FORA PONTA', NULL, NULL, d_fhp, 2.0), (categoria = 'A4', 'DEMANDA DE ULTRAPASSAGEM', NULL, NULL, d_over, 3.0),
+  (categoria = 'A4', 'CONSUMO PONTA TE', NULL, NULL, consumo_hp_kwh, 0.5), (categoria = 'A4', 'CONSUMO FORA PONTA TE', NULL, NULL, consumo_fhp_kwh, 0.25),
+  (categoria IN ('A4', 'OUTROS'), 'ENERGIA ATIVA FORNECIDA FHP TE', 'FHP', 'TE', consumo_fhp_kwh, 0.5), (categoria IN ('A4', 'OUTROS'), 'ENERGIA ATIVA FORNECIDA FHP TUSD', 'FHP', 'TUSD', consumo_fhp_kwh, 0.25),
+  (categoria IN ('A4', 'OUTROS'), 'ENERGIA ATIVA FORNECIDA HP TE', 'HP', 'TE', consumo_hp_kwh, 0.5), (categoria IN ('A4', 'OUTROS'), 'ENERGIA ATIVA FORNECIDA HP TUSD', 'HP', 'TUSD', consumo_hp_kwh, 0.25),
+  (categoria <> 'A4', 'ENERGIA ATIVA FORNECIDA TE', 'UNICO', 'TE', kwh_total_te, 0.5), (categoria <> 'A4', 'ENERGIA ATIVA FORNECIDA TUSD', 'UNICO', 'TUSD', kwh_total_te, 0.25)
+  ) AS v(shown, item, posto, componente, quantidade, preco) WHERE v.shown)"""
+
+
+def _detailed(spark, folder):
+    return EX.extract_pages(printed(B.detailed_pages(spark, folder)))
+
+
+@query("extract_period_rows", with_base(MASTER, f""", {_DETAILED}
+SELECT uc, referencia, item, posto, componente, quantidade::double AS quantidade, preco::double AS preco, round(quantidade * preco, 2)::double AS valor FROM printed_rows"""))
+def extract_period_rows(spark, folder):
+    """Every item that the detailed pages print, as the parser returns it."""
+    items = _detailed(spark, folder).select("uc", "referencia", F.inline(IT.parse_items(c("itens_fatura_json"))))
+    return items.select("uc", "referencia", "item", "posto", "componente", "quantidade", c("preco_unitario_com_tributos").alias("preco"), "valor")
+
+
+@query("extract_a4_items", with_base(MASTER, f""", {_DETAILED}
+SELECT uc, referencia, categoria, d_hp AS demanda_hp_kw, d_fhp AS demanda_fhp_kw, CASE WHEN categoria = 'A4' THEN d_over END AS dif_demanda, CASE WHEN categoria = 'A4' THEN consumo_hp_kwh END AS consumo_hp_kwh,
+  CASE WHEN categoria = 'A4' THEN consumo_fhp_kwh END AS consumo_fhp_kwh, CASE categoria WHEN 'A4' THEN consumo_hp_kwh + consumo_fhp_kwh WHEN 'OUTROS' THEN NULL ELSE nullif(kwh_total_te, 0) END AS kwh_total_te FROM printed"""))
+def extract_a4_items(spark, folder):
+    return _detailed(spark, folder).select(
+        "uc", "referencia", "categoria", "demanda_hp_kw", "demanda_fhp_kw", "dif_demanda", "consumo_hp_kwh", "consumo_fhp_kwh", "kwh_total_te")
+
+
+@query("extract_contracted_demand", with_base(MASTER, f""", {_DETAILED}
+SELECT {_PAGE.replace(' AS page_no', ' AS page_first_seen')}, uc, referencia, CASE WHEN categoria = 'A4' THEN CASE WHEN custkey % 5 < 4 THEN kw ELSE d_hp END END AS demanda_contratada_kw FROM printed"""))
+def extract_contracted_demand(spark, folder):
+    return _detailed(spark, folder).select("pdf_source", "page_first_seen", "uc", "referencia", "demanda_contratada_kw")
+
+
 _DOC = "'doc_' || (custkey % 20)"
 
 
