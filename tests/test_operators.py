@@ -204,3 +204,30 @@ def test_snapshot_documents_are_json(spark, tmp_path):
     assert [(int(x["sheet"][1:]), int(x["item_code"][2:]) % 7) for x in a["line_items"]] == [w[:2] for w in want]
     assert [x["sheet"] for x in a["sheet_totals"]] == ["S0", "S1", "S2", "S3", "S4"] and a["totals"]["grand_total_sem_bdi"] == sum(range(0, 300, 3))
     assert RD.snapshot_items(read).count() == 300
+
+
+def test_page_lists_of_a_hot_unit(spark):
+    pages = spark.range(200_000).select(F.lit("u").alias("uc"), F.lit("a.pdf").alias("pdf_source"), (F.col("id") % 100_000 - 40).alias("page_first_seen"))
+    text = AU.page_trail(pages.repartition(7)).first().audit_pdf_pages
+    assert text == "a: " + ", ".join(map(str, range(-40, 99_960)))
+    plan = AU.page_lists(pages, ["uc"], F.col("page_first_seen"))._jdf.queryExecution().toString()
+    assert "collect_set" not in plan
+    few = spark.createDataFrame([("u", 5), ("u", None), ("u", 64), ("u", 63), ("u", 64), (None, 7), ("v", None)], "uc string, p int")
+    assert rows(AU.page_lists(few.filter("uc is not null"), ["uc"], F.col("p"))) == [("u", "5, 63, 64", 5)]
+
+
+def test_quality_tables_read_the_contract_once(spark):
+    data = [("T", "1", "B3", "2023-12", "2023-12-01", 1.5), ("T", "1", "B3", "2018-01", "2018-01-01", 0.0), ("S", "1", "A4", "2023-12", "2023-12-01", None),
+            ("T", "2", "IP", None, None, -1.0), ("T", "2", "IP", "", None, 0.0), (None, None, "B3", "2023-11", "2023-11-01", 2.0)]
+    df = spark.createDataFrame(data, "municipio string, uc string, consumer_class string, reference_month string, reference_date string, consumption_kwh double").withColumn(
+        "reference_date", F.to_date("reference_date"))
+    report = QU.quality_report(df)
+    summary = report["summary"].first()
+    assert (summary.total_rows, summary.unique_ucs, summary.month_count, summary.missing_reference_count, summary.nonpositive_rows, summary.zero_ucs) == (6, 2, 3, 2, 4, 1)
+    assert [r[0] for r in report["months_available"].collect()] == ["2018-01", "2023-11", "2023-12"]
+    missing = {r.uc: (r.municipio, r.months_present_count, r.missing_months_count, r.missing_months[:16]) for r in report["ucs_with_missing_months"].collect()}
+    assert missing == {"1": ("S", 2, 12, "2022-12, 2023-01"), "2": ("T", 0, 13, "2022-12, 2023-01"), None: (None, 1, 12, "2022-12, 2023-01")}
+    assert [(r.uc, r.rows, r.total_kwh) for r in report["ucs_all_zero_kwh"].collect()] == [("2", 2, -1.0)]
+    assert [tuple(r)[1:3] for r in report["missing_references_list"].collect()] == [("2", "IP")]
+    assert {r.consumer_class: tuple(r)[1:4] for r in report["null_zero_stats_by_class"].collect()} == {"B3": (3, 0, 1), "IP": (2, 0, 2), "A4": (1, 1, 1)}
+    assert QU.quality_report(df.limit(0))["summary"].first().total_rows == 0

@@ -8,12 +8,59 @@ from pyspark.sql import functions as F
 from wattledger.functions import fixed_values as V
 from wattledger.functions.dates import iso_label
 from wattledger.functions.domain import messages
-from wattledger.functions.numbers import sum_or_zero
+from wattledger.functions.numbers import exact_parts, exact_total, sum_or_zero
 from wattledger.operators.skew import one_row
+from wattledger.sources.staging import materialize
 
 _TRACE = ["municipio", "uc", "consumer_class", "source_file"]
 
 
+_WORD = 64
+_FACTS = ["__rows", "__null", "__nonpositive", "__whole", "__millionths", "__no_reference", "__latest", "__word", "__months"]
+
+
+def contract_facts(df: DataFrame) -> DataFrame:
+    """What every table of the report needs, per unit with its attributes and word of months: one read of the contract.
+
+    Rows are counted by kind and kWh added up in exact parts. Months (`yyyy-MM` labels) are bits of 64-month words that
+    `bit_or` gathers, so a unit ships eight bytes for five years, however many rows it has. Columns that a contract lacks are null.
+    """
+    def column(name: str, kind: str) -> Column:
+        return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+    month = column("reference_month", "string")
+    index = F.when(month.rlike(r"^\d{4}-\d{2}$"), F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1)
+    kwh = column("consumption_kwh", "double")
+    rows = df.select(
+        *[column(c, "string").alias(c) for c in _TRACE], kwh.alias("kwh"), (F.coalesce(kwh, F.lit(0.0)) <= 0).alias("nonpositive"),
+        column("reference_date", "date").alias("day"), index.alias("index"))
+    whole, millionths = exact_parts(F.col("kwh"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("index", F.lit(_WORD)))
+    return rows.groupBy(*_TRACE, F.floor(F.col("index") / _WORD).alias("__word")).agg(
+        F.count(F.lit(1)).alias("__rows"), F.count_if(F.col("kwh").isNull()).alias("__null"), F.count_if("nonpositive").alias("__nonpositive"),
+        F.sum(whole).alias("__whole"), F.sum(millionths).alias("__millionths"), F.count_if(F.col("day").isNull()).alias("__no_reference"),
+        F.max("day").alias("__latest"), F.bit_or(bit).alias("__months"))
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    return df if set(_FACTS) <= set(df.columns) else contract_facts(df)
+
+
+def _kwh() -> Column:
+    return F.coalesce(exact_total(F.sum("__whole"), F.sum("__millionths")), F.lit(0.0))
+
+
+def _labels(word: Column, bits: Column) -> Column:
+    """The ascending `yyyy-MM` labels of a word of months."""
+    on = F.filter(F.sequence(F.lit(0), F.lit(_WORD - 1)), lambda b: F.getbit(bits, b) == 1)
+
+    def label(b: Column) -> Column:
+        index = (word * _WORD + b).cast("int")
+        return F.format_string("%04d-%02d", F.floor(index / 12), F.pmod(index, F.lit(12)) + 1)
+
+    return F.transform(on, label)
+
+
 def class_totals(df: DataFrame) -> DataFrame:
     """One row: kWh of B3, IP, A4, OUTROS and their TOTAL; rows without a class are in none of them."""
     sums = df.agg(*[
@@ -22,19 +69,14 @@ def class_totals(df: DataFrame) -> DataFrame:
     return sums.withColumn("TOTAL", F.col("B3") + F.col("IP") + F.col("A4") + F.col("OUTROS"))
 
 
-def _nonpositive() -> Column:
-    return F.coalesce(F.col("consumption_kwh"), F.lit(0.0)) <= 0
-
-
 def null_zero_stats(df: DataFrame) -> DataFrame:
-    """Rows, null kWh and kWh <= 0 of the three main classes; a class without rows shows zeros."""
+    """Rows, null kWh and kWh <= 0 of the three main classes; a class without rows shows zeros. A contract or its facts."""
     names = V.QUALITY_CLASSES
-    is_class = {c: F.col("consumer_class") == c for c in names}
-    wide = df.agg(*[
-        a for c in names for a in (
-            F.count_if(is_class[c]).alias(f"{c}_rows"),
-            F.count_if(is_class[c] & F.col("consumption_kwh").isNull()).alias(f"{c}_null"),
-            F.count_if(is_class[c] & _nonpositive()).alias(f"{c}_zero"))])
+    kinds = {"rows": "__rows", "null": "__null", "zero": "__nonpositive"}
+    wide = _facts(df).agg(*[
+        F.coalesce(F.sum(F.when(F.col("consumer_class") == c, F.col(counted))), F.lit(0)).alias(f"{c}_{kind}")
+        for c in names for kind, counted in kinds.items()])
+
     def share(part: str, c: str) -> Column:
         return F.when(F.col(f"{c}_rows") > 0, F.col(f"{c}_{part}") / F.col(f"{c}_rows")).otherwise(0.0)
 
@@ -47,23 +89,28 @@ def null_zero_stats(df: DataFrame) -> DataFrame:
 
 
 def expected_months(df: DataFrame, months: int = V.MONTHS_IN_WINDOW) -> DataFrame:
-    """One row: ascending `yyyy-MM` labels ending at the latest month, or at today's without any."""
-    last = F.coalesce(F.trunc(F.max("reference_date"), "MM"), F.trunc(F.current_date(), "MM"))
-    grid = df.agg(last.alias("last")).select(
+    """One row: ascending `yyyy-MM` labels ending at the latest month, or at today's without any. A contract or its facts."""
+    last = F.coalesce(F.trunc(F.max("__latest"), "MM"), F.trunc(F.current_date(), "MM"))
+    grid = _facts(df).agg(last.alias("last")).select(
         F.sequence(F.add_months("last", -(months - 1)), F.col("last"), F.expr("interval 1 month")).alias("d"))
     return grid.select(F.transform("d", iso_label).alias("expected"))
 
 
+def months_available(df: DataFrame) -> DataFrame:
+    """The distinct months, ascending. A contract or its facts."""
+    words = _facts(df).filter("__word is not null").groupBy("__word").agg(F.bit_or("__months").alias("__months"))
+    return words.select(F.explode(_labels(F.col("__word"), F.col("__months"))).alias("reference_month")).orderBy("reference_month")
+
+
 def _per_unit(df: DataFrame) -> DataFrame:
-    """One row per UC; a UC ships its distinct months only. The sample attributes are the smallest pair."""
-    who = F.min(F.struct("municipio", "consumer_class"))
-    month = F.nullif(F.col("reference_month"), F.lit(""))
-    return df.groupBy("uc").agg(
-        who.alias("w"),
-        F.collect_set(month).alias("present"),
-        F.count(F.lit(1)).alias("rows"),
-        sum_or_zero(F.col("consumption_kwh")).alias("total_kwh"),
-        F.bool_and(_nonpositive()).alias("all_zero"),
+    """One row per UC; its months are the bits of a few words. The sample attributes are the smallest pair."""
+    words = _facts(df).groupBy("uc", "__word").agg(
+        F.min(F.struct("municipio", "consumer_class")).alias("w"), F.bit_or("__months").alias("__months"), F.sum("__rows").alias("rows"),
+        F.sum("__nonpositive").alias("nonpositive"), F.sum("__whole").alias("__whole"), F.sum("__millionths").alias("__millionths"))
+    months = F.collect_list(F.when(F.col("__word").isNotNull(), F.struct("__word", "__months")))
+    return words.groupBy("uc").agg(
+        F.min("w").alias("w"), F.flatten(F.transform(F.array_sort(months), lambda m: _labels(m["__word"], m["__months"]))).alias("present"),
+        F.sum("rows").alias("rows"), _kwh().alias("total_kwh"), (F.sum("rows") == F.sum("nonpositive")).alias("all_zero"),
     ).select("uc", "w.*", "present", "rows", "total_kwh", "all_zero")
 
 
@@ -91,19 +138,22 @@ def units_all_zero(df: DataFrame, top: int | None = None) -> DataFrame:
 
 def rows_without_reference(df: DataFrame, top: int | None = None) -> DataFrame:
     present = [c for c in _TRACE if c in df.columns]
-    return first_of(df.filter(F.col("reference_date").isNull()).select(*present).distinct(), present, top)
+    return first_of(_facts(df).filter("__no_reference > 0").select(*present).distinct(), present, top)
 
 
 def quality_summary(df: DataFrame, months: int = V.MONTHS_IN_WINDOW) -> DataFrame:
-    """One row: counts over the whole table, messages and whether any of them is critical."""
-    facts = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_distinct("uc").alias("unique_ucs"),
-        F.count_distinct(F.nullif(F.col("reference_month"), F.lit(""))).alias("month_count"),
-        F.count_if(F.col("reference_date").isNull()).alias("missing_reference_count"),
-        F.count_if(_nonpositive()).alias("nonpositive_rows"),
-    )
-    zero = df.groupBy("uc").agg(F.bool_and(_nonpositive()).alias("all_zero")).agg(F.count_if("all_zero").alias("zero_ucs"))
+    """One row: counts over the whole table, messages and whether any of them is critical. A contract or its facts."""
+    found = _facts(df)
+
+    def counted(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
+
+    rows = found.agg(
+        counted("__rows").alias("total_rows"), F.count_distinct("uc").alias("unique_ucs"), counted("__no_reference").alias("missing_reference_count"),
+        counted("__nonpositive").alias("nonpositive_rows"))
+    words = found.groupBy("__word").agg(F.bit_or("__months").alias("m")).agg(F.coalesce(F.sum(F.bit_count("m")), F.lit(0)).alias("month_count"))
+    facts = one_row(rows, words).select("total_rows", "unique_ucs", "month_count", "missing_reference_count", "nonpositive_rows")
+    zero = found.groupBy("uc").agg((F.sum("__rows") == F.sum("__nonpositive")).alias("all_zero")).agg(F.count_if("all_zero").alias("zero_ucs"))
     row = one_row(facts, zero)
     c = F.col
     share = c("nonpositive_rows") / F.nullif(c("total_rows"), F.lit(0))
@@ -123,14 +173,14 @@ def quality_summary(df: DataFrame, months: int = V.MONTHS_IN_WINDOW) -> DataFram
 
 
 def quality_report(df: DataFrame, months: int = V.MONTHS_IN_WINDOW, top: int | None = None) -> dict[str, DataFrame]:
-    """All tables of the report."""
-    months_available = df.select("reference_month").filter("reference_month <> ''").distinct().orderBy("reference_month")
+    """All tables of the report, from one read of the contract: its facts are written once and each table reads these."""
+    facts = materialize(contract_facts(df))
     return {
-        "summary": quality_summary(df, months),
-        "expected_months": expected_months(df, months).select(F.explode("expected").alias("month")),
-        "months_available": months_available,
-        "null_zero_stats_by_class": null_zero_stats(df),
-        "missing_references_list": rows_without_reference(df, top),
-        "ucs_with_missing_months": units_missing_months(df, months, top),
-        "ucs_all_zero_kwh": units_all_zero(df, top),
+        "summary": quality_summary(facts, months),
+        "expected_months": expected_months(facts, months).select(F.explode("expected").alias("month")),
+        "months_available": months_available(facts),
+        "null_zero_stats_by_class": null_zero_stats(facts),
+        "missing_references_list": rows_without_reference(facts, top),
+        "ucs_with_missing_months": units_missing_months(facts, months, top),
+        "ucs_all_zero_kwh": units_all_zero(facts, top),
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -934,8 +935,7 @@ SELECT uc, municipio, consumer_class, present AS months_present_count, count(*)
   SELECT u.*, month FROM (SELECT uc, min(municipio) AS municipio, min(consumer_class) AS consumer_class, count(DISTINCT reference_month) AS present FROM std GROUP BY 1) u, exp
   WHERE NOT EXISTS (SELECT 1 FROM std s WHERE s.uc = u.uc AND s.reference_month = exp.month)) GROUP BY 1, 2, 3, 4"""))
 def quality_missing_months(spark, folder):
-    columns = ["uc", "municipio", "consumer_class", "reference_month", "reference_date", "consumption_kwh"]
-    out = QU.units_missing_months(materialize(standard(spark, folder).select(*columns)))
+    out = QU.quality_report(standard(spark, folder))["ucs_with_missing_months"]
     return out.withColumns({n: c(n).cast("bigint") for n in ("months_present_count", "missing_months_count")})
 
 
@@ -964,6 +964,25 @@ def quality_summary(spark, folder):
     return out.withColumn("messages", F.array_join("critical_messages", " ")).drop("critical_messages")
 
 
+@query("quality_report", with_base(_CONTRACT, f""", {_EXPECTED},
+u AS (SELECT uc, count(DISTINCT reference_month) AS present, max(consumption_kwh) AS most, count(*) AS n FROM std GROUP BY 1)
+SELECT 'expected_months' AS part, month AS name, 1::bigint AS rows FROM exp UNION ALL SELECT 'months_available', reference_month, 1 FROM std WHERE reference_month IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'null_zero_stats_by_class', consumer_class, count(*) FROM std WHERE consumer_class <> 'OUTROS' GROUP BY 2
+UNION ALL SELECT 'ucs_all_zero_kwh', uc, n FROM u WHERE most <= 0
+UNION ALL SELECT 'ucs_with_missing_months', u.uc, count(*) FROM u, exp WHERE NOT EXISTS (SELECT 1 FROM std s WHERE s.uc = u.uc AND s.reference_month = exp.month) GROUP BY 2
+UNION ALL SELECT 'missing_references_list', uc, count(*) FROM (SELECT DISTINCT municipio, uc, consumer_class, source_file FROM std WHERE reference_date IS NULL) GROUP BY 2
+UNION ALL SELECT 'summary', 'total_rows', count(*) FROM std UNION ALL SELECT 'summary', 'month_count', count(DISTINCT reference_month) FROM std"""))
+def quality_report(spark, folder):
+    """All seven tables of one report, a row of each with its name and count."""
+    parts = QU.quality_report(standard(spark, folder))
+    named = {
+        "expected_months": ("month", F.lit(1)), "months_available": ("reference_month", F.lit(1)), "null_zero_stats_by_class": ("consumer_class", c("rows")),
+        "ucs_all_zero_kwh": ("uc", c("rows")), "ucs_with_missing_months": ("uc", c("missing_months_count")), "missing_references_list": ("uc", F.lit(1))}
+    out = [parts[k].select(F.lit(k).alias("part"), c(name).alias("name"), rows.cast("bigint").alias("rows")) for k, (name, rows) in named.items()]
+    total = parts["summary"].select(F.lit("summary").alias("part"), F.expr("stack(2, 'total_rows', total_rows, 'month_count', month_count) AS (name, rows)"))
+    return reduce(DataFrame.unionByName, [*out, total]).groupBy("part", "name").agg(F.sum("rows").alias("rows"))
+
+
 @query("contract_profile", with_base(_CONTRACT, """
 SELECT 'v1' AS schema_version, 'uc' AS missing, count(*) AS row_count, 0::bigint AS uc_count, count(DISTINCT CASE WHEN custkey % 10 <> 0 THEN strftime(reference_date, '%m/%Y') ELSE 'sem data' END) AS months_count FROM std"""))
 def contract_profile(spark, folder):
