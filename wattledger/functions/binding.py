@@ -18,11 +18,16 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def bind_sql(value: Column, body: str) -> Column:
-    """The same with the use written in SQL over `x`; suits long fixed expressions, which one call then builds."""
-    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
+def bind_sql(value: Column, body: str, name: str = "x") -> Column:
+    """The same with the use written in SQL over `name`; suits long fixed expressions, which one call then builds."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
 
 
 def sql_text(value: str) -> str:
     """A string as a SQL literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(value: str, body: str, name: str) -> str:
+    """SQL that computes `value` once and uses it in `body` as `name`."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattledger.functions import fixed_values as V
-from wattledger.functions.binding import bind, bind_sql, sql_text
+from wattledger.functions.binding import bind, bind_sql, bound, sql_text
 from wattledger.functions.text import ascii_upper, found, pick_ascii, strip
 
+_DAY = r"\b\d{2}/(\d{2}/\d{4})\b"
 _MONTH_TABLE = {name: f"{number:02d}" for name, number in V.MONTH_NUMBER.items()}
 
 
@@ -42,7 +43,7 @@ def compact_reference(c: Column) -> Column:
 
 def reference_of_date(c: Column) -> Column:
     """First `dd/mm/yyyy` -> `mm/yyyy`; else ''."""
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"\b\d{2}/(\d{2}/\d{4})\b", 1)
+    return F.regexp_extract(F.coalesce(c, F.lit("")), _DAY, 1)
 
 
 def named_month_reference(name: Column, year: Column) -> Column:
@@ -77,6 +78,22 @@ def token_reference(c: Column) -> Column:
     return bind_sql(F.upper(F.translate(c, " \t\n", "")), _reference_sql())
 
 
+def token_sql(token: str) -> str:
+    """`token_reference` as SQL."""
+    return bound(f"upper(translate({token}, ' \\t\\n', ''))", _reference_sql(), "x")
+
+
+def compact_sql(text: str) -> str:
+    """`compact_reference` as SQL."""
+    return bound(f"regexp_replace(coalesce({text}, ''), {sql_text(r'[^0-9]')}, '')",
+                 "CASE WHEN length(d) = 6 THEN concat(substring(d, 5, 2), '/', substring(d, 1, 4)) ELSE '' END", "d")
+
+
+def date_sql(text: str) -> str:
+    """`reference_of_date` as SQL."""
+    return f"regexp_extract(coalesce({text}, ''), {sql_text(_DAY)}, 1)"
+
+
 _STRICT = r"^\s*(0?[1-9]|1[0-2])/(1[7-9]\d{2}|2[01]\d{2})\s*$"
 
 
@@ -99,6 +116,18 @@ def reference_index(c: Column) -> Column:
     return year * 12 + month
 
 
+def index_sql(text: str) -> str:
+    """`reference_index` as SQL."""
+    month, year = (f"cast(nullif(regexp_extract({text}, {sql_text(_STRICT)}, {g}), '') AS int)" for g in (1, 2))
+    return f"{year} * 12 + {month}"
+
+
+def label_sql(index: str) -> str:
+    """`index_label` as SQL."""
+    year = f"cast(floor(({index} - 1) / 12) AS int)"
+    return f"format_string('%02d/%04d', cast({index} - {year} * 12 AS int), {year})"
+
+
 def index_label(index: Column) -> Column:
     """Month count -> `MM/YYYY`."""
     year = F.floor((index - 1) / 12).cast("int")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.functions.binding import bind
-from wattledger.functions.text import strip
+from wattledger.functions.binding import bind, sql_text
+from wattledger.functions.text import STRIP, strip
 
 _PLAIN = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
@@ -29,6 +29,12 @@ def ptbr_number(c: Column) -> Column:
     return plain_number(F.translate(strip(c), ",.", "."))
 
 
+def ptbr_sql(text: str) -> str:
+    """`ptbr_number` as SQL."""
+    bare = f"translate(regexp_replace({text}, {sql_text(STRIP)}, ''), ',.', '.')"
+    return f"try_cast(regexp_extract({bare}, {sql_text(_PLAIN)}, 1) AS double)"
+
+
 def ptbr_or_zero(c: Column) -> Column:
     return F.coalesce(ptbr_number(c), F.lit(0.0))
 

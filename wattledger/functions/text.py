@@ -47,6 +47,7 @@ def _regex_class(chars) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
+STRIP = r"^\s+|\s+\z"
 _NOT_ASCII = r"[^\x00-\x7F]"
 _RUN_EDGE = r"(?<=[\x00-\x7F])(?=[^\x00-\x7F])|(?<=[^\x00-\x7F])(?=[\x00-\x7F])"
 
@@ -104,7 +105,7 @@ def search_key(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace (Spark's `trim` only knows the space)."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.regexp_replace(c, STRIP, "")
 
 
 def tidy_lines(c: Column) -> Column:
@@ -133,6 +134,11 @@ def pick(text: Column, pattern: str, group: int = 1) -> Column:
     return found(F.regexp_extract(text, "(?iU)" + pattern, group))
 
 
+def pick_sql(text: str, pattern: str, any_case: bool = True, group: int = 1) -> str:
+    """`pick` (or, in upper case only, `pick_ascii`) as SQL."""
+    return f"nullif(regexp_extract({text}, {sql_text(('(?iU)' if any_case else '') + pattern)}, {group}), '')"
+
+
 def pick_ascii(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of an upper-case pattern on `ascii_upper` text."""
     return found(F.regexp_extract(text, pattern, group))
@@ -149,10 +155,7 @@ def cut_before(text: Column, pattern: str) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | text.contains(word)
-    return hit
+    return bind_sql(text, " OR ".join(f"contains(x, {sql_text(w)})" for w in words) or "false")
 
 
 def _slug(c: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wattledger.functions import fixed_values as V
-from wattledger.functions.binding import bind
-from wattledger.functions.dates import compact_reference, token_reference, reference_of_date
+from wattledger.functions.binding import bind, bind_sql, bound, sql_text
+from wattledger.functions.dates import compact_sql, date_sql, token_reference, token_sql
 from wattledger.functions.domain import category
-from wattledger.functions.numbers import positive, ptbr_number, ptbr_or_zero
+from wattledger.functions.numbers import positive, ptbr_number, ptbr_or_zero, ptbr_sql
 from wattledger.functions.text import (
-    ascii_upper, blank_to_null, clean_class_text, contains_any, found, lines_of, pick, pick_all, pick_ascii, strip,
+    ascii_upper, blank_to_null, clean_class_text, contains_any, found, lines_of, pick, pick_ascii, pick_sql, strip,
     tidy_lines,
 )
 
@@ -24,8 +24,8 @@ def sourced(value: Column, source: str) -> Column:
 
 def first_positive(text: Column, patterns: dict[str, str]) -> Column:
     """struct(value, source) of the first pattern whose number is above zero."""
-    return F.coalesce(*[
-        sourced(bind(ptbr_number(pick(text, p)), positive), name) for name, p in patterns.items()])
+    hits = [bound(ptbr_sql(pick_sql("x", p)), f"CASE WHEN v > 0 THEN named_struct('value', v, 'source', {sql_text(name)}) END", "v") for name, p in patterns.items()]
+    return bind_sql(text, f"coalesce({', '.join(hits)})")
 
 
 def first_text(text: Column, patterns: list[str]) -> Column:
@@ -94,14 +94,16 @@ def uc_of(text: Column, plain: Column) -> Column:
 # ------------------------------------------------------------------ billing month
 def reference_of(text: Column, plain: Column) -> Column:
     """struct(value, source): labelled month, else the first readable month token."""
-    readers = {"FATURA_YYYYMM": compact_reference, "DATA_FATURAMENTO": reference_of_date}
-    labelled = [
-        sourced(found(readers.get(name, token_reference)(pick(text, p))), name)
-        for name, p in V.REFERENCE_LABELS.items()
-    ]
-    tokens = [found(token_reference(pick_ascii(plain, p))) for p in V.LABELLED_REFERENCE]
-    free = F.filter(F.transform(pick_all(plain, V.FREE_MONTH_TOKEN), token_reference), lambda r: r != "")
-    return F.coalesce(*labelled, sourced(F.coalesce(*tokens, F.get(free, F.lit(0))), "GENERIC_REF_TOKEN"))
+    readers = {"FATURA_YYYYMM": compact_sql, "DATA_FATURAMENTO": date_sql}
+
+    def sourced_sql(value: str, source: str) -> str:
+        return bound(value, f"CASE WHEN v IS NOT NULL THEN named_struct('value', v, 'source', {sql_text(source)}) END", "v")
+
+    labelled = [sourced_sql(f"nullif({readers.get(name, token_sql)(pick_sql('both.t', p))}, '')", name) for name, p in V.REFERENCE_LABELS.items()]
+    tokens = [f"nullif({token_sql(pick_sql('both.a', p, any_case=False))}, '')" for p in V.LABELLED_REFERENCE]
+    free = f"get(filter(transform(regexp_extract_all(both.a, {sql_text(V.FREE_MONTH_TOKEN)}, 0), token -> {token_sql('token')}), r -> r <> ''), 0)"
+    first = f"coalesce({', '.join([*labelled, sourced_sql(f'coalesce({chr(44).join([*tokens, free])})', 'GENERIC_REF_TOKEN')])})"
+    return bind_sql(F.struct(text.alias("t"), plain.alias("a")), first, "both")
 
 
 # ------------------------------------------------------------------ kWh and demand

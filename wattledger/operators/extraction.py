@@ -49,29 +49,32 @@ _MONTH = "struct<referencia:string," + ",".join(f"{m}:double" for m in V.HISTORY
 _UC_MARKER = "(?iU)" + "|".join(V.UC_LABELS.values())
 
 
+_ITEM_COLUMNS = ["itens_fatura_json", *V.ITEM_MEASURES, "audit_itens_page"]
+
+
 def _record(df: DataFrame) -> DataFrame:
-    """Typed record columns; what a branch did not fill is blank, null or -1."""
+    """Typed record columns but for those of the items, which go along as `__items`; what a branch did not fill is blank, null or -1."""
     out = []
     for name in RECORD_COLUMNS:
-        value = F.col(name) if name in df.columns else F.lit(None)
+        value = name if name in df.columns else "NULL"
+        if name in _ITEM_COLUMNS:
+            continue
         if name in _TEXTS:
-            value = F.coalesce(value.cast("string"), F.lit(""))
+            value = f"coalesce(cast({value} AS string), '')"
         elif name in _PAGES:
-            value = F.coalesce(value.cast("int"), F.lit(-1))
+            value = f"coalesce(cast({value} AS int), -1)"
         elif name == "block_no":
-            value = F.coalesce(value.cast("int"), F.lit(0))
+            value = f"coalesce(cast({value} AS int), 0)"
         elif name == "needs_review":
-            value = F.coalesce(value.cast("boolean"), F.lit(False))
+            value = f"coalesce(cast({value} AS boolean), false)"
         else:
-            value = value.cast("double")
-        out.append(value.alias(name))
-    months = F.col("__months") if "__months" in df.columns else F.lit(None)
-    contracted = F.col("__contracted") if "__contracted" in df.columns else F.lit(None)
-    labelled = F.col("__labelled") if "__labelled" in df.columns else F.lit(False)
+            value = f"cast({value} AS double)"
+        out.append(f"{value} AS {name}")
+    months, contracted, labelled = (c if c in df.columns else "NULL" for c in _EXPANSION)
     rank = ["__rank"] if "__rank" in df.columns else []
-    return df.select(
-        *out, *rank, months.cast(f"array<{_MONTH}>").alias("__months"), contracted.cast("double").alias("__contracted"),
-        labelled.alias("__labelled"))
+    return df.selectExpr(
+        *out, *rank, f"cast({months} AS array<{_MONTH}>) AS __months", f"cast({contracted} AS double) AS __contracted",
+        f"coalesce({labelled}, false) AS __labelled", "__items")
 
 
 def _a4_months(rows: Column) -> Column:
@@ -86,15 +89,14 @@ def _b_months(rows: Column) -> Column:
         r["consumo_kwh"].alias("kwh")))
 
 
-def _with_items(df: DataFrame, items: Column) -> DataFrame:
-    """Item columns from an array of items; no items leave them blank."""
-    df = df.withColumn("__items", items)
-    df = df.withColumn("__measures", F.when(F.size("__items") > 0, I.item_measures(F.col("__items"))))
+def _with_items(records: DataFrame) -> DataFrame:
+    """Item columns of all records at once; no items leave them blank."""
+    df = records.withColumn("__measures", F.when(F.size("__items") > 0, I.item_measures(F.col("__items"))))
     return df.withColumns({
         "itens_fatura_json": I.items_json(F.col("__items")),
         **{m: F.col("__measures")[m] for m in V.ITEM_MEASURES},
-        "audit_itens_page": F.when(F.size("__items") > 0, F.col("page_no")),
-    })
+        "audit_itens_page": F.when(F.size("__items") > 0, F.col("page_first_seen")).otherwise(-1),
+    }).select(*RECORD_COLUMNS, *_EXPANSION, *[c for c in df.columns if c == "__rank"])
 
 
 # ------------------------------------------------------------------ blocks
@@ -147,7 +149,7 @@ def block_records(blocks: DataFrame) -> DataFrame:
         "__labelled_items": I.labelled_items(F.col("section")),
         "__energy_items": I.energy_items(a, cat),
     })
-    df = _with_items(df, F.when(
+    df = df.withColumn("__items", F.when(
         F.size("__energy_items") > 0, I.unique_items(F.concat("__labelled_items", "__energy_items"))
     ).otherwise(F.col("__labelled_items")))
 
@@ -312,9 +314,9 @@ def _unlabelled(pages: DataFrame) -> DataFrame:
 
 
 def unlabelled_a4_records(pages: DataFrame) -> DataFrame:
-    """Medium-voltage pages: month lines are mandatory."""
-    t, a = F.col("t"), F.col("a")
-    df = _unlabelled(pages).filter(a.contains("A4") | a.contains("HOROSAZONAL"))
+    """Medium-voltage pages of `_unlabelled`: month lines are mandatory."""
+    a = F.col("a")
+    df = pages.filter(a.contains("A4") | a.contains("HOROSAZONAL"))
     df = df.withColumn("__rows", H.a4_month_lines(F.col("text"))).filter(F.col("__rows").isNotNull())
     last = F.element_at("__rows", -1)
     df = df.withColumn("referencia", F.coalesce(found(F.col("due.referencia")), last["referencia"]))
@@ -332,7 +334,7 @@ def unlabelled_a4_records(pages: DataFrame) -> DataFrame:
     df = df.withColumn("__contracted", F.coalesce(
         contracted(F.col("text"), a), contracted(F.col("stream"), F.col("__stream_a")),
         F.nullif(F.col("demanda_fhp_kw"), F.lit(0.0)), F.nullif(F.col("demanda_hp_kw"), F.lit(0.0)), F.lit(0.0)))
-    df = _with_items(df, I.energy_items(F.col("__stream_a"), F.lit("A4")))
+    df = df.withColumn("__items", I.energy_items(F.col("__stream_a"), F.lit("A4")))
     hp, fhp = F.col("consumo_hp_kwh"), F.col("consumo_fhp_kwh")
     return _record(df.withColumns({
         "grupo_tensao": F.lit("A"), "subgrupo": F.lit("A4"), "categoria": F.lit("A4"),
@@ -346,9 +348,9 @@ def unlabelled_a4_records(pages: DataFrame) -> DataFrame:
 
 
 def unlabelled_b_records(pages: DataFrame) -> DataFrame:
-    """Low-voltage pages: consumption history is mandatory."""
-    t, a = F.col("t"), F.col("a")
-    df = _unlabelled(pages).withColumn("__b", low_voltage_class(ascii_upper(F.col("classificacao_uc")), a))
+    """Low-voltage pages of `_unlabelled`: consumption history is mandatory."""
+    a = F.col("a")
+    df = pages.withColumn("__b", low_voltage_class(ascii_upper(F.col("classificacao_uc")), a))
     df = df.filter(F.col("__b.categoria") != "")
     df = df.withColumn("__rows", H.b_history_of_stream(F.col("stream"))).filter(F.col("__rows").isNotNull())
     last = F.element_at("__rows", -1)
@@ -358,7 +360,7 @@ def unlabelled_b_records(pages: DataFrame) -> DataFrame:
         "__names": _b_name_address(F.col("header")),
         "categoria": F.col("__b.categoria"),
     })
-    df = _with_items(df, I.energy_items(ascii_upper(F.col("stream")), F.col("categoria")))
+    df = df.withColumn("__items", I.energy_items(ascii_upper(F.col("stream")), F.col("categoria")))
     df = df.withColumn("__tagged", I.tag_items(F.col("__items")))
     df = df.withColumns({
         "__te": I.te_quantity(F.col("__tagged")),
@@ -451,7 +453,7 @@ def grouped_records(blocks: DataFrame) -> DataFrame:
             ptbr_number(pick_ascii(a, V.GROUPED_TOTAL)), ptbr_number(money), ptbr_number(pick_ascii(a, V.GROUPED_TOTAL_LINE))),
         "__hist_b": H.b_history(t),
     })
-    df = _with_items(df, I.labelled_items(F.col("section")))
+    df = df.withColumn("__items", I.labelled_items(F.col("section")))
     is_b = cat.isin("B3", "IP")
     te_rows = F.filter(F.transform(pick_all(a, V.GROUPED_TE_ROW, 1), ptbr_number), lambda v: v.isNotNull())
     explicit = [F.when(t.rlike("(?iU)" + V.KWH_TEXT_PATTERNS[n]), F.struct(
@@ -555,12 +557,13 @@ def extract_pages(pages: DataFrame, expand: bool = False) -> DataFrame:
     grouped_page = is_grouped_page(F.col("a"))
     whole = others.filter(grouped_page | F.col("a").contains("UC:")).withColumns({
         "block": F.col("text"), "__rank": F.when(grouped_page, _GROUPED).otherwise(_LAST_RESORT)})
+    fiscal = _unlabelled(others)
     by_page = _first_per_page(
-        _ranked(unlabelled_a4_records(others), _MEDIUM)
-        .unionByName(_ranked(unlabelled_b_records(others), _LOW))
+        _ranked(unlabelled_a4_records(fiscal), _MEDIUM)
+        .unionByName(_ranked(unlabelled_b_records(fiscal), _LOW))
         .unionByName(grouped_records(whole)))
 
-    records = materialize(blocks.unionByName(by_page))
+    records = materialize(_with_items(blocks.unionByName(by_page)))
     facts = records.groupBy("pdf_source").agg(
         F.bool_or(F.col("__rank") == _BLOCK).alias("any_uc"), F.bool_or(F.col("__rank") < _LAST_RESORT).alias("any_row"))
     documents = layouts_of_facts(materialize(page_facts(pages))).join(facts, "pdf_source").withColumnRenamed("provider_layout", "__layout")

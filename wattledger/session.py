@@ -16,6 +16,7 @@ def local_session(cpus: str = "*", memory: str = "12g", partitions: int = 8) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.maxMetadataStringLength", "200")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
