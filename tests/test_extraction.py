@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wattledger.functions.text import ascii_upper
+from wattledger.operators import cascade as C
 from wattledger.operators import history as H
 from wattledger.operators import items as I
 from wattledger.operators import rules as RU
@@ -158,3 +160,19 @@ def test_items(spark):
 def test_grouped_blocks(spark):
     pages = spark.createDataFrame([("a", 1, "x CCI 1234 one CCI: 5678 two"), ("a", 2, "plain")], "pdf_source string, page_no int, text string")
     assert sorted(r.block for r in grouped_blocks(pages).collect()) == ["CCI 1234 one", "CCI: 5678 two", "plain"]
+
+
+def test_an_id_below_the_first_lines(spark):
+    """A formatted id on line 20; labels above an id win over other numbers; dates are no ids."""
+    filler = "\n".join(f"linha {chr(97 + k % 26)}" for k in range(19))
+    texts = {
+        filler + "\n12.345.678-9": ("0123456789", "DIGIT_FALLBACK"),
+        "01/02/2024\n" + filler + "\nUnidade Consumidora\n98.765.432": ("0098765432", "DIGIT_FALLBACK"),
+        filler + "\nCódigo de barras 11223344 fim\nInstalação\n55-667788": ("0055667788", "DIGIT_FALLBACK"),
+        filler + "\nCódigo de barras 11223344 fim\n55-667788": ("0011223344", "DIGIT_FALLBACK"),
+        filler + "\n01/02/2024": None, "UC: 1234567\n" + filler: ("0001234567", "UC"),
+        "RUA 12\nCEP 88.000-100\n" + filler: ("0088000100", "DIGIT_FALLBACK"),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("a", ascii_upper(F.col("text")))
+    for r in df.select("text", C.uc_of(F.col("text"), F.col("a")).alias("uc")).collect():
+        assert (tuple(r.uc) if r.uc else None) == texts[r.text]

@@ -166,6 +166,10 @@ UC_LABELS = {
     "UNIDADE_CONSUMIDORA": r"\bUnidade\s+Consumidora:\s*([0-9]{6,12})\b",
     "NUMERO_CLIENTE": r"\bN[uú]mero\s+(?:do\s+)?Cliente:\s*([0-9]{6,12})\b",
 }
+# A line that is one number, the words that stand by a unit's number, and numbers that are dates, months or money.
+ID_LINE = r"^[^0-9A-Za-z]*([0-9](?:[0-9./ -]*[0-9])?)[^0-9A-Za-z]*$"
+ID_LABEL = r"\bUC\b|\bUNIDADE CONSUMIDORA\b|\bINSTALACAO\b|\bCODIGO D[AO] (?:CLIENTE|UC|INSTALACAO)\b|\bNUMERO (?:DO )?CLIENTE\b"
+NOT_AN_ID = r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}$|^\d{1,2}/\d{4}$"
 REFERENCE_LABELS = {
     "REFERENCIA": r"\bRefer[êe]ncia:\s*(\d{2}/\d{4})\b",
     "MES_ANO": r"\bM[eê]s/Ano:\s*(\d{2}/\d{4})\b",

@@ -80,13 +80,36 @@ def digits_in(line: Column, low: int = 6, high: int = 12) -> Column:
     return bind(F.regexp_replace(line, r"\D", ""), lambda d: F.when(F.length(d).between(low, high), d))
 
 
-def uc_of(text: Column, plain: Column) -> Column:
-    """struct(value, source): labelled id, else a line of 6-12 digits, else any such run."""
+def _scored_ids(lines: Column) -> Column:
+    """array<struct(score, place, digits)>: the lines that are one number of 6 to 12 digits, best first.
+
+    A number with a unit label on its line or the one above scores two, separators (`12.345.678-9`) one. Dates and money are no ids.
+    """
+    def candidate(line: Column, i: Column) -> Column:
+        number = F.regexp_extract(line, V.ID_LINE, 1)
+        label = ascii_upper(F.concat_ws(" ", F.when(i > 0, F.get(lines, i - 1)), line)).rlike(V.ID_LABEL)
+        is_id = (number != "") & ~number.rlike(V.NOT_AN_ID)
+        score = F.when(label, 2).otherwise(0) + F.when(number.rlike("[^0-9]"), 1).otherwise(0)
+        return bind(digits_in(F.when(is_id, number)), lambda d: F.when(
+            d.isNotNull(), F.struct((-score).alias("rank"), i.alias("place"), d.alias("digits"))))
+
+    return F.array_sort(F.array_compact(F.transform(lines, candidate)))
+
+
+def uc_of(text: Column, plain: Column, first_lines: int = 12) -> Column:
+    """struct(value, source): labelled id, else an id among all lines, else any run of 6 to 12 digits.
+
+    Without a label, ids under a unit label come first, wherever they stand; then a line of the first ones that has 6 to 12 digits in
+    all, as invoices print their id; then any such run; then other lines that are one formatted number.
+    """
     labelled = [sourced(pick(text, p), name) for name, p in V.UC_LABELS.items()]
-    lines = F.slice(lines_of(text), 1, 12)
-    by_line = F.get(F.array_compact(F.transform(lines, lambda l: digits_in(l))), F.lit(0))
-    by_run = pick_ascii(plain, r"\b([0-9]{6,12})\b")
-    hit = F.coalesce(*labelled, sourced(F.coalesce(by_line, by_run), "DIGIT_FALLBACK"))
+
+    def by_line(lines: Column) -> Column:
+        top = F.get(F.array_compact(F.transform(F.slice(lines, 1, first_lines), lambda l: digits_in(l))), F.lit(0))
+        return bind(_scored_ids(lines), lambda ids: F.coalesce(
+            F.get(F.filter(ids, lambda c: c["rank"] <= -2), F.lit(0))["digits"], top, pick_ascii(plain, r"\b([0-9]{6,12})\b"), F.get(ids, F.lit(0))["digits"]))
+
+    hit = F.coalesce(*labelled, sourced(bind(lines_of(text), by_line), "DIGIT_FALLBACK"))
     return bind(hit, lambda h: F.when(
         h.isNotNull(), F.struct(pad_uc(h["value"]).alias("value"), h["source"].alias("source"))))
 

@@ -241,6 +241,16 @@ def detailed_pages(spark: SparkSession, folder: str) -> DataFrame:
     return _paged(master(spark, folder).withColumn("block", detailed_block()))
 
 
+def demand_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A short page per customer with one of four unit labels and one of three demand labels."""
+    k = F.col("custkey")
+    kw = format_ptbr((k % 90 + 10).cast("double"))
+    unit = F.when(k % 4 == 0, "UC: ").when(k % 4 == 1, "Instalação: ").when(k % 4 == 2, "Unidade Consumidora: ").otherwise("Número do Cliente: ")
+    demand = F.when(k % 3 == 0, "Demanda Contratada: ").when(k % 3 == 1, "Demanda Registrada ").otherwise("Demanda Medida ")
+    rows = master(spark, folder).select("custkey", "uc").distinct()
+    return rows.select(*_page_key(), _join_lines(_header(), F.concat(unit, F.col("uc")), F.concat(demand, kw)).alias("text"))
+
+
 def _paged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("custkey").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reference_date", "block"))), lambda x: x["block"]), "\n").alias("body")
@@ -261,55 +271,96 @@ def _history(rows: DataFrame, line: Column) -> DataFrame:
     ).select("r.*", "lines")
 
 
+def _month_lines() -> Column:
+    return F.concat("referencia", F.lit(" "), format_ptbr(F.col("kwh_total_te")), F.lit(" 30"))
+
+
 def history_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """One labelled low-voltage block per customer with its consumption history."""
-    rows = master(spark, folder).filter(F.col("categoria").isin("B3", "IP"))
-    line = F.concat("referencia", F.lit(" "), format_ptbr(F.col("kwh_total_te")), F.lit(" 30"))
-    printed = _history(rows, line)
+    """One labelled block per customer with its consumption history; a medium-voltage block has its own one-month history above."""
+    printed = _history(master(spark, folder), _month_lines())
     return printed.select(*_page_key(), _join_lines(
         _header(), block_text(), "HISTORICO DE CONSUMO", F.array_join("lines", "\n")).alias("text"))
 
 
-def fiscal_a4_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Medium-voltage pages without a UC label."""
-    rows = master(spark, folder).filter(F.col("categoria") == "A4")
-    line = F.concat_ws(" ", F.col("referencia"), *[format_ptbr(F.coalesce(m, F.lit(0.0))) for m in (
+def repeated_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Histories as scans print them: every second month twice, first with another value, every third month left out.
+
+    Low-voltage blocks of `history_pages`, and medium-voltage pages of `fiscal_pages` with the right values first.
+    """
+    rows = master(spark, folder).withColumn("month", F.month("reference_date"))
+    wrong = F.concat("referencia", F.lit(" 9.999,00 30\n"))
+    low = rows.filter("categoria <> 'A4'").withColumn("shown", F.when(F.col("month") % 2 == 0, F.concat(wrong, _month_lines())).otherwise(_month_lines()))
+    low = _history(low, F.when(F.col("month") % 3 != 0, F.col("shown"))).select(*_page_key(), _join_lines(
+        _header(), block_text(), "HISTORICO DE CONSUMO", F.array_join(F.array_compact("lines"), "\n")).alias("text"))
+    again = F.concat("referencia", F.lit(" 7,00 7,00 7,00 7,00"))
+    medium = rows.filter("categoria = 'A4'").withColumn("shown", F.when(F.col("month") % 2 == 0, F.concat(_demand_lines(), F.lit("\n"), again)).otherwise(_demand_lines()))
+    medium = _medium_page(_history(medium, F.when(F.col("month") % 3 != 0, F.col("shown"))))
+    return low.unionByName(medium.withColumn("pdf_source", F.concat(F.lit("medium_"), "pdf_source")))
+
+
+def series_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Medium-voltage blocks whose history is four series of 13 numbers, their months in a list below."""
+    index = F.year("reference_date") * 12 + F.month("reference_date")
+    rows = master(spark, folder).filter("categoria = 'A4'").withColumn("ix", index)
+    latest = F.max_by(F.struct(*rows.columns), F.col("ix"))
+    measures = {"DEMANDA HP": "demanda_hp_kw", "DEMANDA FHP": "demanda_fhp_kw", "CONSUMO HP": "consumo_hp_kwh", "CONSUMO FHP": "consumo_fhp_kwh"}
+    kept = rows.groupBy("custkey").agg(latest.alias("r"), F.map_from_entries(F.collect_list(F.struct("ix", F.struct(*measures.values())))).alias("by"))
+    kept = kept.select("r.*", "by")
+
+    def series(measure: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: format_ptbr(F.coalesce(
+            F.try_element_at("by", F.col("ix") - i)[measure], F.lit(0.0)))), " ")
+
+    months = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.date_format(
+        F.add_months(F.trunc("reference_date", "MM"), -i), "MM/yyyy")), " ")
+    text = _join_lines(
+        _header(), F.concat(F.lit("UC: "), F.col("uc")), "Grupo / Subgrupo Tensao:A-A4",
+        "Classificacao / Modalidade Tarifaria / Tipo de Fornecimento: A4 HOROSAZONAL Municipio:", "Itens da Fatura", "HISTORICO DO FATURAMENTO",
+        *[F.concat(F.lit(f"{label} "), series(m)) for label, m in measures.items()], months, F.concat(F.lit("Referencia: "), F.col("referencia")))
+    return kept.select(*_page_key(), text.alias("text"))
+
+
+def _demand_lines() -> Column:
+    return F.concat_ws(" ", F.col("referencia"), *[format_ptbr(F.coalesce(m, F.lit(0.0))) for m in (
         "demanda_hp_kw", "demanda_fhp_kw", "consumo_hp_kwh", "consumo_fhp_kwh")])
-    printed = _history(rows, line)
+
+
+def _due_line() -> Column:
+    return F.concat(F.lit("CONTA "), F.col("referencia"), F.lit(" 28/"), F.col("referencia"), F.lit(" R$ "),
+                    format_ptbr(F.coalesce("total_fatura_rs", F.lit(0.0))))
+
+
+def _medium_page(printed: DataFrame) -> DataFrame:
     return printed.select(*_page_key(), _join_lines(
         "DOCUMENTO AUXILIAR DA NOTA FISCAL",
         F.concat(F.lit("CODIGO "), F.col("uc")), "PODER PUBLICO MUNICIPAL", F.col("nome"), F.col("endereco"),
-        F.concat(F.lit("A4 HOROSAZONAL "), F.col("tipo_fornecimento")),
-        F.concat(F.lit("CONTA "), F.col("referencia"), F.lit(" 28/"), F.col("referencia"), F.lit(" R$ "),
-                 format_ptbr(F.coalesce("total_fatura_rs", F.lit(0.0)))),
-        "ITENS DE FATURA Unid Quant", "MES/ANO", F.array_join("lines", "\n")).alias("text"))
-
-
-def fiscal_b_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Low-voltage pages without a UC label."""
-    rows = master(spark, folder).filter(F.col("categoria").isin("B3", "IP"))
-    line = F.concat("referencia", F.lit(" "), format_ptbr(F.col("kwh_total_te")), F.lit(" 30"))
-    printed = _history(rows, line)
-    klass = F.when(F.col("categoria") == "IP", "B4A ILUMINACAO PUBLICA").otherwise("B3 COMERCIAL")
-    return printed.select(*_page_key(), _join_lines(
+        F.concat(F.lit("A4 HOROSAZONAL "), F.col("tipo_fornecimento")), _due_line(),
+        "ITENS DE FATURA Unid Quant", "MES/ANO", F.array_join(F.array_compact("lines"), "\n")).alias("text"))
+
+
+def fiscal_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages without a UC label, for customers of every category: medium voltage, low voltage, and a class no parser takes."""
+    rows = master(spark, folder)
+    medium = _medium_page(_history(rows.filter("categoria = 'A4'"), _demand_lines()))
+    printed = _history(rows.filter("categoria <> 'A4'"), _month_lines())
+    cat = F.col("categoria")
+    klass = F.when(cat == "IP", "B4A ILUMINACAO PUBLICA").when(cat == "B3", "B3 COMERCIAL").otherwise("SEM CLASSE")
+    low = printed.select(*_page_key(), _join_lines(
         "NOTA FISCAL DE ENERGIA", F.concat(F.lit("CODIGO "), F.col("uc")),
         F.concat(klass, F.lit(" "), F.col("tipo_fornecimento")), F.concat(F.lit("MUNICIPIO DE "), F.col("nome")),
-        F.col("endereco"),
-        F.concat(F.lit("CONTA "), F.col("referencia"), F.lit(" 28/"), F.col("referencia"), F.lit(" R$ "),
-                 format_ptbr(F.coalesce("total_fatura_rs", F.lit(0.0)))),
-        "ITENS DE FATURA", "HISTORICO", F.array_join("lines", "\n")).alias("text"))
+        F.col("endereco"), _due_line(), "ITENS DE FATURA", "HISTORICO", F.array_join("lines", "\n")).alias("text"))
+    return medium.unionByName(low)
 
 
 def grouped_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Grouped-invoice pages with the months on one line and their values above."""
-    rows = master(spark, folder).filter(F.col("categoria").isin("B3", "IP"))
+    """Grouped-invoice pages of all customers with all their months on one line and the values above."""
+    rows = master(spark, folder)
     names = F.create_map(*[x for i, n in enumerate(
         ["JAN", "FEV", "MAR", "ABR", "MAI", "JUN", "JUL", "AGO", "SET", "OUT", "NOV", "DEZ"], 1) for x in (F.lit(i), F.lit(n))])
     token = F.concat(names[F.month("reference_date")], F.lit("/"), F.date_format("reference_date", "yyyy"))
     printed = _history(rows, F.concat_ws("|", token, F.col("kwh_total_te").cast("bigint").cast("string")))
-    latest = F.slice("lines", 1, 13)
-    tokens = F.array_join(F.transform(latest, lambda x: F.split_part(x, F.lit("|"), F.lit(1))), " ")
-    values = F.array_join(F.transform(latest, lambda x: F.split_part(x, F.lit("|"), F.lit(2))), " ")
+    tokens = F.array_join(F.transform("lines", lambda x: F.split_part(x, F.lit("|"), F.lit(1))), " ")
+    values = F.array_join(F.transform("lines", lambda x: F.split_part(x, F.lit("|"), F.lit(2))), " ")
     return printed.select(*_page_key(), _join_lines(
         F.col("uc"), F.concat(F.lit("MUNICIPIO DE "), F.col("nome")), F.col("endereco"), "Data de Emissao: 28/01/2001",
         F.concat(F.lit("Competencia "), F.col("referencia")),

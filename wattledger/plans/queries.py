@@ -1547,40 +1547,64 @@ def discovery_summary(spark, folder):
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY ix DESC) AS rn FROM master) WHERE rn = 1)"""
 
 
-def _expanded_sql(value: str = "kwh_total_te") -> str:
-    return f"""
-SELECT l.uc, printf('%02d/%04d', (l.ix - i - 1) % 12 + 1, (l.ix - i - 1) // 12) AS referencia, coalesce(m.{value}, 0) AS kwh_total_te,
-       CASE WHEN i = 0 THEN coalesce(l.total_fatura_rs, 0) END AS total_fatura_rs
-FROM latest l CROSS JOIN range(13) t(i) LEFT JOIN master m ON m.custkey = l.custkey AND m.ix = l.ix - i WHERE l.categoria IN ('B3', 'IP')"""
+_FILLED_MONTHS = """filled AS (SELECT l.*, i, printf('%02d/%04d', (l.ix - i - 1) % 12 + 1, (l.ix - i - 1) // 12) AS month,
+  m.kwh_total_te AS kwh, m.demanda_hp_kw AS d_hp, m.demanda_fhp_kw AS d_fhp, m.consumo_hp_kwh AS c_hp, m.consumo_fhp_kwh AS c_fhp
+  FROM latest l CROSS JOIN range(13) t(i) LEFT JOIN master m ON m.custkey = l.custkey AND m.ix = l.ix - i)"""
+_BILLED_ONCE = "CASE WHEN i = 0 THEN coalesce(total_fatura_rs, 0) END AS total_fatura_rs"
 
 
-@query("extract_history", with_base(MASTER, f", {_LATEST} {_expanded_sql()}"))
+@query("extract_history", with_base(MASTER, f""", {_LATEST}, {_FILLED_MONTHS}
+SELECT uc, month AS referencia, categoria, coalesce(kwh, 0) AS kwh_total_te, {_BILLED_ONCE} FROM filled WHERE categoria IN ('B3', 'IP')
+UNION ALL SELECT uc, month, categoria, CASE WHEN i = 0 THEN consumo_hp_kwh + consumo_fhp_kwh ELSE 0 END, {_BILLED_ONCE} FROM filled WHERE categoria = 'A4'
+UNION ALL SELECT uc, referencia, categoria, NULL, coalesce(total_fatura_rs, 0) FROM latest WHERE categoria = 'OUTROS'"""))
 def extract_history(spark, folder):
     out = EX.extract_pages(printed(B.history_pages(spark, folder)), expand=True)
-    return out.select("uc", "referencia", "kwh_total_te", "total_fatura_rs")
+    return out.select("uc", "referencia", "categoria", "kwh_total_te", "total_fatura_rs")
 
 
-@query("extract_unlabelled_a4", with_base(MASTER, f""", {_LATEST}
-SELECT l.uc, m.referencia, coalesce(m.demanda_hp_kw, 0) AS demanda_hp_kw, coalesce(m.demanda_fhp_kw, 0) AS demanda_fhp_kw, m.consumo_hp_kwh, m.consumo_fhp_kwh, m.consumo_hp_kwh + m.consumo_fhp_kwh AS kwh_total_te,
+@query("extract_repeated_months", with_base(MASTER, f""", shown AS (SELECT * FROM master WHERE month(reference_date) % 3 <> 0),
+top AS (SELECT custkey, max(ix) AS last FROM shown GROUP BY 1), {_LATEST}
+SELECT l.uc, printf('%02d/%04d', (last - i - 1) % 12 + 1, (last - i - 1) // 12) AS referencia, l.categoria, coalesce(m.kwh_total_te, 0) AS kwh_total_te, NULL::double AS demanda_hp_kw
+FROM latest l JOIN top USING (custkey) CROSS JOIN range(13) t(i) LEFT JOIN shown m ON m.custkey = l.custkey AND m.ix = last - i WHERE l.categoria IN ('B3', 'IP')
+UNION ALL SELECT l.uc, l.referencia, l.categoria, l.kwh_total_te, NULL FROM latest l WHERE l.categoria IN ('B3', 'IP') AND l.custkey NOT IN (SELECT custkey FROM top)
+UNION ALL SELECT l.uc, m.referencia, 'A4', m.consumo_hp_kwh + m.consumo_fhp_kwh, coalesce(m.demanda_hp_kw, 0) FROM latest l JOIN shown m USING (custkey) WHERE l.categoria = 'A4'
+UNION ALL SELECT uc, referencia, categoria, NULL, NULL FROM latest WHERE categoria = 'OUTROS'"""))
+def extract_repeated_months(spark, folder):
+    """Histories with repeated and missing months: the last row of a month counts on blocks, the first on medium-voltage pages."""
+    out = EX.extract_pages(printed(B.repeated_pages(spark, folder)), expand=True)
+    return out.select("uc", "referencia", "categoria", "kwh_total_te", "demanda_hp_kw")
+
+
+@query("extract_series", with_base(MASTER, f""", {_LATEST}, {_FILLED_MONTHS}
+SELECT uc, month AS referencia, coalesce(d_hp, 0) AS demanda_hp_kw, coalesce(d_fhp, 0) AS demanda_fhp_kw, coalesce(c_hp, 0) AS consumo_hp_kwh, coalesce(c_fhp, 0) AS consumo_fhp_kwh FROM filled WHERE categoria = 'A4'"""))
+def extract_series(spark, folder):
+    """Histories printed as four series of 13 numbers."""
+    out = EX.extract_pages(printed(B.series_pages(spark, folder)), expand=True)
+    return out.select("uc", "referencia", "demanda_hp_kw", "demanda_fhp_kw", "consumo_hp_kwh", "consumo_fhp_kwh")
+
+
+@query("extract_unlabelled_a4", with_base(MASTER, f""", {_LATEST}, {_FILLED_MONTHS}
+SELECT l.uc, m.referencia, l.categoria, coalesce(m.demanda_hp_kw, 0) AS demanda_hp_kw, coalesce(m.demanda_fhp_kw, 0) AS demanda_fhp_kw, m.consumo_hp_kwh, m.consumo_fhp_kwh, m.consumo_hp_kwh + m.consumo_fhp_kwh AS kwh_total_te,
        CASE WHEN m.ix = l.ix THEN coalesce(l.total_fatura_rs, 0) END AS total_fatura_rs, l.nome, l.endereco, 'Poder publico Municipal' AS origem, l.tipo_fornecimento, 'ENEL_A4' AS provider_layout
-FROM latest l JOIN master m USING (custkey) WHERE l.categoria = 'A4'"""))
+FROM latest l JOIN master m USING (custkey) WHERE l.categoria = 'A4'
+UNION ALL SELECT uc, month, categoria, NULL, NULL, NULL, NULL, coalesce(kwh, 0), {_BILLED_ONCE}, 'MUNICIPIO DE ' || nome, endereco, CASE WHEN categoria = 'IP' THEN 'Iluminacao Publica' ELSE '' END, tipo_fornecimento, 'ENEL_A4' FROM filled WHERE categoria IN ('B3', 'IP')"""))
 def extract_unlabelled_a4(spark, folder):
-    out = EX.extract_pages(printed(B.fiscal_a4_pages(spark, folder)), expand=True)
-    return out.select("uc", "referencia", "demanda_hp_kw", "demanda_fhp_kw", "consumo_hp_kwh", "consumo_fhp_kwh", "kwh_total_te", "total_fatura_rs",
+    out = EX.extract_pages(printed(B.fiscal_pages(spark, folder)), expand=True)
+    return out.select("uc", "referencia", "categoria", "demanda_hp_kw", "demanda_fhp_kw", "consumo_hp_kwh", "consumo_fhp_kwh", "kwh_total_te", "total_fatura_rs",
                       "nome", "endereco", "origem", "tipo_fornecimento", "provider_layout")
 
 
 @query("extract_unlabelled_b", with_base(MASTER, f""", {_LATEST}
-SELECT uc, referencia, categoria, CASE categoria WHEN 'IP' THEN 'B4A' ELSE 'B3' END AS subgrupo, kwh_total_te, coalesce(total_fatura_rs, 0) AS total_fatura_rs, 'MUNICIPIO DE ' || nome AS nome, endereco,
-       'HISTORICO_CONSUMO_KWH' AS audit_kwh_source FROM latest WHERE categoria IN ('B3', 'IP')"""))
+SELECT uc, referencia, categoria, CASE categoria WHEN 'IP' THEN 'B4A' WHEN 'A4' THEN 'A4' ELSE 'B3' END AS subgrupo, CASE WHEN categoria = 'A4' THEN consumo_hp_kwh + consumo_fhp_kwh ELSE kwh_total_te END AS kwh_total_te, coalesce(total_fatura_rs, 0) AS total_fatura_rs,
+       CASE WHEN categoria = 'A4' THEN nome ELSE 'MUNICIPIO DE ' || nome END AS nome, endereco, CASE WHEN categoria = 'A4' THEN '' ELSE 'HISTORICO_CONSUMO_KWH' END AS audit_kwh_source FROM latest WHERE categoria <> 'OUTROS'"""))
 def extract_unlabelled_b(spark, folder):
-    out = EX.extract_pages(printed(B.fiscal_b_pages(spark, folder)))
+    out = EX.extract_pages(printed(B.fiscal_pages(spark, folder)))
     return out.select("uc", "referencia", "categoria", "subgrupo", "kwh_total_te", "total_fatura_rs", "nome", "endereco", "audit_kwh_source")
 
 
 @query("extract_grouped", with_base(MASTER, f""", {_LATEST}
 SELECT uc, '01/2001' AS referencia, 'B3' AS categoria, kwh_total_te, coalesce(total_fatura_rs, 0) AS total_fatura_rs, 'MUNICIPIO DE ' || nome AS nome, endereco || ' Competencia ' || referencia AS endereco, 'TEXTO_CONSUMO_TE' AS audit_kwh_source, 'NEOENERGIA_ELEKTRO' AS provider_layout
-FROM latest WHERE categoria IN ('B3', 'IP')"""))
+FROM latest"""))
 def extract_grouped(spark, folder):
     out = EX.extract_pages(printed(B.grouped_pages(spark, folder)))
     return out.select("uc", "referencia", "categoria", "kwh_total_te", "total_fatura_rs", "nome", "endereco", "audit_kwh_source", "provider_layout")
@@ -1602,13 +1626,23 @@ def extract_two_tabs(spark, folder):
 
 
 @query("field_report", with_base(MASTER, f""", {_LATEST},
-fields AS (SELECT custkey, uc, referencia, categoria, kwh_total_te FROM latest WHERE categoria IN ('B3', 'IP'))
+fields AS (SELECT *, categoria IN ('B3', 'IP') AND kwh_total_te > 0 AS has_kwh FROM latest)
 SELECT {_PAGE}, 'uc' AS field, true AS found, 'UC' AS source_pattern, uc AS value FROM fields
 UNION ALL SELECT {_PAGE}, 'reference', true, 'REFERENCIA', referencia FROM fields
 UNION ALL SELECT {_PAGE}, 'categoria', true, 'CLASSIFICACAO_HEADER', categoria FROM fields
+UNION ALL SELECT {_PAGE}, 'kwh', kwh_total_te > 0 AND categoria <> 'A4', CASE WHEN categoria = 'A4' OR kwh_total_te <= 0 THEN '' WHEN categoria = 'IP' THEN 'ITEM_CONSUMO_IP_TE_QTD' ELSE 'ITEM_CONSUMO_TE_QTD' END,
+  CASE WHEN categoria <> 'A4' AND kwh_total_te > 0 THEN cast(kwh_total_te AS varchar) END FROM fields
 UNION ALL SELECT {_PAGE}, 'demand', false, '', NULL FROM fields"""))
 def field_report(spark, folder):
-    return EX.field_report(B.history_pages(spark, folder)).filter("field <> 'kwh'")
+    return EX.field_report(B.history_pages(spark, folder))
+
+
+@query("field_report_detailed", with_base(MASTER, f""", {_LATEST}
+SELECT {_PAGE}, 'uc' AS field, true AS found, CASE custkey % 4 WHEN 0 THEN 'UC' WHEN 1 THEN 'INSTALACAO' WHEN 2 THEN 'UNIDADE_CONSUMIDORA' ELSE 'NUMERO_CLIENTE' END AS source_pattern, uc AS value FROM latest
+UNION ALL SELECT {_PAGE}, 'demand', true, CASE custkey % 3 WHEN 0 THEN 'DEMANDA_CONTRATADA' WHEN 1 THEN 'DEMANDA_REGISTRADA' ELSE 'DEMANDA_MEDIDA' END, cast((custkey % 90 + 10)::double AS varchar) FROM latest"""))
+def field_report_detailed(spark, folder):
+    """Unit and demand as four and three labels print them."""
+    return EX.field_report(B.demand_pages(spark, folder)).filter("field IN ('uc', 'demand')")
 
 
 @query("discovery_lines", with_base(MASTER, f"""
