@@ -160,6 +160,40 @@ def map_items(raw: DataFrame) -> DataFrame:
     return normalize_items(rows.select("reference_mwp_ac", "reference_dc_kwp", "sheet_pos", "row_pos", "sheet_name", "r.*"))
 
 
+_MAP_NUMBERS = ("reference_mwp_ac", "reference_dc_kwp", "base_quantity", "base_price_sem", "base_price_com")
+_MAP_TEXTS = ("item_code", "description", "scaling_rule", "rounding", "lookup_key")
+_MAP_FLAGS = ("has_quantity", "has_price_sem", "has_price_com", "default_enabled")
+
+
+def drifting_items(maps: DataFrame, text: str) -> DataFrame:
+    """Rows of line-item maps in JSON text whose fields change their type from row to row; all other columns stay.
+
+    The map is read as a variant, so one odd value voids no other. `unreadable` names the fields of a row that are there but have
+    no reading (they get their default), `row` where the row is no object and `map` where the text is no map.
+    """
+    kept = [F.col(f"`{c}`") for c in maps.columns if c != text]
+    sheets = maps.select(*kept, F.posexplode_outer(F.try_variant_get(F.try_parse_json(text), "$.sheets", "array<variant>")).alias("sheet_pos", "s"), F.try_parse_json(text).alias("m"))
+    rows = sheets.select("*", F.try_variant_get("s", "$.sheet_name", "string").alias("sheet_name"), F.posexplode_outer(F.try_variant_get("s", "$.rows", "array<variant>")).alias("row_pos", "r"))
+
+    def value(name: str, kind: str) -> Column:
+        return F.try_variant_get("m" if name.startswith("reference") else "r", f"$.{name}", kind)
+
+    number = {n: locale_number(value(n, "string")) for n in _MAP_NUMBERS}
+    odd = [F.when(value(n, "variant").isNotNull() & ~F.is_variant_null(value(n, "variant")) & (
+        F.schema_of_variant(value(n, "variant")).startswith("OBJECT") | F.schema_of_variant(value(n, "variant")).startswith("ARRAY") | number[n].isNull()), F.lit(n)) for n in _MAP_NUMBERS]
+    is_object = F.coalesce(F.schema_of_variant("r").startswith("OBJECT"), F.lit(False))
+    unreadable = F.when(F.col("s").isNull(), F.array(F.lit("map"))).when(~is_object, F.array(F.lit("row"))).otherwise(F.array_compact(F.array(*odd)))
+    plain = rows.select(
+        *kept, "sheet_pos", "row_pos", "sheet_name", unreadable.alias("unreadable"), *[number[n].alias(n) for n in _MAP_NUMBERS],
+        *[value(n, "string").alias(n) for n in _MAP_TEXTS], *[value(n, "boolean").alias(n) for n in _MAP_FLAGS])
+    blank = {n: F.when(F.array_contains("unreadable", "row") | F.array_contains("unreadable", "map"), F.lit(None)).otherwise(F.coalesce(n, F.lit(d))).alias(n) for n, d in (
+        ("base_quantity", 0.0), ("base_price_sem", 0.0), ("base_price_com", 0.0), ("item_code", ""), ("description", ""), ("scaling_rule", "fixed"), ("rounding", ""),
+        ("lookup_key", ""), ("has_quantity", True), ("has_price_sem", True), ("has_price_com", True), ("default_enabled", True))}
+    reference = F.coalesce("reference_mwp_ac", F.lit(V.DEFAULT_REFERENCE_MWP))
+    return plain.select(*kept, "sheet_pos", "row_pos", "sheet_name", "unreadable", *blank.values(), reference.alias("reference_mwp_ac"),
+                        F.coalesce("reference_dc_kwp", reference * 1000.0).alias("reference_dc_kwp"))
+
+
 def normalize_items(rows: DataFrame) -> DataFrame:
     """Defaults of the map fields."""
     def get(name: str, default, dtype: str) -> Column:

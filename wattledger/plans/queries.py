@@ -30,6 +30,7 @@ from wattledger.operators import quality as QU
 from wattledger.operators import rules as RU
 from wattledger.operators import scenario as SC
 from wattledger.operators import sizing as SZ
+from wattledger.operators.rows import numbered
 from wattledger.plans import binding as B
 from wattledger.plans.check_sql import COSTS, ITEMS, LINES, MASTER, MONTHS, mean, ptbr, slots, total, total_or_null, with_base
 from wattledger.sources import readers as RD
@@ -323,11 +324,13 @@ def audit_blank_counts(spark, folder):
     return AU.blank_counts(df)
 
 
-@query("audit_page_order", with_base(MASTER, "SELECT uc, min(page_first_seen)::double AS first_page FROM master GROUP BY 1"))
+@query("audit_page_order", with_base(MASTER, """, f AS (SELECT uc, min(page_first_seen)::double AS first_page FROM master WHERE custkey % 7 <> 0 GROUP BY 1)
+SELECT uc, row_number() OVER (ORDER BY first_page NULLS LAST, uc) - 1 AS position FROM (SELECT DISTINCT uc FROM master) LEFT JOIN f USING (uc)"""))
 def audit_page_order(spark, folder):
-    df = staged_master(spark, folder, "uc", "page_first_seen")
-    table = df.select("uc").distinct()
-    return AU.order_by_first_page(table, df).join(AU.first_page_per_uc(df), "uc")
+    """Units in the order of their first pages, of which some are not known, each with its place."""
+    df = staged_master(spark, folder, "uc", "page_first_seen", "custkey")
+    ordered = AU.order_by_first_page(df.select("uc").distinct(), df.filter("custkey % 7 <> 0"))
+    return numbered(ordered, "position").select("uc", "position")
 
 
 @query("dedupe_by_content", """
@@ -516,10 +519,12 @@ def mean_month_totals(spark, folder):
 
 
 @query("reconciliation", with_base(MASTER, f"""
-SELECT {total('kwh_total_te')} AS master_total, {total('kwh_total_te')} AS template_total, 0.0::double AS difference
-FROM master, last WHERE last - ix BETWEEN 0 AND 12"""))
+, w AS (SELECT uc, kwh_total_te, last - ix AS slot FROM master, last WHERE last - ix BETWEEN 0 AND 12), units AS (SELECT uc, {slots('kwh_total_te')} FROM w GROUP BY 1),
+t AS (SELECT (SELECT {total('kwh_total_te')} FROM w) AS master_total, (SELECT {total(mean() + ' * 13.0')} FROM units) AS template_total)
+SELECT master_total, round(template_total, 3) AS template_total, round(master_total - template_total, 3) AS difference FROM t"""))
 def reconciliation(spark, folder):
-    return MX.reconciliation(staged_master(spark, folder, *_TABLE_COLUMNS))
+    out = MX.reconciliation(staged_master(spark, folder, *_TABLE_COLUMNS))
+    return out.withColumns({n: F.round(n, 3) for n in ("template_total", "difference")})
 
 
 _YIELDS = "(VALUES ('Conservador', 1250), ('Base', 1350), ('Otimista', 1450)) s(cenario, produtividade)"
@@ -544,14 +549,13 @@ def plant_scenarios_cycle(spark, folder):
     return out.select("categoria", "cenario", *big("produtividade"), "consumo_kwh", "kwp", "mwp")
 
 
-@query("sheet_split", with_base(MASTER, "SELECT 'GERAL' AS sheet, count(DISTINCT uc) AS ucs FROM master UNION ALL SELECT categoria, count(DISTINCT uc) FROM master WHERE categoria <> 'OUTROS' GROUP BY 1"))
+@query("sheet_split", with_base(MASTER, f"""
+, u AS (SELECT uc, min(categoria) AS categoria, min(nome) AS nome FROM master GROUP BY 1)
+SELECT 'GERAL' AS sheet, uc, categoria, nome FROM u UNION ALL SELECT categoria, uc, categoria, nome FROM u WHERE categoria <> 'OUTROS'"""))
 def sheet_split(spark, folder):
+    """The units on each sheet of the workbook, the general one included."""
     sheets = MX.template_sheets(MX.uc_template(staged_master(spark, folder, *_TABLE_COLUMNS)))
-    parts = [df.agg(F.count(F.lit(1)).alias("ucs")).select(F.lit(name).alias("sheet"), "ucs") for name, df in sheets.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("sheet"), "uc", "categoria", "nome") for name, df in sheets.items()])
 
 
 # =================================================================== cost analytics
@@ -1230,6 +1234,44 @@ def audit_log(spark, folder):
     return WR.audit_log(spark, path)
 
 
+_DIRTY = """lines AS (SELECT o_orderkey AS k, lpad(o_custkey::varchar, 10, '0') AS uc, strftime(o_orderdate, '%m/%Y') AS referencia, o_totalprice AS kwh FROM orders)"""
+
+
+@query("contract_rejects", f"""WITH {_DIRTY}
+SELECT uc, referencia, kwh, NULL AS unreadable FROM lines WHERE k % 7 > 2
+UNION ALL SELECT uc, referencia, NULL, 'kwh_total_te' FROM lines WHERE k % 7 = 0
+UNION ALL SELECT uc, referencia, NULL, 'page_first_seen, kwh_total_te' FROM lines WHERE k % 7 = 1
+UNION ALL SELECT uc, referencia, NULL, '' FROM lines WHERE k % 7 = 2""")
+def contract_rejects(spark, folder):
+    """A contract of text lines, of which some have a value that is no number, two of them, or a field too many."""
+    k, kwh = c("o_orderkey"), c("o_totalprice").cast("string")
+    lines = B.table(spark, folder, "orders").select(
+        k, F.lpad(c("o_custkey").cast("string"), 10, "0").alias("uc"), F.date_format("o_orderdate", "MM/yyyy").alias("referencia"),
+        F.when(k % 7 == 1, "first").otherwise("1").alias("page_first_seen"), F.when(k % 7 == 0, "n/d").when(k % 7 == 1, "-").otherwise(kwh).alias("kwh_total_te"))
+    path = f"{checkpoint_folder(spark)}/contract-{uuid.uuid4().hex}.csv"
+    lines.filter(k % 7 != 2).drop("o_orderkey").write.option("header", True).csv(path)
+    lines.filter(k % 7 == 2).drop("o_orderkey").withColumn("extra", F.lit("extra")).write.mode("append").option("header", True).csv(path)
+    rows, rejects = RD.contract_rows(spark, path, "uc string, referencia string, page_first_seen int, kwh_total_te double")
+    field = lambda n: F.split("record", ",")[n]
+    return rows.select("uc", "referencia", c("kwh_total_te").alias("kwh"), F.lit(None).cast("string").alias("unreadable")).unionByName(
+        rejects.select(field(0).alias("uc"), field(1).alias("referencia"), F.lit(None).cast("double").alias("kwh"), F.array_join("unreadable", ", ").alias("unreadable")))
+
+
+@query("drifting_map", """
+SELECT 'SHEET ' || (p_partkey % 4) AS sheet_name, p_partkey AS row_pos, 'I' || p_partkey AS item_code,
+  CASE WHEN p_partkey % 5 = 3 THEN 0.0 ELSE p_size END::double AS base_quantity, CASE WHEN p_partkey % 5 = 3 THEN 'base_quantity' ELSE '' END AS unreadable FROM part WHERE p_partkey % 5 < 4
+UNION ALL SELECT 'SHEET ' || (p_partkey % 4), p_partkey, NULL, NULL, 'row' FROM part WHERE p_partkey % 5 = 4""")
+def drifting_map(spark, folder):
+    """A line-item map whose quantities are numbers, texts, missing or nested, and whose rows are not always objects."""
+    k, size = c("p_partkey"), c("p_size").cast("string")
+    quantity = F.when(k % 5 == 0, size).when(k % 5 == 1, F.concat(F.lit('"'), size, F.lit(',0"'))).when(k % 5 == 2, F.concat(size, F.lit(".0"))).otherwise('{"min": 1}')
+    row = F.when(k % 5 == 4, '"comment"').otherwise(F.concat(F.lit('{"item_code": "I'), k.cast("string"), F.lit('", "base_quantity": '), quantity, F.lit("}")))
+    text = F.concat(F.lit('{"sheets": [{"sheet_name": "SHEET '), (k % 4).cast("string"), F.lit('", "rows": ['), row, F.lit("]}]}"))
+    maps = B.table(spark, folder, "part").select(k.alias("map"), text.alias("text"))
+    found = SC.drifting_items(maps, "text")
+    return found.select("sheet_name", c("map").alias("row_pos"), "item_code", "base_quantity", F.array_join("unreadable", ", ").alias("unreadable"))
+
+
 @query("scenario_defaults", """
 SELECT name, 'ECONOMY' AS pricing_version, (SELECT arg_min(p_name, p_partkey) FROM part) AS module_model, (SELECT arg_min(s_name, s_suppkey) FROM supplier) AS inverter_model, CASE WHEN name = 'Scenario B' THEN 1.3 ELSE 1.2 END::double AS dc_ac_ratio, 28::bigint AS modules_per_string
 FROM (VALUES ('Scenario A'), ('Scenario B'), ('Scenario C')) v(name)""")

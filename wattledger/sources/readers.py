@@ -11,6 +11,7 @@ from wattledger.functions.columns import missing_columns
 from wattledger.functions.text import strip
 from wattledger.operators import catalog
 from wattledger.operators.rows import numbered
+from wattledger.sources.staging import materialize
 
 PAGE_SCHEMA = "pdf_source string, page_no int, text string"
 _CONTRACT_FORMATS = (".csv", ".tsv", ".parquet")
@@ -49,6 +50,23 @@ def contract(
     return (reader.schema(schema) if schema else reader).csv(paths)
 
 
+def contract_rows(spark: SparkSession, path: str | list[str], schema: str, separator: str = ",") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of contract text files: every record is in one of the two.
+
+    A record with values that do not fit `schema` (simple types), or with fields too many or too few, is a reject: its file,
+    its text and the columns that could not be read (none where the number of fields is wrong). Files are read once.
+    """
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    reader = spark.read.option("header", True).option("sep", separator).option("escape", '"').option("mode", "PERMISSIVE")
+    typed = reader.option("columnNameOfCorruptRecord", "__record").schema(f"{schema}, __record string").csv(path)
+    staged = materialize(typed.select("*", F.col("_metadata.file_path").alias("file")))
+    texts = F.from_csv("__record", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "escape": '"'})
+    unreadable = F.array_compact(F.array(*[
+        F.when((F.trim(F.col(f"texts.`{n}`")) != "") & F.col(f"`{n}`").isNull(), F.lit(n)) for n in names]))
+    rejects = staged.filter("__record is not null").withColumn("texts", texts).select("file", F.col("__record").alias("record"), unreadable.alias("unreadable"))
+    return staged.filter("__record is null").select(*[F.col(f"`{n}`") for n in names]), rejects
+
+
 def union_tables(frames: list[DataFrame], categories: list[str] | None = None) -> DataFrame:
     """Union by name, chosen categories, exact duplicate rows once."""
     out = frames[0]
