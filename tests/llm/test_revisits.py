@@ -11,12 +11,12 @@ SCHEMA = "record_id long, url string, captured long, kind string, etag string, l
 
 
 def plain(rows):
-    place = lambda u: "a.com/x" if u and "a.com" in u.lower() else u or ""
+    place = lambda u: "a.com/x" if u and "a.com" in u.lower() else u or None
     out = {}
     for r in rows:
         if r[3] != "revisit" or r[2] is None:
             continue
-        earlier = [s for s in rows if s[3] == "response" and s[2] is not None and s[2] < r[2] and place(s[1]) == place(r[1])]
+        earlier = [s for s in rows if s[3] == "response" and s[2] is not None and s[2] < r[2] and place(r[1]) and place(s[1]) == place(r[1])]
         if not earlier:
             out[r[0]] = ("orphan", None, None)
             continue
@@ -37,11 +37,21 @@ def test_hot_url_ties_and_nulls(spark):
         for k in range(500)
     ]
     for ranges in (1, 7, 256):
-        got = {r.record_id: (r.outcome, r.source_id, r.headers) for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA), ranges).collect()}
+        got = {r.record_id: (r.outcome, r.source_id, r.headers) for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA), ranges, R.canonical_url).collect()}
         assert got == plain(rows)
     assert R.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_an_outlying_time_leaves_the_ranges_of_a_hot_url_even(spark):
+    rows = [(k, "http://hot.com/x", 0 if k == 0 else 10**12 + k, ("response", "revisit")[k % 2], f'"{k // 50}"', None, f"d{k}", {}, 0) for k in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r.record_id: r.source_id for r in R.resolve_revisits(df, 16).collect()}
+    assert out == {k: k - 1 for k in range(1, 4000, 2)}
+    cuts = df.agg(R.F.percentile_approx("captured", [k / 16 for k in range(1, 16)], 160).alias("c")).first().c
+    per_range = [sum(a <= r[2] < b for r in rows) for a, b in zip([-1, *sorted(set(cuts))], [*sorted(set(cuts)), 10**13], strict=True)]
+    assert max(per_range) < 4 * 4000 / 16
+
+
 def test_query_and_sql(spark, folder):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
@@ -54,7 +64,7 @@ def test_different_resources_do_not_meet(spark):
     rows = [(2 * k + again, u, 10 + again * 10 + k, ("response", "revisit")[again], None, None, f"d{k}", {}, 0) for k, u in enumerate(urls) for again in (0, 1)]
     rows += [(50, "HTTPS://WWW.A.com/item/?utm_source=x&id=2#f", 90, "revisit", None, None, None, None, 0), (51, "http://a.com/s?b=2&a=1&a=0", 91, "response", None, None, "s", {}, 0),
              (52, "http://a.com/s?a=1&gclid=7&a=0&b=2", 92, "revisit", None, None, None, {}, 0), (53, "http://a.com/s?a=0&a=1&b=2", 93, "revisit", None, None, None, {}, 0)]
-    got = {r.record_id: r.source_id for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA), place=R.resource_url).collect()}
+    got = {r.record_id: r.source_id for r in R.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {2 * k + 1: 2 * k for k in range(len(urls))} | {50: 2, 52: 51, 53: None}
 
 

@@ -6,6 +6,7 @@ import re
 from functools import lru_cache
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattledger.llm import private_data as P
 from wattledger.llm import secrets as S
@@ -156,3 +157,10 @@ def test_reliabilities_find_the_bad_labeler():
     posterior = P.reliabilities([("ssn", v, sum(n)) for v, n in counts.items()])
     right = sum(n[posterior["ssn", v] > 0.5] for v, n in counts.items())
     assert right / 4000 > 0.95
+
+
+def test_positions_in_a_text_of_many_matches(spark):
+    text = " é".join(f"a{k}@b.com" + "x" * (k % 7) for k in range(60_000))
+    found = spark.createDataFrame([(text,)], "text string").select(P.spans_of(F.col("text"), P.PATTERNS["email"], "@").alias("s")).first().s
+    want = [(m.group(), m.start()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    assert [(r.value, r.start) for r in found] == want and len(want) == 60_000

@@ -25,6 +25,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("ssn", "iban", "name")
 LABELERS = ("shape", "gazetteer", "cue", "against", "border")
 ACCEPT = 0.5
+#: Lengths that are added up at once when positions are counted.
+SUM_BLOCK = 64
 
 # The base patterns. A guard keeps a search from starting inside a run that was tried from its start
 # (unless the last match ended there), and possessive repeats keep it from going back; both leave matches as they are.
@@ -65,25 +67,34 @@ def spans_of(text: Column, pattern: str, hint: str | None = None) -> Column:
     """Array of (value, start, left, right) of all matches: start in code points, and the text before and after.
 
     The pieces between the matches give the positions, as Spark's expressions return no offsets: a match starts after
-    all earlier pieces and matches. One fold over both, linear in the number of matches but for copies of references.
+    all earlier pieces and matches. Their lengths are summed by blocks first, so a match adds up at most a block of
+    lengths, and no array is copied per match.
     """
     element = "array<struct<value string, start bigint, left string, right string>>"
-    nothing = F.array().cast(element)
+    nothing, zero, block = F.array().cast(element), F.lit(0).cast("long"), F.lit(SUM_BLOCK)
+
+    def total(lengths: Column, start: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(lengths, start + 1, count), zero, lambda a, b: a + b)
 
     def place(both: Column) -> Column:
         steps = F.sequence(F.lit(0), F.size(both["m"]) - 1)
-        empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        lengths = F.transform(steps, lambda i: (F.length(F.get(both["g"], i)) + F.length(F.get(both["m"], i))).cast("long"))
+
+        def sums(each: Column) -> Column:
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / block).cast("int")), lambda k: total(each, k * block, block))
+            before = let(blocks, lambda s: F.transform(s, lambda _, k: total(s, F.lit(0), k)))
+            return F.struct(each.alias("each"), before.alias("before"))
 
-        def step(so_far: Column, i: Column) -> Column:
-            start = so_far["at"] + F.length(F.get(both["g"], i))
-            return F.struct((start + F.length(F.get(both["m"], i))).alias("at"), F.array_append(so_far["starts"], start).alias("starts"))
+        def one(s: Column) -> Column:
+            def start(i: Column) -> Column:
+                own = F.floor(i / block).cast("int")
+                return F.get(s["before"], own) + total(s["each"], own * block, i - own * block) + F.length(F.get(both["g"], i))
 
-        def one(starts: Column) -> Column:
             return F.transform(steps, lambda i: F.struct(
-                F.get(both["m"], i).alias("value"), F.get(starts, i).alias("start"), F.right(F.get(both["g"], i), F.lit(40)).alias("left"),
+                F.get(both["m"], i).alias("value"), start(i).alias("start"), F.right(F.get(both["g"], i), F.lit(40)).alias("left"),
                 F.left(F.get(both["g"], i + 1), F.lit(40)).alias("right")))
 
-        return let(F.aggregate(steps, empty, step, lambda x: x["starts"]), one)
+        return let(let(lengths, sums), one)
 
     def pieces(found: Column) -> Column:
         both = F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g"))

@@ -41,20 +41,24 @@ def resource_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
-def resolve_revisits(records: DataFrame, ranges: int = RANGES, place: Callable[[Column], Column] = canonical_url) -> DataFrame:
+def resolve_revisits(records: DataFrame, ranges: int = RANGES, place: Callable[[Column], Column] = resource_url) -> DataFrame:
     """record_id, outcome, source_id, digest, headers of every revisit.
 
     `records` has record_id, url, captured (long), kind (response or revisit), etag, last_modified, digest and headers (map,
     lower-case names). The source is the latest response before the revisit, ties by the larger id. It must agree in
     the entity tag (weak comparison) where both have one, else in the date where both have one; with neither it stands.
     Outcome: resolved, mismatch (source_id says with what), or orphan. A resolved revisit has its source's digest
-    and headers, with the permitted ones of its own put over them. `place` says which URLs are one. Records without a time, and of other kinds, take no part.
+    and headers, with the permitted ones of its own put over them. `place` says which URLs are one; a record whose URL is null
+    or has an empty key is no other's, so such revisits are orphans. Records without a time, and of other kinds, take no part.
+    Repeated record ids are records of their own. Ranges of time are cut at quantiles, so a few outlying times leave them even.
     """
+    key = place(F.col("url"))
     rows = records.filter("captured is not null and kind in ('response', 'revisit')").select(
-        place(F.col("url")).alias("place"), "record_id", "captured", "kind", "etag", "last_modified", "digest", "headers")
-    ends = rows.agg(F.min("captured").alias("first"), F.max("captured").alias("last"))
-    rows = rows.crossJoin(F.broadcast(ends)).withColumn(
-        "range", F.floor((F.col("captured") - F.col("first")) * ranges / (F.col("last") - F.col("first") + 1)).cast("int")).drop("first", "last")
+        F.when(F.coalesce(key, F.lit("")) == "", F.concat(F.lit("\0"), F.col("record_id").cast("string"), F.lit("\0"), "kind")).otherwise(key).alias("place"), "record_id", "captured", "kind", "etag", "last_modified", "digest", "headers")
+    # Any cuts give the same result; they are fixed here, as the plan reads the records more than once.
+    cuts = rows.agg(F.percentile_approx("captured", [k / ranges for k in range(1, ranges)] or [0.5], 10 * ranges).alias("cuts")).first()["cuts"] or []
+    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))[: ranges - 1]])
+    rows = rows.withColumn("range", F.size(F.filter(bounds, lambda x: x <= F.col("captured"))) if cuts else F.lit(0))
     full = F.when(F.col("kind") == "response", F.struct("captured", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
     rows = rows.withColumn("full", full)
     left = rows.filter("kind = 'response'").groupBy("place", "range").agg(F.max("full").alias("kept"))
@@ -130,9 +134,9 @@ def listed_headers(found: DataFrame) -> DataFrame:
 
 def captures_report(pages: DataFrame) -> DataFrame:
     """As `revisit_report`, of every revisit among six captures of each page, where URLs are one only if they are one resource."""
-    return listed_headers(resolve_revisits(captures_of_pages(pages), place=resource_url))
+    return listed_headers(resolve_revisits(captures_of_pages(pages)))
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
     """record_id, outcome, source_id, digest, headers (text, by name) of every revisit among the records of `pages`."""
-    return listed_headers(resolve_revisits(records_of_pages(pages)))
+    return listed_headers(resolve_revisits(records_of_pages(pages), place=canonical_url))
