@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of time; a URL with all records of a table still spreads over so many windows.
 RANGES = 256
+#: Cuts between ranges that are looked at together.
+STEP = 16
 #: The headers that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Names of query parameters that say where a visitor came from, not what is asked for.
@@ -57,8 +59,17 @@ def resolve_revisits(records: DataFrame, ranges: int = RANGES, place: Callable[[
         F.when(F.coalesce(key, F.lit("")) == "", F.concat(F.lit("\0"), F.col("record_id").cast("string"), F.lit("\0"), "kind")).otherwise(key).alias("place"), "record_id", "captured", "kind", "etag", "last_modified", "digest", "headers")
     # Any cuts give the same result; they are fixed here, as the plan reads the records more than once.
     cuts = rows.agg(F.percentile_approx("captured", [k / ranges for k in range(1, ranges)] or [0.5], 10 * ranges).alias("cuts")).first()["cuts"] or []
-    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))[: ranges - 1]])
-    rows = rows.withColumn("range", F.size(F.filter(bounds, lambda x: x <= F.col("captured"))) if cuts else F.lit(0))
+    bounds = sorted(set(cuts))[: ranges - 1]
+
+    def array(values: list[int]) -> Column:
+        return F.array(*[F.lit(x) for x in values]).cast("array<bigint>")
+
+    def passed(values: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x <= F.col("captured")))
+
+    # First among every STEP-th cut, then among the cuts before the next of these.
+    rows = rows.withColumn("range", passed(array(bounds[STEP - 1 :: STEP])) * STEP)
+    rows = rows.withColumn("range", F.col("range") + passed(F.slice(array(bounds), F.col("range") + 1, F.lit(STEP))))
     full = F.when(F.col("kind") == "response", F.struct("captured", "record_id", "etag", "last_modified", "digest", F.map_entries("headers").alias("headers")))
     rows = rows.withColumn("full", full)
     left = rows.filter("kind = 'response'").groupBy("place", "range").agg(F.max("full").alias("kept"))
