@@ -65,9 +65,9 @@ DISPLAY_COLUMN_ORDER = [
     "actual_total_cost_rs", "estimated_total_cost_rs", "total_cost_rs", "cost_source",
     "pdf_source", "page_first_seen", "audit_pdf_pages", "itens_fatura_json", "uploaded_file",
 ]
-# Default export name and the file-name words of an app export; results carry them as they are.
-EXPORT_DEFAULT_NAME = "Sunergies_app"
-APP_EXPORT_WORDS = ["filtered_flat", "sunergies_app"]
+# What an export without a name is called, and the file-name words of an app export; an installation gives its own as parameters.
+EXPORT_DEFAULT_NAME = "app_export"
+APP_EXPORT_WORDS = ["filtered_flat", "app_export"]
 CONTRACT_VERSION = "v1"
 CONTRACT_COLUMNS = ["uc", "referencia", "kwh_total_te"]
 

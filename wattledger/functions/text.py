@@ -179,10 +179,10 @@ def file_slug(c: Column) -> Column:
     return _or_default(_slug(strip_marks(F.coalesce(c, F.lit("")))), "arquivo")
 
 
-def export_name(c: Column) -> Column:
-    """Keeps case and hyphens."""
+def export_name(c: Column, default: str = V.EXPORT_DEFAULT_NAME) -> Column:
+    """Keeps case and hyphens; nothing left is `default`, the name an installation gives its exports."""
     kept = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"[^A-Za-z0-9_-]+", "_")
-    return _or_default(F.regexp_replace(kept, r"^_+|_+\z", ""), V.EXPORT_DEFAULT_NAME)
+    return _or_default(F.regexp_replace(kept, r"^_+|_+\z", ""), default)
 
 
 def drop_glyph_codes(c: Column) -> Column:

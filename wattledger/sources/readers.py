@@ -149,10 +149,13 @@ def preferred_output(files: DataFrame) -> DataFrame:
     return output_candidates(files).limit(1)
 
 
-def sizing_sources(files: DataFrame, limit: int | None = None) -> DataFrame:
-    """Sizing files and app exports with the municipality their folder names; `limit` keeps the newest."""
+def sizing_sources(files: DataFrame, limit: int | None = None, app_words: list[str] | None = None) -> DataFrame:
+    """Sizing files and app exports with the municipality their folder names; `limit` keeps the newest.
+
+    `app_words` are the words (patterns, lower case) that an installation's app exports have in their names.
+    """
     name = F.lower("name")
-    app = "|".join(V.APP_EXPORT_WORDS)
+    app = "|".join(app_words or V.APP_EXPORT_WORDS)
     wanted = name.rlike(rf"(dimensionamento|{app}).*\.(csv|xlsx)$")
     kind = F.when(name.rlike(app), "streamlit_export").otherwise("dimensionamento")
     found = files.filter(wanted).select(
