@@ -41,6 +41,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 c = F.col
+_PAGE = "'doc_' || (custkey % 20) || '.pdf' AS pdf_source, cast(custkey // 20 + 1 AS int) AS page_no"
 
 
 def query(name: str, sql: str | None = None):
@@ -1272,6 +1273,25 @@ def drifting_map(spark, folder):
     return found.select("sheet_name", c("map").alias("row_pos"), "item_code", "base_quantity", F.array_join("unreadable", ", ").alias("unreadable"))
 
 
+@query("contract_files", with_base(MASTER, """
+SELECT DISTINCT uc, referencia, categoria, municipio, cast(kwh_total_te AS varchar) AS kwh_total_te FROM master WHERE categoria <> 'OUTROS'"""))
+def contract_files(spark, folder):
+    """A contract written as CSV and as TSV and read from both, one scan per format, equal rows once."""
+    rows = B.master(spark, folder).select("uc", "referencia", "categoria", "municipio", "kwh_total_te")
+    path = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+    WR.csv_and_tsv(materialize(rows), f"{path}/m.csv", f"{path}/m.tsv")
+    return RD.merged_contracts(spark, [f"{path}/m.csv", f"{path}/m.tsv"])
+
+
+@query("page_files", with_base(MASTER, f"SELECT {_PAGE}, count(*) AS blocks FROM master GROUP BY ALL"))
+def page_files(spark, folder):
+    """A written table of page texts, read through the page reader and cut into blocks."""
+    path = f"{checkpoint_folder(spark)}/pages-{uuid.uuid4().hex}.parquet"
+    B.labelled_pages(spark, folder).write.parquet(path)
+    blocks = EX.uc_blocks(RD.page_texts(spark, path))
+    return blocks.groupBy("pdf_source", "page_no").agg(F.count(F.lit(1)).alias("blocks"))
+
+
 @query("scenario_defaults", """
 SELECT name, 'ECONOMY' AS pricing_version, (SELECT arg_min(p_name, p_partkey) FROM part) AS module_model, (SELECT arg_min(s_name, s_suppkey) FROM supplier) AS inverter_model, CASE WHEN name = 'Scenario B' THEN 1.3 ELSE 1.2 END::double AS dc_ac_ratio, 28::bigint AS modules_per_string
 FROM (VALUES ('Scenario A'), ('Scenario B'), ('Scenario C')) v(name)""")
@@ -1463,7 +1483,6 @@ def printed(pages: DataFrame) -> DataFrame:
     return materialize(pages)
 
 
-_PAGE = "'doc_' || (custkey % 20) || '.pdf' AS pdf_source, cast(custkey // 20 + 1 AS int) AS page_no"
 _MONEY_SQL = "round(kwh_total_te * 0.5, 2)"
 
 
